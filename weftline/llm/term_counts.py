@@ -73,16 +73,17 @@ class TermCounts:
         new.write.partitionBy("bucket").parquet(path)
         self.version = path
 
-    def records(self) -> DataFrame:
-        """One row: n, the number of records."""
-        return self.counts().filter(F.col("field_name") == RECORDS).agg(F.coalesce(F.sum("n_records"), F.lit(0)).alias("n"))
+    def records(self) -> int:
+        """The number of records."""
+        row = self.counts().filter(F.col("field_name") == RECORDS).first()
+        return row["n_records"] if row else 0
 
 
-def mark_terms(counts: DataFrame, records: DataFrame, rare_below: int, common_share: float) -> DataFrame:
+def mark_terms(counts: DataFrame, records: int, rare_below: int, common_share: float) -> DataFrame:
     """Terms with a mark (null for useful ones). A term that is both rare and common, which takes a handful of records, gets a row for each mark."""
-    terms = counts.filter(F.col("field_name") != RECORDS).join(F.broadcast(records))  # one row
+    terms = counts.filter(F.col("field_name") != RECORDS)
     rare = F.when(F.col("n_occurrences") < rare_below, F.lit("rare"))
-    common = F.when(F.col("n_records") >= F.lit(common_share) * F.col("n"), F.lit("common"))
+    common = F.when(F.col("n_records") >= F.lit(common_share * records), F.lit("common"))
     marks = F.array_compact(F.array(rare, common))
     return terms.select("field_name", "field_value", "n_occurrences", "n_records", F.explode_outer(marks).alias("mark"))
 
