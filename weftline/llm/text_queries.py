@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.encode import encode
 from weftline.llm.leaks import WINDOW, leaks
+from weftline.llm.personal import find_personal, redact
 from weftline.sources.tables import table
 
 
@@ -22,7 +23,16 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents"), table(spark, d, "name_parts")).select("doc_id", "kind", "pii_text").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return redact(docs, find_personal(docs, table(spark, d, "name_parts")))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 #: SQL has no NFKC and no tokenizers: tests compare these queries with brute force.
 SQL: dict[str, str] = {}
