@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import general
+from weftline.plans import general, sequences
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
-FLAGSHIP = general.p5_found
+QUERIES = {**general.QUERIES, **sequences.QUERIES}
+SQL = {**general.SQL, **sequences.SQL}
+FLAGSHIP = sequences.hits_by_position
