@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.dna import reverse_complement
 from weftline.operators.ordered import bucket_width, with_sum_before
+from weftline.operators.text import as_bytes
 from weftline.shared import settled
 
 
@@ -16,8 +17,8 @@ def chop(texts: DataFrame, width: int = 32) -> tuple[DataFrame, DataFrame]:
     Pieces that read the same on either strand are one node, labelled by the smaller reading; its id is that of its first
     step, seq_id * 2^20 + step. Empty texts have no steps.
     """
-    cut = texts.filter(F.length("seq") > 0).select("seq_id", "seq", F.explode(F.expr(f"sequence(0, (length(seq) - 1) div {width})")).alias("step"))
-    piece = cut.select("seq_id", F.col("step").cast("bigint").alias("step"), F.substring("seq", (F.col("step") * width + 1).cast("int"), F.lit(width)).alias("p"))
+    cut = texts.filter(F.length("seq") > 0).select("seq_id", as_bytes(F.col("seq")).alias("_b")).select("seq_id", "_b", F.explode(F.expr(f"sequence(0, (length(_b) - 1) div {width})")).alias("step"))
+    piece = cut.select("seq_id", F.col("step").cast("bigint").alias("step"), F.substring("_b", (F.col("step") * width + 1).cast("int"), F.lit(width)).cast("string").alias("p"))
     piece = piece.withColumn("rc", reverse_complement(F.col("p"))).withColumn("label", F.least("p", "rc")).withColumn("is_reverse", (F.col("rc") < F.col("p")).cast("int"))
     nodes = piece.groupBy("label").agg(F.min(F.col("seq_id") * (1 << 20) + F.col("step")).alias("node_id"))
     steps = piece.join(nodes, "label").select("seq_id", "step", "node_id", "is_reverse")

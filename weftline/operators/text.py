@@ -6,6 +6,10 @@ among themselves by seq_id. bwt_pos counts the sorted suffixes from 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +26,18 @@ def normal(sequences: DataFrame, seq_id: str = "seq_id", seq: str = "seq") -> Da
     return sequences.select(F.col(seq_id).cast("bigint").alias("seq_id"), F.upper(seq).alias("seq")).filter("seq_id IS NOT NULL AND seq IS NOT NULL").distinct()
 
 
+def as_bytes(seq: Column) -> Column:
+    """One byte a letter, "?" for letters beyond ASCII: a part of it is cut in no more time than the part is long, that of a string only by counting from its start."""
+    return F.regexp_replace(seq, r"[^\x00-\x7F]", "?").cast("binary")
+
+
 def windows(texts: DataFrame, text_id: str, seq: str, k: int, valid: str | None = "ACGT") -> DataFrame:
     """(text_id, kmer_offset INT, kmer): every window of k letters, of which all are valid ones. Short texts have none."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    out = texts.filter(F.length(seq) >= k).select(text_id, seq, F.explode(F.expr(f"sequence(0, length({seq}) - {k})")).alias("kmer_offset"))
-    out = out.select(text_id, "kmer_offset", F.substring(seq, F.col("kmer_offset") + 1, F.lit(k)).alias("kmer"))
+    # Two steps: in one, the bytes would be made anew for every window.
+    out = texts.filter(F.length(seq) >= k).select(text_id, as_bytes(F.col(seq)).alias("_b")).select(text_id, "_b", F.explode(F.expr(f"sequence(0, length(_b) - {k})")).alias("kmer_offset"))
+    out = out.select(text_id, "kmer_offset", F.substring("_b", F.col("kmer_offset") + 1, F.lit(k)).cast("string").alias("kmer"))
     return out.filter(F.col("kmer").rlike(f"^[{valid}]+$")) if valid else out
 
 
@@ -38,15 +48,36 @@ def strand_kmers(texts: DataFrame, k: int) -> DataFrame:
     return ahead.unionByName(back).select("seq_id", "kmer_offset", "is_reverse", "kmer")
 
 
-def suffixes(texts: DataFrame) -> DataFrame:
-    """(seq_id, seq_off BIGINT, k1, k2): every suffix, that of the end-marker alone too, with its first 40 letters as two numbers."""
-    each = texts.select("seq_id", "seq", F.explode(F.expr("sequence(0, length(seq))")).alias("o"))
+def _suffix_keys(chunk: int):
+    code = np.zeros(256, np.int64)
+    code[np.frombuffer(b"ACGNT", np.uint8)] = range(1, 6)
 
-    def key(at: int) -> Column:
-        part = F.rpad(F.substring("seq", F.col("o") + 1 + at, F.lit(_KEY)), _KEY, "0")
-        return F.conv(F.translate(part, "0ACGNT", "012345"), 6, 10).cast("bigint")
+    def keys(codes: np.ndarray, n: int) -> np.ndarray:
+        """At each of the first n places the next 20 letters as a number of base 6."""
+        two = codes[:-1] * 6 + codes[1:]
+        four = two[:-2] * 36 + two[2:]
+        eight = four[:-4] * 6**4 + four[4:]
+        sixteen = eight[:-8] * 6**8 + eight[8:]
+        return sixteen[:n] * 6**4 + four[16 : 16 + n]
 
-    return each.select("seq_id", F.col("o").cast("bigint").alias("seq_off"), key(0).alias("k1"), key(_KEY).alias("k2"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seq_id, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
+                letters = np.frombuffer(seq.as_buffer(), np.uint8)
+                for at in range(0, len(letters) + 1, chunk):
+                    n = min(chunk, len(letters) + 1 - at)
+                    part = np.zeros(n + 3 * _KEY, np.int64)
+                    here = code[letters[at : at + len(part)]]
+                    part[: len(here)] = here
+                    both = keys(part, n + _KEY)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq_id, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int64)), pa.array(both[:n]), pa.array(both[_KEY:])], names=["seq_id", "seq_off", "k1", "k2"])
+
+    return run
+
+
+def suffixes(texts: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """(seq_id, seq_off BIGINT, k1, k2): every suffix, that of the end-marker alone too, with its first 40 letters as two numbers."""
+    return texts.select("seq_id", as_bytes(F.col("seq")).alias("seq")).mapInArrow(_suffix_keys(chunk), "seq_id bigint, seq_off bigint, k1 bigint, k2 bigint")
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
@@ -155,5 +186,5 @@ def occurrences(patterns: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """
     seeds = patterns.select("pattern", F.substring("pattern", 1, k).alias("kmer")).filter(F.length("pattern") >= k)
     hits = windows(texts, "seq_id", "seq", k, None).join(seeds, "kmer").select("pattern", "seq_id", F.col("kmer_offset").cast("bigint").alias("seq_off"))
-    hits = hits.join(texts.select("seq_id", "seq"), "seq_id")
-    return hits.filter(F.expr("substring(seq, seq_off + 1, length(pattern)) = pattern")).select("pattern", "seq_id", "seq_off")
+    hits = hits.join(texts.select("seq_id", as_bytes(F.col("seq")).alias("_b")), "seq_id")
+    return hits.filter(F.expr("cast(substring(_b, cast(seq_off + 1 as int), length(pattern)) as string) = pattern")).select("pattern", "seq_id", "seq_off")

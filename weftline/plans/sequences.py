@@ -86,10 +86,12 @@ def kmer_letters(spark, d):
 
 def kmer_check(spark, d):
     """How many rows of kmers have the key of their window, per sequence."""
-    rows = table(spark, d, "kmers").filter("kmer_key IS NOT NULL").join(texts(spark, d), "seq_id")
+    letters = texts(spark, d).select("seq_id", text.as_bytes(F.col("seq")).alias("_b"))
+    rows = table(spark, d, "kmers").filter("kmer_key IS NOT NULL").join(letters, "seq_id")
     # Only the window is turned round: the reverse complement's offset counts from the end.
-    ahead = F.substring("seq", F.col("kmer_offset") + 1, F.lit(K))
-    back = reverse_complement(F.substring("seq", F.length("seq") - F.col("kmer_offset") - K + 1, F.lit(K)))
+    at = F.when(F.col("is_reverse") == 1, F.length("_b") - F.col("kmer_offset") - K).otherwise(F.col("kmer_offset"))
+    ahead = F.substring("_b", at + 1, F.lit(K)).cast("string")
+    back = reverse_complement(ahead)
     key = kmer_key(F.when(F.col("is_reverse") == 1, back).otherwise(ahead))
     return rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(key == F.col("kmer_key"), 1)).alias("n_equal"))
 
