@@ -43,10 +43,11 @@ def heavy_keys(df: DataFrame, fields: Iterable[str], share: float) -> DataFrame:
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join in which each key of `big` is spread over `salts` tasks and `small`'s rows are repeated for each salt.
 
-    For how = inner, left, left_semi or left_anti (big's rows stay whole). Null keys never match.
+    For how = inner, left, left_semi or left_anti (big's rows stay whole). Null keys never match. The salt comes from the
+    row itself, so a task that is run again gives the same rows; rows that are equal in every column share it.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("big's rows would be repeated by a join of this kind")
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(F.rand(17)), F.lit(salts)).cast("int"))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
