@@ -126,6 +126,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([fold(w) for w in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["part", "k"])
+
+
 def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 3) -> DataFrame:
     """Occurrences (doc_id, kind, pii_text, begin_at, end_at) in code points, 0-based, end exclusive.
 
@@ -135,8 +140,7 @@ def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "do
     """
     docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = settled(docs.mapInArrow(_scan, "kind string, pii_text string, key string, hint string, near string, wide string, doc_id bigint, begin_at int"), "candidates")
-    folded = F.udf(lambda w: fold(w) if w else None, "string")
-    parts = name_parts.filter("name_part IS NOT NULL AND kind IS NOT NULL").select(folded("name_part").alias("part"), F.lower("kind").alias("k")).distinct()
+    parts = settled(name_parts.filter("name_part IS NOT NULL AND kind IS NOT NULL").select("name_part", F.lower("kind").alias("k")).mapInArrow(_folded, "part string, k string").distinct(), "names")
     family, given = parts.filter("k = 'family'").select("part"), parts.filter("k = 'given'").select("part")
     by = found.groupBy("kind", "key", "hint").agg(F.count(F.lit(1)).alias("n"))
     own = by.filter("kind = 'person'").join(family.withColumnRenamed("part", "key"), "key", "left_semi").join(given.withColumnRenamed("part", "hint"), "hint", "left_semi")
