@@ -47,6 +47,12 @@ def find_mems(reads: DataFrame, texts: DataFrame, min_len: int, min_occ: int = 1
     return mems, places
 
 
+def suffix_matches(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFrame:
+    """(read_id, match_length): the longest end of each read, of at least min_len letters, that stands in a text; reads without one have no row."""
+    ends = islands(reads, texts, min_len).join(reads.select("read_id", F.length("seq").alias("_n")), "read_id").filter("stop = _n")
+    return ends.groupBy("read_id").agg(F.max(F.col("_n") - F.col("start")).alias("match_length"))
+
+
 def hits(places: DataFrame, sa: DataFrame, letters: DataFrame, mode: str = "position") -> DataFrame:
     """(seq_id, node_id, node_offset, is_reverse, mem_length, mem_start, read_id) of the places of matches.
 
@@ -76,7 +82,7 @@ def longest_run_hits(places: DataFrame, sa: DataFrame, runs: DataFrame) -> DataF
 
 
 def hit_paths(places: DataFrame, positions: DataFrame) -> DataFrame:
-    """(read_id, mem_start, mem_end, seq_id, seq_off, path, first_offset): the oriented nodes that each place of a match walks, as >1<2 strings."""
+    """(read_id, mem_start, mem_end, seq_id, seq_off, path, first_offset, path_length): the oriented nodes that each place of a match walks, as >1<2 strings."""
     p = places.withColumn("_end", F.col("seq_off") + F.col("mem_end") - F.col("mem_start") - 1)
     # Steps are found by cells of path letters, on (seq_id, cell).
     cell = 1 << 10
@@ -85,8 +91,8 @@ def hit_paths(places: DataFrame, positions: DataFrame) -> DataFrame:
     b = b.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("path_start") / cell), F.floor(F.col("_stop") / cell))))
     met = a.join(b, ["seq_id", "_cell"]).filter((F.col("path_start") <= F.col("_end")) & (F.col("seq_off") <= F.col("_stop")))
     name = F.concat(F.when(F.col("is_reverse") == 1, "<").otherwise(">"), F.col("node_id").cast("string"))
-    out = met.groupBy("read_id", "mem_start", "mem_end", "seq_id", "seq_off").agg(F.array_sort(F.collect_set(F.struct("step", name.alias("name")))).alias("s"), (F.col("seq_off") - F.min("path_start")).cast("int").alias("first_offset"))
-    return out.select("read_id", "mem_start", "mem_end", "seq_id", "seq_off", F.array_join(F.transform("s", lambda x: x["name"]), "").alias("path"), "first_offset")
+    out = met.groupBy("read_id", "mem_start", "mem_end", "seq_id", "seq_off").agg(F.array_sort(F.collect_set(F.struct("step", name.alias("name"), "node_length"))).alias("s"), (F.col("seq_off") - F.min("path_start")).cast("int").alias("first_offset"))
+    return out.select("read_id", "mem_start", "mem_end", "seq_id", "seq_off", F.array_join(F.transform("s", lambda x: x["name"]), "").alias("path"), "first_offset", F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["node_length"]).alias("path_length"))
 
 
 def seq_starts(hits_: DataFrame, sequences: DataFrame) -> DataFrame:

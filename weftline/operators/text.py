@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.dna import reverse_complement
-from weftline.operators.ordered import bucket_width, run_lengths, with_neighbour, with_sum_before, with_sums_before
+from weftline.operators.ordered import bucket_width, run_lengths, with_interval, with_neighbour, with_sum_before, with_sums_before
 from weftline.shared import settled
 
 MARK = "$"
@@ -166,6 +166,50 @@ def lf_mapping(b: DataFrame) -> DataFrame:
     return letters.unionByName(ends.join(mark.select("seq_id", F.col("lf_pos").cast("bigint").alias("lf_pos")), "seq_id").select("bwt_pos", "ch", "lf_pos"))
 
 
+def symbol_ranks(points: DataFrame, point: str, runs: DataFrame, symbols: str = "ACGNT") -> DataFrame:
+    """Add rank_A, rank_C, ...: how often each letter occurs in the rows before each point, 0 to the number of rows.
+
+    The counts before each run are running sums; a point adds its part of the run that holds the row before it.
+    """
+    parts = runs.withColumns({f"_n{c}": F.when(F.col("ch") == c, F.col("length")).otherwise(F.lit(0)) for c in symbols})
+    parts = with_sums_before(parts, [], "bwt_start", {f"_b{c}": f"_n{c}" for c in symbols}, bucket_width(runs, "bwt_start")).withColumn("_from", F.col("bwt_start"))
+    # Point p looks at row p - 1; point 0 is before all rows.
+    at = with_interval(points.withColumn("_row", F.col(point) - 1), "_row", parts, "bwt_start", "length", ["_from", "ch", *(f"_b{c}" for c in symbols)])
+    here = {f"rank_{c}": (F.coalesce(f"_b{c}", F.lit(0)) + F.when(F.col("ch") == c, F.col(point) - F.col("_from")).otherwise(0)).cast("bigint") for c in symbols}
+    return at.withColumns(here).drop("_row", "_from", "ch", *(f"_b{c}" for c in symbols))
+
+
+def extend_ranges(ranges: DataFrame, runs: DataFrame, symbols: str = "ACGNT") -> DataFrame:
+    """(range_start, range_end, ch, new_start, new_end): closed row ranges with each letter put before them; letters that don't stand there give no row.
+
+    A backward search step for all ranges at once: C of the letter plus its ranks at both bounds.
+    """
+    c_before = symbol_table(runs, "ch", "length").select("ch", "c_before")
+    ends = ranges.select("range_start", "range_end").distinct()
+    points = ends.select(F.explode(F.array("range_start", F.col("range_end") + 1)).alias("_p")).distinct()
+    ranks = symbol_ranks(points, "_p", runs, symbols).select("_p", F.explode(F.array(*(F.struct(F.lit(c).alias("ch"), F.col(f"rank_{c}").alias("k")) for c in symbols))).alias("_s")).select("_p", "_s.ch", "_s.k")
+    low = ranks.select(F.col("_p").alias("range_start"), "ch", F.col("k").alias("_lo"))
+    high = ranks.select((F.col("_p") - 1).alias("range_end"), "ch", F.col("k").alias("_hi"))
+    out = ends.join(low, "range_start").join(high, ["range_end", "ch"]).filter("_hi > _lo").join(F.broadcast(c_before), "ch")  # a row for each letter
+    return out.select("range_start", "range_end", "ch", (F.col("c_before") + F.col("_lo")).alias("new_start"), (F.col("c_before") + F.col("_hi") - 1).alias("new_end"))
+
+
+def first_symbols(points: DataFrame, point: str, symbols: DataFrame) -> DataFrame:
+    """Add the first letter of the suffix at each row: the symbol whose rows hold it; points beyond the text keep null."""
+    s = symbols.select(F.col("ch").alias("first_ch"), F.col("c_before").alias("_lo"), (F.col("c_before") + F.col("freq")).alias("_hi"))
+    return points.join(F.broadcast(s), (F.col(point) >= F.col("_lo")) & (F.col(point) < F.col("_hi")), "left").drop("_lo", "_hi")  # a row for each symbol
+
+
+def bi_intervals(occurrences_: DataFrame, back: DataFrame, sa: DataFrame) -> DataFrame:
+    """(pattern, forward_start, reverse_start, size) in an index of both strands: rows that begin with a pattern, and with its reverse complement.
+
+    occurrences_ and back: (pattern, seq_id, seq_off) of the patterns and of their reverse complements, under the pattern's name.
+    """
+    f = occurrences_.join(sa, ["seq_id", "seq_off"]).groupBy("pattern").agg(F.min("bwt_pos").alias("forward_start"), F.count(F.lit(1)).alias("size"))
+    r = back.join(sa, ["seq_id", "seq_off"]).groupBy("pattern").agg(F.min("bwt_pos").alias("reverse_start"))
+    return f.join(r, "pattern").select("pattern", "forward_start", "reverse_start", "size")
+
+
 def run_samples(runs: DataFrame, sa: DataFrame) -> DataFrame:
     """(bwt_start, head_seq, head_off, tail_seq, tail_off): text positions of the first and the last row of each run."""
     ends = runs.select("bwt_start", (F.col("bwt_start") + F.col("length") - 1).alias("_last"))

@@ -165,6 +165,21 @@ def rank_at(spark, d):
     return met.select("pos", "ch", "run_start", (F.col("ch_before") + F.col("pos") - F.col("run_start")).cast("bigint").alias("ch_rank"))
 
 
+def extended_ranges(spark, d):
+    """Row ranges of mems that lie in the text, with each letter put before them."""
+    ix = Index(spark, d)
+    n = ix.texts.agg(F.coalesce(F.sum(F.length("seq") + 1), F.lit(0))).first()[0]
+    return text.extend_ranges(_ranges(spark, d).filter(F.col("range_end") < n), ix.runs)
+
+
+def first_symbol_at(spark, d):
+    return text.first_symbols(_points(spark, d), "pos", symbol_counts(spark, d))
+
+
+def suffix_matches(spark, d):
+    return mems.suffix_matches(read_texts(spark, d).groupBy("read_id").agg(F.min("seq").alias("seq")), texts(spark, d), MIN_LEN)
+
+
 def locate_reads(spark, d):
     """Where whole reads stand in the sequences."""
     pats = read_texts(spark, d).withColumnRenamed("seq", "pattern")
@@ -238,6 +253,16 @@ def unique_kmers(spark, d):
     return _unique(_placed_kmers(Index(spark, d))).drop("n")
 
 
+def unique_kmers_both(spark, d):
+    """K-mers of either strand that have one graph position; on the reverse strand that of the window's last letter, turned round."""
+    ix = Index(spark, d)
+    w = text.windows(ix.texts, "seq_id", "seq", K).withColumn("last", F.col("kmer_offset") + K - 1)
+    back = w.select("seq_id", F.expr(f"cast(last div {NODE} as bigint)").alias("step"), "last", reverse_complement(F.col("kmer")).alias("kmer"))
+    back = back.join(ix.positions.select("seq_id", "step", "node_id", "is_reverse", "node_length"), ["seq_id", "step"])
+    back = back.select("seq_id", "kmer", "node_id", (1 - F.col("is_reverse")).alias("is_reverse"), (F.col("node_length") - 1 - F.col("last") % NODE).cast("int").alias("node_offset"))
+    return _unique(_placed_kmers(ix).unionByName(back)).drop("n")
+
+
 def kmer_coverage(spark, d):
     """Rows of the index that begin with a k-mer of one graph position, against all rows."""
     ix = Index(spark, d)
@@ -310,6 +335,13 @@ def runs_per_file(spark, d):
     return table(spark, d, "tag_runs").filter("file_id IS NOT NULL").groupBy("file_id").agg(F.count(F.when(F.col("graph_position") != 0, 1)).alias("n_runs"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def file_components(spark, d):
+    """The component of the given graph that each tag file's first run lies in."""
+    first = tag_lengths(spark, d).filter("graph_position <> 0").groupBy("file_id").agg(F.min_by("graph_position", "start_position").alias("p"))
+    comps = graph.components(table(spark, d, "nodes"), table(spark, d, "edges"))
+    return first.select("file_id", F.call_function("shiftright", F.col("p"), F.lit(11)).alias("node_id")).join(comps, "node_id").select("file_id", "comp_id")
+
+
 def mems_found(spark, d):
     return mems.find_mems(read_texts(spark, d), texts(spark, d), MIN_LEN, 1)[0]
 
@@ -393,8 +425,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_lines, kmer_windows, strand_kmers, kmer_letters, kmer_check, reverse_complements, symbol_counts, text_stats, packed_positions,
-        suffix_array, document_array, bwt_letters, bwt_runs, rank_blocks, lf_mapping, run_samples, next_position, end_rows, rank_at, locate_reads, query_reads,
-        graph_nodes, path_steps, step_edges, path_positions, graph_counts, path_names, path_components, component_hits, unique_kmers, kmer_coverage,
+        suffix_array, document_array, bwt_letters, bwt_runs, rank_blocks, lf_mapping, run_samples, next_position, end_rows, rank_at, extended_ranges, first_symbol_at, suffix_matches, locate_reads, query_reads,
+        graph_nodes, path_steps, step_edges, path_positions, graph_counts, path_names, path_components, component_hits, file_components, unique_kmers, unique_kmers_both, kmer_coverage,
         tag_runs_built, tag_merge, tag_lengths, tag_coalesced, tag_coverage, tag_layout, tag_encoded, tag_decoded, tag_query_runs, tag_query_distinct, tag_at, runs_per_file,
         mems_found, mems_twice, mem_ranges, hits_by_position, hits_by_sequence, longest_run_hits, hit_paths, seq_id_starts, hits_per_sequence, mem_duplicates, mem_summary, number_labels, index_stats,
     )
@@ -467,6 +499,14 @@ SQL = {
     "next_position": _sql(_T, _SA, then="SELECT bwt_pos, lead(seq_id) OVER w AS next_seq, lead(seq_off) OVER w AS next_off FROM sa WINDOW w AS (ORDER BY bwt_pos)"),
     "end_rows": _sql(_T, then="SELECT row_number() OVER (ORDER BY seq_id) - 1 AS bwt_pos, seq_id, length(seq) AS seq_off FROM t"),
     "rank_at": _sql(_T, _SA, _RUN, _PT, then="""SELECT pos, g.ch, (SELECT bwt_start FROM runs WHERE runs.run_no = g.run) AS run_start, rk AS ch_rank FROM pt JOIN (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY bwt_pos) - 1 AS rk FROM g) g ON g.bwt_pos = pos""").replace("(SELECT bwt_start FROM runs WHERE runs.run_no = g.run)", "s.bwt_start").replace("ON g.bwt_pos = pos", "ON g.bwt_pos = pos JOIN (SELECT run, min(bwt_pos) AS bwt_start FROM g GROUP BY run) s USING (run)"),
+    "extended_ranges": _sql(_T, _SA, _RG, then="""rk AS (SELECT bwt_pos AS p, c, sum(CASE WHEN ch = c THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY bwt_pos) AS k FROM sa, (SELECT unnest(['A', 'C', 'G', 'N', 'T']) AS c)),
+    cb AS (SELECT ch AS c, coalesce(sum(count(*)) OVER (ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sa GROUP BY ch)
+    SELECT range_start, range_end, hi.c AS ch, CAST(b + coalesce(lo.k, 0) AS BIGINT) AS new_start, CAST(b + hi.k - 1 AS BIGINT) AS new_end FROM rg JOIN rk hi ON hi.p = range_end LEFT JOIN rk lo ON lo.p = range_start - 1 AND lo.c = hi.c JOIN cb ON cb.c = hi.c WHERE hi.k > coalesce(lo.k, 0)""").replace(")\n    rk AS", "),\n    rk AS", 1),
+    "first_symbol_at": _sql(_T, _SA, _PT, then="SELECT pos, CASE WHEN s = '' THEN '$' ELSE substring(s, 1, 1) END AS first_ch FROM pt LEFT JOIN (SELECT bwt_pos, substring(seq, seq_off + 1, 1) AS s FROM sa JOIN t USING (seq_id)) ON bwt_pos = pos"),
+    "suffix_matches": _sql(_T, "r AS (SELECT read_id, min(upper(seq)) AS seq FROM reads WHERE read_id IS NOT NULL AND seq <> '' GROUP BY read_id)", _W, _M1, then="SELECT read_id, CAST(max(length(seq) - x) AS INTEGER) AS match_length FROM js JOIN r USING (read_id) WHERE stop = length(seq) GROUP BY read_id"),
+    "unique_kmers_both": _sql(_T, _W, _G, then=f"""bk AS (SELECT w.kmer, st.node_id, st.is_reverse, w.kmer_offset % 32 AS o FROM w JOIN st ON st.seq_id = w.seq_id AND st.step = w.kmer_offset // 32 WHERE NOT regexp_matches(w.kmer, '[^ACGT]')
+        UNION ALL SELECT {_RC.format('w.kmer')}, st.node_id, 1 - st.is_reverse, length(nd.seq) - 1 - (w.kmer_offset + 30) % 32 FROM w JOIN st ON st.seq_id = w.seq_id AND st.step = (w.kmer_offset + 30) // 32 JOIN nd USING (node_id) WHERE NOT regexp_matches(w.kmer, '[^ACGT]'))
+    SELECT kmer, min(node_id) AS node_id, min(is_reverse) AS is_reverse, CAST(min(o) AS INTEGER) AS node_offset FROM bk GROUP BY kmer HAVING count(DISTINCT (node_id, is_reverse, o)) = 1""").replace(")\n    bk AS", "),\n    bk AS", 1),
     "locate_reads": _sql(_T, _R, _W, _OCC, then="SELECT read_id, seq_id, CAST(seq_off AS BIGINT) AS seq_off FROM oc"),
     "query_reads": _sql(_T, _R, _W, _SA, _G, _TAG, _OCC, then="""SELECT read_id, read_length, b.bwt_start, bwt_end, (SELECT count(*) FROM tr WHERE tr.bwt_start <= b.bwt_end AND b.bwt_start < tr.bwt_start + tr.length) AS n_runs
     FROM (SELECT read_id, CAST(n AS INTEGER) AS read_length, min(bwt_pos) AS bwt_start, max(bwt_pos) AS bwt_end FROM oc JOIN sa USING (seq_id, seq_off) GROUP BY read_id, n, pattern) b"""),
@@ -502,7 +542,7 @@ SQL = {
     "hits_by_position": _sql(_T, _R, _W, _M1, _SA, _G, then="SELECT arg_min(p.seq_id, bwt_pos) AS seq_id, node_id, CAST(seq_off % 32 AS INTEGER) AS node_offset, is_reverse, mem_end - mem_start AS mem_length, mem_start, read_id FROM pl_ p JOIN sa USING (seq_id, seq_off) JOIN st ON st.seq_id = p.seq_id AND step = seq_off // 32 GROUP BY read_id, mem_start, mem_end, node_id, is_reverse, seq_off % 32"),
     "hits_by_sequence": _sql(_T, _R, _W, _M1, _SA, _G, then="SELECT p.seq_id, arg_min(node_id, bwt_pos) AS node_id, arg_min(CAST(seq_off % 32 AS INTEGER), bwt_pos) AS node_offset, arg_min(is_reverse, bwt_pos) AS is_reverse, mem_end - mem_start AS mem_length, mem_start, read_id FROM pl_ p JOIN sa USING (seq_id, seq_off) JOIN st ON st.seq_id = p.seq_id AND step = seq_off // 32 GROUP BY read_id, mem_start, mem_end, p.seq_id"),
     "longest_run_hits": _sql(_T, _R, _W, _M1, _SA, _G, _TAG, then="SELECT read_id, mem_start, mem_end, seq_id, node_id, is_reverse, node_offset, run_length FROM (SELECT p.*, tr.node_id, tr.is_reverse, tr.node_offset, tr.length AS run_length, row_number() OVER (PARTITION BY read_id, mem_start, mem_end, p.seq_id ORDER BY tr.length DESC, tr.node_id, tr.is_reverse, tr.node_offset) AS k FROM pl_ p JOIN sa USING (seq_id, seq_off) ASOF JOIN tr ON sa.bwt_pos >= tr.bwt_start) WHERE k = 1"),
-    "hit_paths": _sql(_T, _R, _W, _M1, _G, then="SELECT read_id, mem_start, mem_end, p.seq_id, CAST(seq_off AS BIGINT) AS seq_off, string_agg(CASE is_reverse WHEN 1 THEN '<' ELSE '>' END || node_id, '' ORDER BY step) AS path, CAST(seq_off % 32 AS INTEGER) AS first_offset FROM pl_ p JOIN st ON st.seq_id = p.seq_id AND step BETWEEN seq_off // 32 AND (seq_off + mem_end - mem_start - 1) // 32 GROUP BY ALL"),
+    "hit_paths": _sql(_T, _R, _W, _M1, _G, then="SELECT read_id, mem_start, mem_end, p.seq_id, CAST(seq_off AS BIGINT) AS seq_off, string_agg(CASE is_reverse WHEN 1 THEN '<' ELSE '>' END || node_id, '' ORDER BY step) AS path, CAST(seq_off % 32 AS INTEGER) AS first_offset, CAST(sum(length(nd.seq)) AS BIGINT) AS path_length FROM pl_ p JOIN st JOIN nd USING (node_id) ON st.seq_id = p.seq_id AND step BETWEEN seq_off // 32 AND (seq_off + mem_end - mem_start - 1) // 32 GROUP BY ALL"),
     "seq_id_starts": "WITH h AS (SELECT seq_id, count(*) AS n FROM (SELECT DISTINCT seq_id, node_id, node_offset, is_reverse, mem_length, mem_start, read_id FROM hits) GROUP BY 1), s AS (SELECT DISTINCT seq_id FROM sequences WHERE seq_id IS NOT NULL) SELECT seq_id, CAST(coalesce(sum(n) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_row FROM s LEFT JOIN h USING (seq_id) UNION ALL SELECT NULL, CAST(coalesce(sum(n), 0) AS BIGINT) FROM s JOIN h USING (seq_id)",
     "hits_per_sequence": "SELECT seq_id, count(*) AS n_hits, count(DISTINCT node_id) AS n_nodes FROM (SELECT DISTINCT seq_id, node_id, node_offset, is_reverse, mem_length, mem_start, read_id FROM hits) GROUP BY 1",
     "mem_duplicates": "SELECT read_id, mem_start, mem_length, count(*) AS n_rows, count(DISTINCT CASE WHEN node_id IS NOT NULL AND node_offset IS NOT NULL AND is_reverse IS NOT NULL THEN (node_id, node_offset, is_reverse) END) AS n_positions, count(DISTINCT node_id) AS n_nodes, count(DISTINCT seq_id) AS n_sequences FROM hits GROUP BY ALL",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftline.operators.mems import seq_starts
 
@@ -15,3 +16,10 @@ def write_hits(hits: DataFrame, sequences: DataFrame, path: str) -> None:
     ordered.select(*COLUMNS).write.mode("overwrite").csv(f"{path}/hits", sep="\t", nullValue="")
     starts = seq_starts(hits, sequences)
     starts.orderBy(starts["seq_id"].asc_nulls_last()).select("first_row").write.mode("overwrite").csv(f"{path}/starts")
+
+
+def write_gaf(paths: DataFrame, reads: DataFrame, path: str) -> None:
+    """Paths of matches (hit_paths) as GAF lines: read, its length, the match in it, strand, path, its length, the match in it, matches, block, quality 255."""
+    n = F.col("mem_end") - F.col("mem_start")
+    rows = paths.join(reads.select("read_id", F.length("seq").alias("_n")), "read_id")
+    rows.select("read_id", "_n", "mem_start", "mem_end", F.lit("+"), "path", "path_length", "first_offset", F.col("first_offset") + n, n.alias("matches"), n.alias("block"), F.lit(255)).write.mode("overwrite").csv(path, sep="\t")
