@@ -128,7 +128,7 @@ def symbol_table(symbols: DataFrame, ch: str = "ch", n: str | None = None) -> Da
     """(ch, symbol_rank, freq, c_before): each symbol's place in the alphabet, its count and the count of smaller symbols."""
     freq = symbols.groupBy(F.col(ch).alias("ch")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("freq"))
     w = Window.orderBy("ch")  # one row for each symbol of the alphabet
-    return freq.select("ch", (F.row_number().over(w) - 1).alias("symbol_rank"), "freq", F.coalesce(F.sum("freq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("c_before"))
+    return freq.select("ch", (F.row_number().over(w) - 1).cast("bigint").alias("symbol_rank"), "freq", F.coalesce(F.sum("freq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("c_before"))
 
 
 def text_symbols(texts: DataFrame) -> DataFrame:

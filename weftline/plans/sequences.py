@@ -551,3 +551,11 @@ SQL = {
     "index_stats": _sql(_T, _SA, _RUN, _G, _TAG, then="SELECT n_rows, n_bwt_runs, n_tag_runs, n_rows / n_bwt_runs AS rows_a_run FROM (SELECT (SELECT count(*) FROM sa) AS n_rows, (SELECT count(*) FROM runs) AS n_bwt_runs, (SELECT count(*) FROM tr) AS n_tag_runs)"),
     "kmer_check": _sql(_T, then=f"SELECT seq_id, count(*) AS n_rows, count(CASE WHEN kmer_key = list_reduce(list_transform(string_split(k, ''), lambda c: CAST(strpos('ACGT', c) - 1 AS BIGINT)), lambda a, b: a * 4 + b) THEN 1 END) AS n_equal FROM (SELECT seq_id, kmer_key, CASE WHEN is_reverse = 1 THEN {_RC.format('substring(seq, length(seq) - kmer_offset - 30, 31)')} ELSE substring(seq, kmer_offset + 1, 31) END AS k FROM kmers JOIN t USING (seq_id) WHERE kmer_key IS NOT NULL) GROUP BY seq_id"),
 }
+
+#: Sums in SQL are wider than ours: these columns are brought back.
+_SUMS = {
+    "strand_kmers": ("n_forward", "n_reverse"), "symbol_counts": ("c_before",), "text_stats": ("text_size", "bwt_size"), "rank_blocks": ("rank_end", "rank_A", "rank_C", "rank_G", "rank_N", "rank_T"),
+    "kmer_coverage": ("n_rows", "n_covered"), "tag_coalesced": ("length",), "tag_coverage": ("n_covered", "n_rows"), "tag_query_runs": ("n_rows",),
+}
+for _name, _cols in _SUMS.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _cols)}) FROM ({SQL[_name]})"
