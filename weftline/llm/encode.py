@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,18 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(i) for piece, i in map(bytes.split, f)}
 
 
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000):
+    """Smaller batches to Python for a job that is run inside: long texts must fit into memory by the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _blocks(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -45,13 +58,25 @@ def _blocks(most: int):
             whole = [pa.array([task << 32 | made], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([codes.itemsize], pa.int32()), pa.array([pack.compress(codes.tobytes())], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)]
             return pa.RecordBatch.from_arrays(whole, names=["block", "ids", "sizes", "width", "codes", "words"])
 
+        waiting, held = [], 0
         for batch in batches:
-            ids, texts, chars = batch.column(0), batch.column(1), np.cumsum(np.asarray(batch.column(2)))
+            chars = np.cumsum(np.asarray(batch.column(2)))
             a = 0
-            while a < len(ids):
-                b = max(a + 1, int(np.searchsorted(chars, (chars[a - 1] if a else 0) + most, side="right")))
-                yield block(ids.slice(a, b - a), texts.slice(a, b - a))
+            while a < len(chars):
+                room = max(0, most - held)
+                b = int(np.searchsorted(chars, (chars[a - 1] if a else 0) + room, side="right"))
+                if b == a and not waiting:
+                    b += 1  # a text longer than a block is a block
+                waiting.append(batch.slice(a, b - a))
+                held += int(chars[b - 1] - (chars[a - 1] if a else 0)) if b > a else 0
+                if b < len(chars) or held >= most:
+                    whole = pa.Table.from_batches(waiting).combine_chunks()
+                    yield block(whole.column(0).chunk(0), whole.column(1).chunk(0))
+                    waiting, held = [], 0
                 a = b
+        whole = pa.Table.from_batches(waiting).combine_chunks() if waiting else None
+        if whole is not None and whole.num_rows:
+            yield block(whole.column(0).chunk(0), whole.column(1).chunk(0))
 
     return run
 
@@ -107,7 +132,8 @@ def encode(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.t
     split = F.expr(f"regexp_extract_all({text}, r'(?s){JAVA_SPLIT}', 0)") if "'" not in JAVA_SPLIT else F.regexp_extract_all(F.col(text), F.lit(JAVA_SPLIT), F.lit(0))
     some = F.col(text).isNotNull() & (F.col(text) != "")
     docs = documents.filter(some).select(F.col(doc_id).cast("bigint").alias("doc_id"), split.alias("words"), F.length(text).alias("n"))
-    blocks = settled(docs.mapInArrow(_blocks(block_chars), "block bigint, ids array<bigint>, sizes array<int>, width int, codes binary, words array<string>"), "blocks")
+    with few_rows_a_batch(documents.sparkSession):
+        blocks = settled(docs.mapInArrow(_blocks(block_chars), "block bigint, ids array<bigint>, sizes array<int>, width int, codes binary, words array<string>"), "blocks")
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), "block bigint, at int, word_ids array<int>")
     lists = coded.groupBy("block").agg(F.collect_list(F.struct("at", "word_ids")).alias("entries"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.encode import few_rows_a_batch
 from weftline.llm.seen_keys import mix
 from weftline.shared import settled
 
@@ -140,9 +141,12 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         if not len(probes.value):
             return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_exact int, n_matched int, n_span int")
     docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    parts = docs.mapInArrow(_documents(probes), "doc_id bigint, first int, words array<string>, hits array<struct<h:bigint,at:int>>")
-    hits = parts.select("doc_id", "first", "words", F.explode("hits").alias("hit")).select("doc_id", "first", "words", "hit.h", "hit.at")
-    met = hits.join(grams, "h").withColumn("shift", F.col("at") - F.col("item_at")).groupBy("doc_id", "first", "item_id", "shift").agg(F.first("words").alias("words"))
+    with few_rows_a_batch(spark):
+        parts = settled(docs.mapInArrow(_documents(probes), "doc_id bigint, first int, words array<string>, hits array<struct<h:bigint,at:int>>"), "parts")
+    # Hits go into the join without their words; these are met again once for each diagonal.
+    hits = parts.select("doc_id", "first", F.explode("hits").alias("hit")).select("doc_id", "first", "hit.h", "hit.at")
+    met = hits.join(grams, "h").select("doc_id", "first", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    met = met.join(parts.select("doc_id", "first", "words"), ["doc_id", "first"])
     met = met.join(tests.select("item_id", F.col("words").alias("item_words")).dropDuplicates(["item_id", "item_words"]), "item_id")
     # Along the diagonal: the words of the item against those of the document's part, outside of it null.
     here = F.transform("item_words", lambda w, j: F.coalesce(F.get("words", j + F.col("shift") - F.col("first")) == w, F.lit(False)))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.encode import few_rows_a_batch
 from weftline.shared import settled
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -139,7 +140,8 @@ def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "do
     no seeds and none are found. support: known keys that a context must have had to be a pattern.
     """
     docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = settled(docs.mapInArrow(_scan, "kind string, pii_text string, key string, hint string, near string, wide string, doc_id bigint, begin_at int"), "candidates")
+    with few_rows_a_batch(documents.sparkSession):
+        found = settled(docs.mapInArrow(_scan, "kind string, pii_text string, key string, hint string, near string, wide string, doc_id bigint, begin_at int"), "candidates")
     parts = settled(name_parts.filter("name_part IS NOT NULL AND kind IS NOT NULL").select("name_part", F.lower("kind").alias("k")).mapInArrow(_folded, "part string, k string").distinct(), "names")
     family, given = parts.filter("k = 'family'").select("part"), parts.filter("k = 'given'").select("part")
     by = found.groupBy("kind", "key", "hint").agg(F.count(F.lit(1)).alias("n"))
