@@ -10,19 +10,21 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.shared import settled
+from weftline.shared import partitions_for, settled
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how byte-level BPE vocabularies split texts, with Java's name for Unicode white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 JAVA_SPLIT = SPLIT.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 BLOCK_CHARS = 4_000_000
+BLOCKS_EACH = 4
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -81,11 +83,17 @@ def _blocks(most: int):
     return run
 
 
+@lru_cache(1)
+def vocabulary_of(path: str):
+    """The vocabulary, read once in each Python worker."""
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks(path), special_tokens={})
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        vocabulary = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks(path), special_tokens={})
+        vocabulary = vocabulary_of(path)
         last, last_ids = None, []  # rows come sorted by word
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
@@ -136,8 +144,10 @@ def encode(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.t
         blocks = settled(docs.mapInArrow(_blocks(block_chars), "block bigint, ids array<bigint>, sizes array<int>, width int, codes binary, words array<string>"), "blocks")
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), "block bigint, at int, word_ids array<int>")
-    lists = coded.groupBy("block").agg(F.collect_list(F.struct("at", "word_ids")).alias("entries"))
-    whole = blocks.drop("words").join(lists, "block").select("ids", "sizes", "width", "codes", "entries").mapInArrow(_restore, "doc_id bigint, ids array<int>")
+    # A few blocks a task, however many there are: a task's batch to Python holds all of its blocks.
+    n = partitions_for(documents.sparkSession, blocks.count(), BLOCKS_EACH)
+    lists = coded.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("at", "word_ids")).alias("entries"))
+    whole = blocks.drop("words").repartition(n, "block").join(lists, "block").select("ids", "sizes", "width", "codes", "entries").mapInArrow(_restore, "doc_id bigint, ids array<int>")
     empty = documents.filter(~F.coalesce(some, F.lit(False))).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.array().cast("array<int>").alias("ids"))
     return whole.unionByName(empty)
 
