@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import bucket_width, with_interval, with_sum_before
 from weftline.operators.tags import POSITION
 from weftline.operators.text import windows
 
@@ -17,7 +18,6 @@ def islands(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFrame:
     """
     one = windows(reads, "read_id", "seq", min_len, "ACGNT").withColumnRenamed("kmer_offset", "i").withColumn("h", F.xxhash64("kmer"))
     other = windows(texts, "seq_id", "seq", min_len, "ACGNT").withColumnRenamed("kmer_offset", "o").withColumnRenamed("kmer", "k2").withColumn("h", F.xxhash64("k2"))
-    # Only windows that some read has go into the join's shuffle of the texts' side.
     met = one.join(other, "h").filter("kmer = k2").select("read_id", "i", "seq_id", (F.col("o") - F.col("i")).alias("diagonal"))
     w = Window.partitionBy("read_id", "seq_id", "diagonal").orderBy("i")
     met = met.withColumn("_g", F.col("i") - F.row_number().over(w))
@@ -72,8 +72,6 @@ def hits(places: DataFrame, sa: DataFrame, letters: DataFrame, mode: str = "posi
 
 def longest_run_hits(places: DataFrame, sa: DataFrame, runs: DataFrame) -> DataFrame:
     """(read_id, mem_start, mem_end, seq_id, node_id, is_reverse, node_offset, run_length): for each match and sequence the position in the longest tag run; ties go to the smallest position."""
-    from weftline.operators.ordered import with_interval
-
     rows = places.join(sa, ["seq_id", "seq_off"])
     rows = with_interval(rows, "bwt_pos", runs.withColumn("run_length", F.col("length")), "bwt_start", "length", ["run_length", *POSITION])
     order = F.struct(-F.col("run_length"), *(F.col(c) for c in POSITION))
@@ -97,8 +95,6 @@ def hit_paths(places: DataFrame, positions: DataFrame) -> DataFrame:
 
 def seq_starts(hits_: DataFrame, sequences: DataFrame) -> DataFrame:
     """(seq_id, first_row): where each sequence's hits begin when sorted by sequence, sequences without hits too; one more row, seq_id null, has the total."""
-    from weftline.operators.ordered import bucket_width, with_sum_before
-
     counts = hits_.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
     every = sequences.select(F.col("seq_id").cast("bigint").alias("seq_id")).filter("seq_id IS NOT NULL").distinct().join(counts, "seq_id", "left").fillna(0, ["n"])
     starts = with_sum_before(every, [], "seq_id", "n", "first_row", bucket_width(every, "seq_id")).select("seq_id", F.col("first_row").cast("bigint").alias("first_row"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.ordered import bucket_width, with_sum_before
@@ -19,19 +19,9 @@ def read_lines(spark: SparkSession, path: str, first_id: int = 1) -> DataFrame:
     raw = settled(raw.filter("seq <> ''"), "lines")
     # Ids given by Spark grow along a split; splits are ordered by file and place.
     parts = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
-    order = parts.select("file", "block", "n", "low", F.row_number().over(_by("file", "block")).alias("k"))
+    # one row for each split
+    order = parts.select("file", "block", "n", "low", F.row_number().over(Window.orderBy("file", "block")).alias("k"))
     order = with_sum_before(order, [], "k", "n", "base", bucket_width(order, "k"))
-    inside = F.row_number().over(_within("file", "block", "at"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
     return raw.withColumn("i", inside).join(F.broadcast(order.select("file", "block", "base")), ["file", "block"]).select((F.col("base") + F.col("i") - 1 + first_id).cast("bigint").alias("read_id"), "seq")
 
-
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*cols)  # one row for each input split
-
-
-def _within(file: str, block: str, at: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(file, block).orderBy(at)
