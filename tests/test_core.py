@@ -64,6 +64,15 @@ def test_suffix_array_and_what_hangs_on_it(spark, texts):
     assert counts == sorted((c, letters.count(c)) for c in set(letters))
 
 
+def test_suffix_array_of_long_repeats(spark):
+    r = random.Random(5)
+    long = dna_text(r, 700)
+    texts = [long, long[:650] + "T", long, long[200:], "CA" * 300, "CA" * 299 + "N", long[:699]]
+    sa = text.suffix_array(frame(spark, list(enumerate(texts)), "seq_id bigint, seq string")).orderBy("bwt_pos").collect()
+    want = naive_sa(texts)
+    assert [(x.seq_id, x.seq_off) for x in sa] == want and [x.bwt_pos for x in sa] == list(range(len(want)))
+
+
 def test_suffix_array_of_nothing(spark):
     assert text.suffix_array(frame(spark, [], "seq_id bigint, seq string")).count() == 0
 

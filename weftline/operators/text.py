@@ -19,6 +19,8 @@ from weftline.shared import settled
 
 MARK = "$"
 _KEY = 20
+#: Ranks further on that one round of sorting suffixes looks at.
+_LEAPS = 3
 
 
 def normal(sequences: DataFrame, seq_id: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -83,9 +85,10 @@ def suffixes(texts: DataFrame, chunk: int = 1 << 20) -> DataFrame:
 def suffix_array(texts: DataFrame) -> DataFrame:
     """(bwt_pos, seq_id, seq_off) of texts over ACGNT with one row for each seq_id; other letters count as N.
 
-    Prefix doubling: suffixes get the rank of their first 40 letters, then those that share a rank are told apart by the
-    rank of the suffix 40, 80, 160 letters further on. Only suffixes that still share a rank take part in a round. The first
-    ranks come from the counts of the distinct prefixes, range-partitioned and added up bucket by bucket.
+    Suffixes get the rank of their first 40 letters, then those that share a rank are told apart by the ranks of the
+    suffixes 40, 80 and 120 letters further on, then 160, 320 and 480: each round compares four times the letters. Only
+    suffixes that still share a rank take part in a round. The first ranks come from the counts of the distinct prefixes,
+    range-partitioned and added up bucket by bucket.
     """
     texts = texts.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N"))
     suf = settled(suffixes(texts), "suffixes")
@@ -97,22 +100,26 @@ def suffix_array(texts: DataFrame) -> DataFrame:
     start = counts.join(first.select("k1", "below"), "k1").withColumn("r", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     cur = settled(suf.join(start.select("k1", "k2", "r", "n"), ["k1", "k2"]).select("seq_id", "seq_off", "r", F.col("n").alias("n")), "ranks")
     done, h = None, 2 * _KEY
+    further = [f"r{j}" for j in range(1, _LEAPS + 1)]
     while True:
         open_ = cur.filter("n > 1")
         if open_.isEmpty():
             break
-        known = cur if done is None else cur.select("seq_id", "seq_off", "r").unionByName(done)
-        nxt = known.select("seq_id", (F.col("seq_off") - h).alias("seq_off"), F.col("r").alias("r2"))
-        # Behind the end of its text a suffix is told apart by its text: the end-markers are ordered by seq_id.
-        at = open_.select("seq_id", "seq_off", "r").join(nxt, ["seq_id", "seq_off"], "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("bigint"))).withColumn("tie", F.when(F.col("r2") < 0, F.col("seq_id")).otherwise(F.lit(0)))
-        pairs = at.groupBy("r", "r2", "tie").agg(F.count(F.lit(1)).alias("n"))
-        below = Window.partitionBy("r").orderBy("r2", "tie").rowsBetween(Window.unboundedPreceding, -1)
+        known = cur.select("seq_id", "seq_off", "r") if done is None else cur.select("seq_id", "seq_off", "r").unionByName(done)
+        asked = open_.select("seq_id", "seq_off", "r", F.explode(F.array(*(F.lit(j) for j in range(1, _LEAPS + 1)))).alias("leap"))
+        asked = asked.withColumn("_at", F.col("seq_off") + F.col("leap") * F.lit(h).cast("bigint"))
+        met = asked.join(known.select("seq_id", F.col("seq_off").alias("_at"), F.col("r").alias("_r")), ["seq_id", "_at"], "left").withColumn("_r", F.coalesce("_r", F.lit(-1).cast("bigint")))
+        at = met.groupBy("seq_id", "seq_off").agg(F.min("r").alias("r"), *(F.max(F.when(F.col("leap") == j, F.col("_r"))).alias(f"r{j}") for j in range(1, _LEAPS + 1)))
+        # Behind the end of its text a suffix is told apart by its text: the end-markers are ordered by seq_id. What is behind one end is behind all that share the rank.
+        at = at.withColumn("tie", F.when(F.least(*further) < 0, F.col("seq_id")).otherwise(F.lit(0)))
+        pairs = at.groupBy("r", *further, "tie").agg(F.count(F.lit(1)).alias("n"))
+        below = Window.partitionBy("r").orderBy(*further, "tie").rowsBetween(Window.unboundedPreceding, -1)
         pairs = pairs.withColumn("new", F.col("r") + F.coalesce(F.sum("n").over(below), F.lit(0)))
-        fresh = at.join(pairs, ["r", "r2", "tie"]).select("seq_id", "seq_off", F.col("new").alias("r"), "n")
+        fresh = at.join(pairs, ["r", *further, "tie"]).select("seq_id", "seq_off", F.col("new").alias("r"), "n")
         over = cur.filter("n = 1").select("seq_id", "seq_off", "r")
         done = over if done is None else done.unionByName(over)
         cur = settled(fresh, "ranks")
-        h *= 2
+        h *= _LEAPS + 1
     out = cur.select("seq_id", "seq_off", "r") if done is None else cur.select("seq_id", "seq_off", "r").unionByName(done)
     return out.select(F.col("r").alias("bwt_pos"), "seq_id", "seq_off")
 
