@@ -1,11 +1,13 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm import key_queries
 from weftline.llm.event_runs import collapse_runs
-from weftline.llm.seen_keys import Sealed, mix, seen_before
+from weftline.llm.seen_keys import Sealed, answer_errors, mix, seen_before
 from weftline.llm.shared_spans import SpanIndex, WaveletMatrix, shared_spans
 from weftline.llm.term_counts import RECORDS, TermCounts, count_terms, mark_terms, record_terms, signed_deltas
 from weftline.shared import fresh_path
@@ -144,6 +146,41 @@ def test_seen_before_with_weak_fingerprints_measures_its_errors(spark):
     assert seen_before(df.limit(0), "k", "row_id").filter("row_id IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("files", [1, 5])
+def test_error_rate_counts_every_row(spark, tmp_path, monkeypatch, files):
+    r = random.Random(8)
+    keys = [r.getrandbits(62) for _ in range(3000)]
+    data = [(i, keys[0] if i % 4 == 0 else None if i % 50 == 1 else r.choice(keys)) for i in range(8000)]
+    data += [(8001, -3), (8001, -3), (8002, -4), (8002, keys[0]), (None, keys[1])]
+    r.shuffle(data)
+    frame(spark, data, "row_id bigint, kmer_key bigint").repartition(files).write.parquet(str(tmp_path / "kmers.parquet"))
+    frame(spark, [(k,) for k in keys[:200]] * 2 + [(None,)], "kmer_key bigint").write.parquet(str(tmp_path / "seen_keys.parquet"))
+    d = str(tmp_path)
+    weak = seen_before(key_queries.table(spark, d, "kmers"), "kmer_key", "row_id", key_queries.table(spark, d, "seen_keys"), batch_rows=300, bits=4).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    weak.count()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(key_queries, "seen_before", lambda *args: weak)
+    looked = [(i, k) for i, k in data if i is not None and k is not None]
+    first = {}
+    for i, k in looked:
+        first[k] = min(i, first.get(k, i))
+    true = Counter(i for i, k in looked if i > first[k] or k in keys[:200])
+    called = Counter(x.row_id for x in key_queries.p3_found(spark, d).collect())
+    wrong = (called - true).total() + (true - called).total()
+    got = key_queries.p3_error_rate(spark, d).first()
+    assert wrong > 20 and (got.n_answers, got.n_wrong) == (len(looked), wrong) and got.wrong_share == wrong / len(looked)
+
+
+def test_answer_errors_of_any_answers(spark):
+    df = frame(spark, [(0, 1), (1, 1), (2, 2), (3, 3), (4, 9)], "row_id bigint, k bigint")
+    found = lambda *ids: frame(spark, [(i,) for i in ids], "row_id bigint")
+    assert answer_errors(df, "k", "row_id", found(1, 4), found(9), "row_id").first()[:2] == (5, 0)
+    assert answer_errors(df, "k", "row_id", found(1, 2)).first()[:2] == (5, 1)  # a new key called seen
+    assert answer_errors(df, "k", "row_id", found()).first()[:2] == (5, 1)  # a seen key called new
+    assert tuple(answer_errors(df.limit(0), "k", "row_id", found()).first()) == (0, 0, None)
+
+
 def test_wavelet_matrix_steps():
     r = np.random.default_rng(1)
     s = r.integers(0, 5, 1000).astype(np.uint8)

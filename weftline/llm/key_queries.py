@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.event_runs import collapse_runs
-from weftline.llm.seen_keys import seen_before
+from weftline.llm.seen_keys import answer_errors, seen_before
 from weftline.llm.shared_spans import shared_spans
 from weftline.llm.term_counts import RECORDS, TermCounts, count_terms, mark_terms
 from weftline.shared import fresh_path
@@ -51,8 +51,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Keys looked up, those also kept exactly, wrong answers among them and their share."""
-    return _seen(spark, d).agg(F.sum("answers").alias("n_answers"), F.sum("audited").alias("n_audited"), F.sum("wrong").alias("n_wrong"), F.try_divide(F.sum("wrong"), F.sum("audited")).alias("wrong_share"))
+    """Rows looked up, wrong answers of p3_found among them and their share."""
+    return answer_errors(table(spark, d, "kmers"), "kmer_key", "row_id", p3_found(spark, d), table(spark, d, "seen_keys"))
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:

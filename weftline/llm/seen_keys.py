@@ -2,8 +2,9 @@
 
 Keys are partitioned by hash. A task takes its rows in order of arrival, in batches. Keys of earlier batches are sealed:
 a minimal perfect hash (about three bits a key) gives each of them its own slot in an array of 32-bit fingerprints. A key
-was seen if a sealed part has its fingerprint in its slot, or if the exact set of the current batch has it. Keys with a
-fixed 64th of the hash values are also kept exactly, to measure how often the answer is wrong.
+was seen if a sealed part has its fingerprint in its slot, or if the exact set of the current batch has it. How often the
+answers for all rows are wrong is measured afterwards, against exact first rows. Keys with a fixed 64th of the hash values
+are also kept exactly, for an estimate while the rows stream.
 """
 
 from __future__ import annotations
@@ -165,11 +166,12 @@ def _stream(batch_rows: int, bits: int, audit: int):
 
 
 def seen_before(rows: DataFrame, key: str, row_id: str, earlier: DataFrame | None = None, earlier_key: str | None = None, batch_rows: int = 1 << 20, bits: int = 32, audit: int = AUDIT, rows_each: int = 4_000_000) -> DataFrame:
-    """Rows whose key is among the earlier keys or in a row with a smaller id; and, one row a task, how often answers are wrong.
+    """Rows whose key is among the earlier keys or in a row with a smaller id; and, one row a task, an estimate of how often answers are wrong.
 
     Returns (row_id, answers, audited, wrong). Rows with a row_id are the seen ones; the others have a task's counts: keys
     looked up, those also kept exactly, and wrong answers among them. A wrong answer is always a "seen" for a new key, with
-    probability 2^-bits for each sealed part asked.
+    probability 2^-bits for each sealed part asked. The counts are of first rows of keys in each batch of a task, so they
+    change with the layout of the rows; answer_errors has the counts over all rows.
 
     Rows with a null key were never seen and seal nothing; rows with a null id have no place in the order and are ignored.
     Rows that repeat an id don't count as earlier than each other. Ids must not be negative. Empty tables give no rows.
@@ -185,3 +187,26 @@ def seen_before(rows: DataFrame, key: str, row_id: str, earlier: DataFrame | Non
     n = partitions_for(spark, mine.count(), rows_each)
     routed = mine.mapInArrow(_within_batch, "k bigint, r bigint, route bigint").repartition(n, "route").select("k", "r").sortWithinPartitions("r")
     return routed.mapInArrow(_stream(batch_rows, bits, audit), "row_id bigint, answers bigint, audited bigint, wrong bigint")
+
+
+def answer_errors(rows: DataFrame, key: str, row_id: str, found: DataFrame, earlier: DataFrame | None = None, earlier_key: str | None = None) -> DataFrame:
+    """One row: n_answers, n_wrong, wrong_share of the answers `found`, the ids of the rows called seen (row_id), over all rows.
+
+    The truth is exact: a row is new if its key isn't among the earlier keys and no row with a smaller id has it. An id's wrong
+    answers are the difference between its rows called seen and its rows that are; of an id that many rows share, a new row
+    called seen and a seen row called new would cancel, but the second never happens. Rows with a null key or id aren't looked
+    up and don't count. Without rows the share is null.
+
+    Rows meet by (key, id) and by id only; by key alone, one row a task and key is shuffled.
+    """
+    mine = rows.select(F.col(key).cast("bigint").alias("k"), F.col(row_id).cast("bigint").alias("r")).filter("k IS NOT NULL AND r IS NOT NULL")
+    first = mine.groupBy("k", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.min(F.struct("r", "n")).alias("f"))
+    if earlier is not None:
+        old = earlier.select(F.col(earlier_key or key).cast("bigint").alias("k")).filter("k IS NOT NULL").distinct()
+        first = first.join(old, "k", "left_anti")
+    # An id's rows called seen, less its rows, and its new rows again: called seen less truly seen.
+    called = found.select(F.col("row_id").cast("bigint").alias("r"), F.lit(1).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("n")).filter("r IS NOT NULL")
+    every = called.unionByName(mine.select("r", F.lit(-1).cast("bigint").alias("d"), F.lit(1).cast("bigint").alias("n"))).unionByName(first.select("f.r", F.col("f.n").alias("d"), F.lit(0).cast("bigint").alias("n")))
+    each = every.groupBy("r").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"), F.coalesce(F.sum(F.abs("d")), F.lit(0)).alias("n_wrong"))
+    return out.withColumn("wrong_share", F.try_divide("n_wrong", "n_answers"))
