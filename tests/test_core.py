@@ -189,6 +189,15 @@ def test_mems(spark, letters, need):
         mems.find_mems(q, t, 0)
 
 
+def test_nodes_of_texts_with_many_steps(spark):
+    far = (1 << 20) + 3
+    texts = [(0, "AAAA" * far + "ACGG"), (1, "AAAA" * 3 + "CCCA"), (2, "")]
+    nodes, steps = graph.chop(frame(spark, texts, "seq_id bigint, seq string"), 4)
+    assert rows(nodes) == [(0, "AAAA"), (far, "ACGG"), (far + 1 + 3, "CCCA")]
+    last = graph.path_positions(steps, nodes).filter(f"step = {far} OR seq_id = 1 AND step = 3")
+    assert rows(last.select("seq_id", "step", "path_start", "node_id")) == [(0, far, 4 * far, far), (1, 3, 12, far + 4)]
+
+
 def test_graph_tags_and_hits(spark):
     r = random.Random(3)
     a = dna_text(r, 100)

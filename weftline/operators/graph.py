@@ -15,12 +15,15 @@ def chop(texts: DataFrame, width: int = 32) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, seq) and path steps (seq_id, step, node_id, is_reverse) of texts cut into pieces of `width` letters.
 
     Pieces that read the same on either strand are one node, labelled by the smaller reading; its id is that of its first
-    step, seq_id * 2^20 + step. Empty texts have no steps.
+    step, seq_id * steps + step, where steps is 2^20 or, if a text has more, the steps of the longest text. Empty texts have
+    no steps. Reads the texts once for their length.
     """
+    longest = texts.agg(F.max(F.length(as_bytes(F.col("seq"))))).first()[0] or 0
+    each = max(1 << 20, -(-longest // width))
     cut = texts.filter(F.length("seq") > 0).select("seq_id", as_bytes(F.col("seq")).alias("_b")).select("seq_id", "_b", F.explode(F.expr(f"sequence(0, (length(_b) - 1) div {width})")).alias("step"))
     piece = cut.select("seq_id", F.col("step").cast("bigint").alias("step"), F.substring("_b", (F.col("step") * width + 1).cast("int"), F.lit(width)).cast("string").alias("p"))
     piece = piece.withColumn("rc", reverse_complement(F.col("p"))).withColumn("label", F.least("p", "rc")).withColumn("is_reverse", (F.col("rc") < F.col("p")).cast("int"))
-    nodes = piece.groupBy("label").agg(F.min(F.col("seq_id") * (1 << 20) + F.col("step")).alias("node_id"))
+    nodes = piece.groupBy("label").agg(F.min(F.col("seq_id") * F.lit(each).cast("bigint") + F.col("step")).alias("node_id"))
     steps = piece.join(nodes, "label").select("seq_id", "step", "node_id", "is_reverse")
     return nodes.select("node_id", F.col("label").alias("seq")), steps
 

@@ -48,8 +48,10 @@ class Index:
 
     @property
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        nodes, steps = graph.chop(self.texts, NODE)
-        return self._once("nodes", lambda: nodes), self._once("steps", lambda: steps)
+        if "steps" not in self._known:
+            nodes, steps = graph.chop(self.texts, NODE)
+            return self._once("nodes", lambda: nodes), self._once("steps", lambda: steps)
+        return self._known["nodes"], self._known["steps"]
 
     @property
     def positions(self) -> DataFrame:
