@@ -92,6 +92,14 @@ def test_leaks_with_replaced_words(spark):
     assert leaks(docs(spark, []), bench).count() == 0 and leaks(docs(spark, [item]), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_long_items_far_from_their_hits(spark):
+    item = [f"word{i}" for i in range(260)]
+    spoiled = ["other" if 20 <= i < 240 and i % 3 == 0 else w for i, w in enumerate(item)]  # no window of the middle is a hit
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "short " * 20)], "item_id bigint, text string")
+    x = leaks(docs(spark, ["before " * 9 + " ".join(spoiled) + " after" * 9]), bench).collect()
+    assert [(r.item_id, r.n_exact, r.n_matched, r.n_span) for r in x] == [(1, 22, 260 - spoiled.count("other"), 260)]
+
+
 GIVEN, FAMILY = ["Anna", "Kenji", "Noor", "Zoë", "Mateo"], ["Ostdahl", "Quenimoto", "O'Ryssøya", "Veldwick", "Torrander", "Haskmoor"]
 
 

@@ -23,8 +23,6 @@ from weftline.shared import settled
 WINDOW = 13
 #: Positions that each mask ignores. Together they are all inner positions, so one replaced word inside a window leaves a mask that matches.
 IGNORED = ((1, 5, 8, 10), (2, 4, 7, 11), (3, 6, 9))
-#: Words around the windows of a hit in which an overlap is followed.
-CONTEXT = 64
 PROBES_AT_ONCE = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -67,8 +65,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["item_id", "words", "hashes"])
 
 
-def _documents(probes):
-    """Segments of documents whose masked windows are among the probes; without probes, all of them."""
+def _documents(probes, context: int):
+    """Segments of documents whose masked windows are among the probes, with `context` words on either side; without probes, all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if probes is None else probes.value
@@ -110,7 +108,7 @@ def _documents(probes):
                     own = places[a:b]
                     doc = owner[own[0]]
                     begin = int(ends[doc] - sizes[doc])
-                    lo, hi = max(begin, int(own[0]) - CONTEXT), min(int(ends[doc]), int(own[-1]) + WINDOW + CONTEXT)
+                    lo, hi = max(begin, int(own[0]) - context), min(int(ends[doc]), int(own[-1]) + WINDOW + context)
                     hv = h[:, own].view(np.int64)
                     hits = [{"h": int(x), "at": int(p - begin)} for k in range(len(hv)) for x, p in zip(hv[k], own)]
                     out.append((ids[doc], lo - begin, flat[lo:hi], hits))
@@ -140,9 +138,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         probes = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in distinct.toLocalIterator()], np.int64)))
         if not len(probes.value):
             return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_exact int, n_matched int, n_span int")
+    # With as many words on either side of a hit as the longest item has, the item lies in the segment wherever the hit is in it.
+    context = tests.agg(F.max(F.size("words"))).first()[0] or 0
     docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     with few_rows_a_batch(spark):
-        parts = settled(docs.mapInArrow(_documents(probes), "doc_id bigint, first int, words array<string>, hits array<struct<h:bigint,at:int>>"), "parts")
+        parts = settled(docs.mapInArrow(_documents(probes, context), "doc_id bigint, first int, words array<string>, hits array<struct<h:bigint,at:int>>"), "parts")
     # Hits go into the join without their words; these are met again once for each diagonal.
     hits = parts.select("doc_id", "first", F.explode("hits").alias("hit")).select("doc_id", "first", "hit.h", "hit.at")
     met = hits.join(grams, "h").select("doc_id", "first", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
