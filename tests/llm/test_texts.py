@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm import text_queries
 from weftline.llm.encode import TOKENIZERS, decode, encode, pieces
 from weftline.llm.leaks import leaks, words
 from weftline.llm.personal import find_personal, redact
@@ -134,6 +135,24 @@ def test_personal(spark):
     assert clean[len(texts)] is None and clean[len(texts) + 1] == "" and clean[len(texts) + 3] == "A" * 5000
 
 
+def test_redacted_texts_without_an_id_of_their_own(spark, tmp_path):
+    texts, truth = corpus()
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    parts = spark.createDataFrame([(x, "given") for x in GIVEN[:3]] + [(x.lower(), "family") for x in FAMILY[:4]], "name_part string, kind string")
+    parts.write.parquet(str(tmp_path / "name_parts.parquet"))
+    want = []
+    for i, t in enumerate(texts):
+        for _, kind, s in sorted((x for x in truth if x[0] == i), key=lambda x: -len(x[2])):
+            t = t.replace(s, f"[{kind.upper()}]")
+        want.append((ids[i], t))
+    got = [tuple(x) for x in text_queries.p8_redacted(spark, str(tmp_path)).select("doc_id", "text").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    bare = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "doc_id bigint, kind string, pii_text string, begin_at int, end_at int")
+    assert sorted(map(tuple, redact(bare, none).collect()), key=repr) == [(1, "b"), (None, None)]
+
+
 def test_personal_of_nothing(spark):
     none = spark.createDataFrame([], "name_part string, kind string")
     assert find_personal(docs(spark, []), none).count() == 0

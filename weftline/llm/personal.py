@@ -135,7 +135,8 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 3) -> DataFrame:
     """Occurrences (doc_id, kind, pii_text, begin_at, end_at) in code points, 0-based, end exclusive.
 
-    Null and empty texts have none. Every row of documents is searched as it stands; a repeated row repeats its occurrences.
+    Null and empty texts have none. Rows with a null id aren't searched; every other row of documents is, as it stands; a
+    repeated row repeats its occurrences.
     Null name parts and kinds are ignored, their case doesn't matter. Without name parts, persons and e-mail addresses have
     no seeds and none are found. support: known keys that a context must have had to be a pattern.
     """
@@ -176,14 +177,16 @@ def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "do
     return best.withColumn("_reach", reach).filter("_reach IS NULL OR _reach < end_at").drop("_reach")
 
 
-def redact(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
     """(doc_id, text): the texts with [KIND] in the place of each entity, all other characters as they were.
 
     Of entities that overlap the one that begins first goes, of two at one place the longer. Texts without an entity, empty
-    and null texts stay as they are. doc_id must tell the rows apart.
+    and null texts stay as they are. doc_id must tell the rows apart; texts without one can't be searched and come out null.
+    name: the column given out as doc_id, where it is another one.
     """
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin_at", "end_at", "kind")).alias("spans"))
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(spans, "doc_id", "left")
+    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(name or doc_id).cast("bigint").alias("name")).join(spans, "doc_id", "left")
+    docs = docs.select("name", F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text"), "spans")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

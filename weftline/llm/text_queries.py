@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm.encode import encode
 from weftline.llm.leaks import WINDOW, leaks
 from weftline.llm.personal import find_personal, redact
+from weftline.shared import settled
 from weftline.sources.tables import table
 
 
@@ -28,8 +30,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return redact(docs, find_personal(docs, table(spark, d, "name_parts")))
+    # Rows are told apart by a key of this run, so that those with a null or repeated doc_id are searched too.
+    docs = settled(table(spark, d, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row_key")), "documents")
+    return redact(docs, find_personal(docs, table(spark, d, "name_parts"), "row_key"), "row_key", name="doc_id")
 
 
 QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_redacted": p8_redacted}
