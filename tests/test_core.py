@@ -189,6 +189,17 @@ def test_mems(spark, letters, need):
         mems.find_mems(q, t, 0)
 
 
+def test_tags_of_empty_texts_are_split_and_merged(spark):
+    t = frame(spark, [(0, "ACGTACCA"), (1, ""), (2, "GGATTC"), (3, "")], "seq_id bigint, seq string")
+    sa = frame(spark, [(k, *p) for k, p in enumerate(naive_sa(["ACGTACCA", "", "GGATTC", ""]))], "bwt_pos bigint, seq_id bigint, seq_off bigint")
+    nodes, steps = graph.chop(t, 4)
+    tag = tags.tag_array(sa, graph.letter_positions(graph.path_positions(steps, nodes)))
+    comp = frame(spark, [(0, 0), (2, 2 << 20)], "seq_id bigint, comp_id bigint")
+    parts = tags.split_by_component(tag, sa, comp)
+    assert parts.select("comp_id").distinct().count() == 4
+    assert rows(tags.merge_components(parts, sa, comp)) == rows(tag)
+
+
 def test_nodes_of_texts_with_many_steps(spark):
     far = (1 << 20) + 3
     texts = [(0, "AAAA" * far + "ACGG"), (1, "AAAA" * 3 + "CCCA"), (2, "")]

@@ -93,9 +93,14 @@ def tag_at(points: DataFrame, point: str, runs: DataFrame) -> DataFrame:
     return with_interval(points, point, runs.withColumn("run_start", F.col("bwt_start")), "bwt_start", "length", ["run_start", *POSITION])
 
 
+def _with_component(rows: DataFrame, seq_comp: DataFrame) -> DataFrame:
+    """Add comp_id by seq_id; a sequence without steps is a component of its own, numbered below all nodes."""
+    return rows.join(seq_comp, "seq_id", "left").withColumn("comp_id", F.coalesce("comp_id", -1 - F.col("seq_id")))
+
+
 def split_by_component(tags: DataFrame, sa: DataFrame, seq_comp: DataFrame) -> DataFrame:
     """(comp_id, row_no, position): a tag array for each component, rows counted from 0 in the order of the whole."""
-    own = tags.join(sa.select("bwt_pos", "seq_id"), "bwt_pos").join(seq_comp, "seq_id").withColumn("_one", F.lit(1))
+    own = _with_component(tags.join(sa.select("bwt_pos", "seq_id"), "bwt_pos"), seq_comp).withColumn("_one", F.lit(1))
     out = with_sum_before(own, ["comp_id"], "bwt_pos", "_one", "row_no", bucket_width(own, "bwt_pos"))
     return out.select("comp_id", "row_no", *POSITION)
 
@@ -105,6 +110,6 @@ def merge_components(parts: DataFrame, sa: DataFrame, seq_comp: DataFrame) -> Da
 
     Both sides are numbered inside the component and joined on that number.
     """
-    rows = sa.select("bwt_pos", "seq_id").join(seq_comp, "seq_id").withColumn("_one", F.lit(1))
+    rows = _with_component(sa.select("bwt_pos", "seq_id"), seq_comp).withColumn("_one", F.lit(1))
     rows = with_sum_before(rows, ["comp_id"], "bwt_pos", "_one", "row_no", bucket_width(rows, "bwt_pos"))
     return rows.join(parts, ["comp_id", "row_no"]).select("bwt_pos", *POSITION)
