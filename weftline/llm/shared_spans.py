@@ -1,10 +1,12 @@
 """Problem 4: spans of at least a given length that appear verbatim in more than one record.
 
 Two records share a span of at least `span` letters exactly where they share windows of `span` letters. All windows with
-the same minimizer (their smallest hashed m-mer) go to the same shard, in the longest pieces that hold only such windows.
-A shard is sorted by minimizer and indexed in parts of bounded size: the Burrows-Wheeler transform of the part's pieces in
-a wavelet matrix. Every piece is then searched backward in it, letter by letter; from `span` letters on, the interval of
-the current window is kept by dropping the last letter, and windows whose interval holds two records are reported.
+the same minimizer (their smallest hashed m-mer) go to the same shard, in the longest pieces that hold only such windows;
+a minimizer with more letters than a task indexes at once is cut again by a longer one. Equal pieces are one piece with its
+lowest and highest record, and a minimizer that one record alone holds is dropped. What is left of a shard is indexed in parts of
+bounded size: the Burrows-Wheeler transform of the pieces in a wavelet matrix. Every piece is then streamed backward
+through it, letter by letter, with its matching statistics: the longest match that begins at the letter and stands in two
+records, as an interval and a length. Intervals of at least `span` letters are reported.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from weftline.shared import partitions_for, settled
 
 #: Letters by their order; every other letter ends a span.
 LETTERS = b"ACGT"
-PIECE = "route bigint, text bigint, record bigint, start int, letters binary, many boolean"
-SPAN_OUT = "text bigint, record bigint, span_start int, span_end int"
+PIECE = "route bigint, text bigint, record bigint, start int, n int, letters binary, low bigint, high bigint"
+ANSWER = "route bigint, print bigint, a int, b int"
 _CODE = np.zeros(256, np.uint8)
-_CODE[np.frombuffer(LETTERS, np.uint8)] = np.arange(1, 5)
+for _case in (LETTERS, LETTERS.lower()):
+    _CODE[np.frombuffer(_case, np.uint8)] = np.arange(1, 5)
+_CAPITAL = np.frombuffer(b"N" + LETTERS, np.uint8)
 
 
 class WaveletMatrix:
@@ -80,64 +84,94 @@ def _packed(codes: np.ndarray, n: int) -> np.ndarray:
         width *= 2
 
 
+def _nearest_smaller(v: np.ndarray, ahead: bool) -> np.ndarray:
+    """Of each place but the first and the last, which hold the smallest value, the nearest place with a smaller value before or behind it."""
+    at = np.arange(len(v)) + (1 if ahead else -1)
+    at[0], at[-1] = 0, len(v) - 1
+    open_ = np.arange(1, len(v) - 1)
+    while len(open_):
+        open_ = open_[v[at[open_]] >= v[open_]]
+        at[open_] = at[at[open_]]  # all between are not smaller either
+    return at
+
+
 class SpanIndex:
-    """FM-index of pieces, for patterns of up to span + 1 letters."""
-
-    def __init__(self, codes: np.ndarray, record: np.ndarray, many: np.ndarray, span: int):
-        """codes: letters 1 to 4, a 0 behind each piece; record and many: of each letter's piece."""
-        k, keys = span + 1, []
-        while k > 0:
-            keys.append(min(21, k))
-            k -= 21
-        at, cols = 0, []
-        for w in keys:
+    """FM-index of pieces for patterns of up to `span` letters: their matches that stand in two records."""
+
+    def __init__(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray, span: int):
+        """codes: letters 1 to 4, a 0 behind each piece; low and high: the lowest and highest record of each letter's piece."""
+        widths = [min(21, span - at) for at in range(0, span, 21)]
+        cols = []
+        for k, w in enumerate(widths):
             p = _packed(codes, w)
-            cols.append(np.r_[p[at:], np.zeros(min(at, len(p)), np.int64)])
-            at += w
+            cols.append(np.r_[p[21 * k :], np.zeros(min(21 * k, len(p)), np.int64)])
         order = np.lexsort(cols[::-1])
-        self.bwt = WaveletMatrix(codes[order - 1])
-        # Rows with the same first `span` letters are one group; the last letter of the sort is dropped for that.
-        new = np.zeros(len(order), bool)
-        new[0] = True
-        for j, col in enumerate(cols):
-            c = col[order]
-            if j == len(cols) - 1:
-                c = c >> 3
-            new[1:] |= c[1:] != c[:-1]
-        self.first = np.r_[np.flatnonzero(new), len(order)]
-        self.group = (np.cumsum(new) - 1).astype(np.int32)
-        r = record[order]
-        self.shared = (np.minimum.reduceat(r, self.first[:-1]) != np.maximum.reduceat(r, self.first[:-1])) | np.logical_or.reduceat(many[order], self.first[:-1])
         self.n, self.span = len(order), span
-
-    def matches(self, codes: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """For the pieces that end before `ends`, longest first: the pieces whose window is shared, and the window's distance from the piece's last one."""
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        self.bwt = WaveletMatrix(codes[order - 1])
+        # letters that each row has in common with the row before it; below all others at both ends
+        same, still = np.zeros(self.n + 1, np.int16), np.ones(self.n - 1, bool)
+        for col, w in zip(cols, widths):
+            x = col[order]
+            x = x[1:] ^ x[:-1]
+            high_bit = np.frexp(x.astype(np.float64))[1]  # numbers of 63 bits may be rounded up to the next power of two
+            high_bit -= (x > 0) & (high_bit > 0) & ((x >> np.maximum(high_bit - 1, 0)) == 0)
+            same[1:-1][still] += (w - (high_bit + 2) // 3)[still].astype(np.int16)
+            still &= x == 0
+        same[0] = same[-1] = -1
+        self.same, self.before, self.behind = same, _nearest_smaller(same, False), _nearest_smaller(same, True)
+        # Rows that agree in span - 1 letters: the interval to go on from once a match has span letters.
+        new = same[:-1] < span - 1
+        self.first, self.group = np.r_[np.flatnonzero(new), self.n], np.cumsum(new) - 1
+        # From each row the nearest row, itself too, by which two records are met.
+        a, b = low[order], high[order]
+        far = np.full(self.n + 1, self.n + 1)
+        change = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+        ahead = np.r_[change, self.n + 1]
+        far[:-1] = np.where(a != b, np.arange(self.n), ahead[np.searchsorted(change, np.arange(self.n), side="right")])
+        self.two = far
+
+    def statistics(self, codes: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """For pieces that end before `ends`, longest first: at each step backward the lengths of their matches in two records, at most span."""
+        lo, hi, has = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64), np.zeros(len(ends), np.int64)
         for j in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -j, side="left"))  # pieces of more than j letters
-            c = codes[ends[:live] - 1 - j].astype(np.int64)
-            lo, hi = self.bwt.step(lo[:live], c), self.bwt.step(hi[:live], c)
-            if j + 1 >= self.span:
-                g = self.group[lo]
-                lo, hi = self.first[g], self.first[g + 1]
-                yield np.flatnonzero(self.shared[g]), j + 1 - self.span
+            lo, hi, has = lo[:live], hi[:live], has[:live]
+            full = np.flatnonzero(has == self.span)
+            g = self.group[lo[full]]
+            lo[full], hi[full], has[full] = self.first[g], self.first[g + 1], self.span - 1
+            letter, todo = codes[ends[:live] - 1 - j].astype(np.int64), np.arange(live)
+            while len(todo):
+                a, b = self.bwt.step(lo[todo], letter[todo]), self.bwt.step(hi[todo], letter[todo])
+                good = (a < b) & (self.two[a] < b)
+                at = todo[good]
+                lo[at], hi[at] = a[good], b[good]
+                has[at] += 1
+                # The others give up letters at their end, as many as it takes to stand in more rows.
+                todo = todo[~good]
+                todo = todo[has[todo] > 0]
+                l, r = lo[todo], hi[todo]
+                left, right = self.same[l], self.same[r]
+                has[todo] = np.maximum(left, right)
+                lo[todo] = np.where(left >= right, self.before[l], l)
+                hi[todo] = np.where(right >= left, self.behind[r], r)
+            yield has
 
 
 def _pieces(span: int, m: int):
+    """Cut (text, record, start, letters) into pieces of windows with one minimizer. Of equal pieces in a batch the first one has their lowest and highest record."""
     w = span - m + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, rec, many = (np.asarray(batch.column(k)) for k in (0, 1, 2))
+            text, rec, first = (np.asarray(batch.column(k)) for k in (0, 1, 2))
             seqs = batch.column(3).cast(pa.large_binary())
             raw = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)
             offs = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
-            body = raw[offs[0] : offs[-1]]
+            code = _CODE[raw[offs[0] : offs[-1]]]
             offs = offs - offs[0]
-            n = len(body)
+            n = len(code)
             if n < span:
                 continue
-            code = _CODE[body]
             owner = np.repeat(np.arange(len(text)), np.diff(offs))
             # windows that lie in one record and hold letters only
             bad = np.r_[0, np.cumsum(code == 0)]
@@ -145,7 +179,7 @@ def _pieces(span: int, m: int):
             # the smallest hash of the m-mers of each window
             v = np.zeros(n - m + 1, np.uint64)
             for j in range(m):
-                v = (v << np.uint64(2)) | ((code[j : n - m + 1 + j].astype(np.uint64) - np.uint64(1)) & np.uint64(3))
+                v = v * np.uint64(0x9E3779B97F4A7C15) + code[j : n - m + 1 + j]
             h = mix(v, 77)
             size, low = 1, h
             while size * 2 <= w:
@@ -160,30 +194,45 @@ def _pieces(span: int, m: int):
             s = at[new]
             e = np.r_[at[np.flatnonzero(new)[1:] - 1], at[-1]] + span
             o = owner[s]
-            data = body.tobytes()
+            data = _CAPITAL[code].tobytes()
             letters = pa.array([data[a:b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())
-            # The same piece in several records of this batch: all its windows are shared; one row speaks for all.
             known = np.asarray(letters.dictionary_encode().indices)
-            by = np.lexsort((rec[o], known))
+            by = np.argsort(known, kind="stable")
             head = np.flatnonzero(np.r_[True, known[by][1:] != known[by][:-1]])
-            lowest, highest = np.minimum.reduceat(rec[o][by], head), np.maximum.reduceat(rec[o][by], head)
-            multi = ((lowest != highest) | np.logical_or.reduceat(many[o][by], head))[known[by[head]].argsort()][known]
-            single = ~multi
-            speak = np.zeros(len(s), bool)
-            speak[by[head]] = True
-            send = single | speak
-            yield pa.RecordBatch.from_arrays([pa.array(route[new].view(np.int64)[send]), pa.array(text[o][send]), pa.array(rec[o][send]), pa.array((s - offs[o]).astype(np.int32)[send]), letters.filter(pa.array(send)), pa.array(multi[send])], names=["route", "text", "record", "start", "letters", "many"])
-            local = np.flatnonzero(multi & ~many[o])
-            if len(local):  # answered here: rows without a route
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(local), pa.int64()), pa.array(text[o][local]), pa.array(rec[o][local]), pa.array((s - offs[o]).astype(np.int32)[local]), letters.take(pa.array(local)), pa.array(np.ones(len(local), bool))], names=["route", "text", "record", "start", "letters", "many"])
+            quiet = np.ones(len(s), bool)
+            speaker = by[head]
+            quiet[speaker] = False
+            lowest, highest = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+            lowest[speaker], highest[speaker] = np.minimum.reduceat(rec[o][by], head), np.maximum.reduceat(rec[o][by], head)
+            cols = [pa.array(route[new].view(np.int64)), pa.array(text[o]), pa.array(rec[o]), pa.array((first[o] + s - offs[o]).astype(np.int32)), pa.array((e - s).astype(np.int32)), letters, pa.array(lowest, mask=quiet), pa.array(highest, mask=quiet)]
+            yield pa.RecordBatch.from_arrays(cols, names=["route", "text", "record", "start", "n", "letters", "low", "high"])
 
     return run
 
 
 def _search(span: int, part: int):
+    names = ["route", "print", "letters", "low", "high"]
+
+    def merged(rows: pa.Table) -> pa.Table:
+        """Equal pieces, which are neighbours, as one."""
+        route, print_, low, high = (np.asarray(rows.column(k).combine_chunks()) for k in ("route", "print", "low", "high"))
+        head = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (print_[1:] != print_[:-1])])
+        if len(head) == len(route):
+            return rows
+        return pa.table([pa.array(route[head]), pa.array(print_[head]), rows.column("letters").take(pa.array(head)), pa.array(np.minimum.reduceat(low, head)), pa.array(np.maximum.reduceat(high, head))], names=names)
+
+    def of_two(rows: pa.Table) -> pa.Table:
+        """Pieces whose minimizer two records hold."""
+        if not rows.num_rows:
+            return rows
+        route, low, high = (np.asarray(rows.column(k).combine_chunks()) for k in ("route", "low", "high"))
+        new = np.r_[True, route[1:] != route[:-1]]
+        head = np.flatnonzero(new)
+        return rows.filter(pa.array((np.minimum.reduceat(low, head) != np.maximum.reduceat(high, head))[np.cumsum(new) - 1]))
+
     def answer(rows: pa.Table) -> pa.RecordBatch:
-        text, rec, start, many = (np.asarray(rows.column(k).combine_chunks()) for k in ("text", "record", "start", "many"))
-        joined = rows.column("letters").combine_chunks().cast(pa.large_binary())
+        route, print_, low, high = (np.asarray(rows.column(k).combine_chunks()) for k in ("route", "print", "low", "high"))
+        joined = pa.concat_arrays(rows.column("letters").chunks).cast(pa.large_binary())
         raw = np.frombuffer(joined.buffers()[2], np.uint8)
         offs = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
         length = np.diff(offs)
@@ -192,91 +241,80 @@ def _search(span: int, part: int):
         inside = np.ones(len(codes), bool)
         inside[ends] = False
         codes[inside] = _CODE[raw[offs[0] : offs[-1]]]
-        index = SpanIndex(codes, np.repeat(rec, length + 1), np.repeat(many, length + 1), span)
-        ask = np.flatnonzero(~many)
-        ask = ask[np.argsort(-length[ask], kind="stable")]
-        found_p, found_d = [], []
-        for who, back in index.matches(codes, ends[ask], length[ask]):
-            if len(who):
-                found_p.append(ask[who])
-                found_d.append(length[ask[who]] - span - back)
-        if not found_p:
-            found_p, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        index = SpanIndex(codes, np.repeat(low, length + 1), np.repeat(high, length + 1), span)
+        ask = np.argsort(-length, kind="stable")
+        found_p, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for j, has in enumerate(index.statistics(codes, ends[ask], length[ask])):
+            who = ask[np.flatnonzero(has == span)]
+            found_p.append(who)
+            found_d.append(length[who] - 1 - j)
         p, at = np.concatenate(found_p), np.concatenate(found_d)
         order = np.lexsort((at, p))
         p, at = p[order], at[order]
         new = np.r_[True, (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1)] if len(p) else np.zeros(0, bool)
         i = np.flatnonzero(new)
         last = np.r_[i[1:] - 1, len(p) - 1] if len(i) else i
-        return pa.RecordBatch.from_arrays([pa.array(text[p[i]]), pa.array(rec[p[i]]), pa.array((start[p[i]] + at[i]).astype(np.int32)), pa.array((start[p[i]] + at[last] + span).astype(np.int32))], names=["text", "record", "span_start", "span_end"])
+        return pa.RecordBatch.from_arrays([pa.array(route[p[i]]), pa.array(print_[p[i]]), pa.array(at[i].astype(np.int32)), pa.array((at[last] + span).astype(np.int32))], names=["route", "print", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, letters = [], 0
+        kept, letters, rest = [], 0, None
         for batch in batches:
-            waiting.append(batch)
-            letters += batch.column(4).nbytes
-            if letters < part:
-                continue
-            rows = pa.Table.from_batches(waiting)
+            rows = pa.Table.from_batches([batch])
+            rows = merged(pa.concat_tables([rest, rows]) if rest is not None else rows)
             route = np.asarray(rows.column("route").combine_chunks())
             cut = int(np.searchsorted(route, route[-1]))  # the last minimizer may go on
-            if cut:
-                yield answer(rows.slice(0, cut))
-                waiting = rows.slice(cut).to_batches()
-                letters = sum(b.column(4).nbytes for b in waiting)
-        rows = pa.Table.from_batches(waiting) if waiting else None
-        if rows is not None and rows.num_rows:
-            yield answer(rows)
-
-    return run
-
-
-def _letter_runs(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        pattern = re.compile(f"[{LETTERS.decode()}]{{{span},}}")
-        for batch in batches:
-            rows = [(s, m.start(), m.end()) for s in batch.column(0).to_pylist() for m in pattern.finditer(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["seq", "span_start", "span_end"])
+            done, rest = of_two(rows.slice(0, cut)), rows.slice(cut)
+            if done.num_rows:
+                kept.append(done)
+                letters += done.column("letters").nbytes
+                if letters >= part:
+                    yield answer(pa.concat_tables(kept))
+                    kept, letters = [], 0
+        if rest is not None:
+            kept.append(of_two(rest))
+        if sum(k.num_rows for k in kept):
+            yield answer(pa.concat_tables(kept))
 
     return run
 
 
-def shared_spans(rows: DataFrame, record: str, text: str, span: int = 40, m: int = 14, part: int = 2_000_000, hot: int = 8_000_000) -> DataFrame:
+def shared_spans(rows: DataFrame, record: str, text: str, span: int = 40, m: int = 14, part: int = 2_000_000) -> DataFrame:
     """Maximal stretches of letters that lie in a span of at least `span` letters also found in another record.
 
     Returns (record, span_start, span_end), 0-based, end exclusive. Letters are compared without case; letters other than
-    ACGT equal nothing. Null and short texts share nothing. Rows that repeat a record's text count once; a record with
+    ACGT equal nothing. Null and short texts share nothing. Rows that repeat a record's text give nothing more; a record with
     several texts is one record, and gets the stretches of each of its texts. Rows with a null record are ignored. An empty
     table gives no rows.
 
-    part: letters of a shard that are indexed at once. hot: a minimizer with more letters than that has its windows
-    spread over shards one by one, each with the windows equal to it.
+    part: letters that a task indexes at once. A minimizer with more of them is cut again by longer ones, in the end by whole
+    windows, of which all equal ones are one piece. Copies meet in each batch before they are shuffled, and again as they come
+    in sorted; places find their piece's answer by its minimizer and a 64-bit hash of its letters.
     """
     spark = rows.sparkSession
-    src = rows.select(F.col(record).cast("bigint").alias("record"), F.upper(text).alias("seq")).filter(F.col("record").isNotNull() & (F.length("seq") >= span))
-    texts = src.groupBy("seq").agg(F.min("record").alias("record"), F.max("record").alias("_last")).withColumn("many", F.col("record") != F.col("_last"))
-    texts = settled(texts.select(F.monotonically_increasing_id().alias("text"), "record", "many", "seq"), "texts")
-    pieces = settled(texts.mapInArrow(_pieces(span, m), PIECE), "pieces")
-    routed = pieces.filter("route IS NOT NULL")
-    sizes = routed.groupBy("route").agg(F.sum(F.length("letters")).alias("n"), F.count(F.lit(1)).alias("rows"))
-    heavy = sizes.filter(F.col("n") > hot).select("route")  # at most (all letters / hot) rows
-    total = routed.agg(F.coalesce(F.sum(F.length("letters")), F.lit(0))).first()[0]
-    n = partitions_for(spark, total, part)
-    cool = routed.join(F.broadcast(heavy), "route", "left_anti")
-    each = routed.join(F.broadcast(heavy), "route", "left_semi").select("text", "record", "start", "letters", "many", F.explode(F.expr(f"sequence(1, length(letters) - {span} + 1)")).alias("_i"))
-    each = each.select("text", "record", (F.col("start") + F.col("_i") - 1).cast("int").alias("start"), F.expr(f"substring(letters, _i, {span})").alias("letters"), "many")
-    # Of equal windows one row speaks; the places of each are found again by joining on the window.
-    spoken = each.groupBy("letters").agg(F.min("record").alias("record"), F.max("record").alias("_last"), F.max("many").alias("many")).filter(F.col("many") | (F.col("record") != F.col("_last"))).select("letters")
-    split = salted_join(each.filter("NOT many"), spoken, ["letters"]).select("text", "record", F.col("start").alias("span_start"), (F.col("start") + span).cast("int").alias("span_end"))
-    found = cool.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_search(span, part), SPAN_OUT)
-    local = pieces.filter("route IS NULL").select("text", "record", F.col("start").alias("span_start"), (F.col("start") + F.length("letters")).cast("int").alias("span_end"))
-    spans = found.unionByName(local).unionByName(split)
+    seq = F.when(F.octet_length(text) == F.length(text), F.col(text)).otherwise(F.regexp_replace(text, r"[^\x00-\x7F]", "?"))
+    cut = rows.select(F.monotonically_increasing_id().alias("text"), F.col(record).cast("bigint").alias("record"), F.lit(0).alias("start"), seq.cast("binary").alias("letters"))
+    cut = cut.filter(F.col("record").isNotNull() & (F.length("letters") >= span))
+    spans = []
+    for level in (m, (m + span) // 2, span):
+        pieces = settled(cut.mapInArrow(_pieces(span, level), PIECE), "pieces")
+        sizes = settled(pieces.filter("low IS NOT NULL").groupBy("route").agg(F.sum("n").alias("n")), "sizes")
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        heavy = settled(sizes.filter(F.col("n") > part).select("route"), "heavy")
+        last = level == span or heavy.isEmpty()
+        own = pieces if last else pieces.join(heavy, "route", "left_anti")
+        ask = own.filter("low IS NOT NULL").select("route", F.xxhash64("letters").alias("print"), "letters", "low", "high")
+        ask = ask.repartition(partitions_for(spark, total, 4 * part), "route").sortWithinPartitions("route", "print")
+        answers = settled(ask.mapInArrow(_search(span, part), ANSWER), "answers")
+        places = own.select("route", F.xxhash64("letters").alias("print"), "text", "record", "start")
+        spans.append(salted_join(places, answers, ["route", "print"]).select("text", "record", (F.col("start") + F.col("a")).alias("span_start"), (F.col("start") + F.col("b")).alias("span_end")))
+        if last:
+            break
+        cut = pieces.join(heavy, "route", "left_semi").select("text", "record", "start", "letters")
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
     by = Window.partitionBy("text", "record").orderBy("span_start", "span_end")
     reach = F.max("span_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_new", F.when(F.col("span_start") <= reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by))
-    own = spans.groupBy("text", "record", "_run").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).select("record", "span_start", "span_end")
-    copied = texts.filter("many").select("seq").mapInArrow(_letter_runs(span), "seq string, span_start int, span_end int")
-    copies = salted_join(src.distinct(), copied, ["seq"]).select("record", "span_start", "span_end")
-    return own.unionByName(copies).distinct()
+    every = every.withColumn("_new", F.when(F.col("span_start") <= reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by))
+    merged = every.groupBy("text", "record", "_run").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"))
+    return merged.select("record", "span_start", "span_end").distinct()
