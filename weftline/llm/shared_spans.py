@@ -259,7 +259,7 @@ def _search(span: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, letters, rest = [], 0, None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
+            rows = pa.table(batch.columns, names=names)
             rows = merged(pa.concat_tables([rest, rows]) if rest is not None else rows)
             route = np.asarray(rows.column("route").combine_chunks())
             cut = int(np.searchsorted(route, route[-1]))  # the last minimizer may go on
