@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.seen_keys import mix
-from weftline.operators.skew import salted_join
 from weftline.shared import partitions_for, settled
 
 #: Letters by their order; every other letter ends a span.
@@ -306,7 +305,8 @@ def shared_spans(rows: DataFrame, record: str, text: str, span: int = 40, m: int
         ask = ask.repartition(partitions_for(spark, total, 4 * part), "route").sortWithinPartitions("route", "print")
         answers = settled(ask.mapInArrow(_search(span, part), ANSWER), "answers")
         places = own.select("route", F.xxhash64("letters").alias("print"), "text", "record", "start")
-        spans.append(salted_join(places, answers, ["route", "print"]).select("text", "record", (F.col("start") + F.col("a")).alias("span_start"), (F.col("start") + F.col("b")).alias("span_end")))
+        # Answers of a known size: broadcast by Spark while they are small, else a sorted join whose hot keys are split as it runs.
+        spans.append(places.join(answers, ["route", "print"]).select("text", "record", (F.col("start") + F.col("a")).alias("span_start"), (F.col("start") + F.col("b")).alias("span_end")))
         if last:
             break
         cut = pieces.join(heavy, "route", "left_semi").select("text", "record", "start", "letters")
