@@ -41,7 +41,7 @@ def count_by_hand(data):
 
 def test_term_counts_of_batches(spark):
     data = kmers(random.Random(1), 300)
-    store = count_terms(spark, frame(spark, data, KMER), "seq_id", ["kmer_offset", "is_reverse"], ["kmer_key", "kmer_offset"], "batch_no", fresh_path(spark, "t"), partitions=3)
+    store = count_terms(spark, frame(spark, data, KMER), "seq_id", ["kmer_offset", "is_reverse"], ["kmer_key", "kmer_offset"], "batch_no", fresh_path(spark, "t"), bucket_terms=3)
     got = {(x.field_name, x.field_value): (x.n_occurrences, x.n_records) for x in store.counts().collect()}
     n = len({d[0] for d in data} - {None})
     assert got.pop((RECORDS, 0)) == (n, n) and store.records() == n
@@ -51,8 +51,9 @@ def test_term_counts_of_batches(spark):
 def test_term_counts_of_changed_and_deleted_records(spark):
     place, fields = ["kmer_offset", "is_reverse"], ["kmer_key", "kmer_offset"]
     data = kmers(random.Random(2), 200)
-    store = TermCounts(spark, fresh_path(spark, "t"), 3)
-    store.apply(record_terms(frame(spark, data, KMER), "seq_id", place, fields))
+    path = fresh_path(spark, "t")
+    TermCounts(spark, path, 3).apply(record_terms(frame(spark, data, KMER), "seq_id", place, fields))
+    store = TermCounts(spark, path, 3)
     # record 1 goes, record 2 gets other rows, record 50 comes
     fresh = [(2, 5, 40, 0, 9, "x"), (2, 5, 41, 0, 9, "x"), (50, 5, 1, 1, 9, "x")]
     before = [d for d in data if d[0] in (1, 2, 50)]
@@ -63,6 +64,35 @@ def test_term_counts_of_changed_and_deleted_records(spark):
     assert got == count_by_hand(now)
 
 
+def test_term_counts_are_kept_and_changed_bucket_by_bucket(spark, tmp_path):
+    place, fields = ["kmer_offset", "is_reverse"], ["kmer_key"]
+    path = str(tmp_path / "terms")
+    data = [(s, 100 + k, k, 0, 0, "x") for s in range(4) for k in range(60)]
+    TermCounts(spark, path, 4).apply(record_terms(frame(spark, data, KMER), "seq_id", place, fields))
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "terms" / "terms").rglob("*.parquet")}
+    before = files()
+    folders = {r.bucket: r.folder for r in TermCounts(spark, path, 4)._manifest()}
+    assert len(folders) >= 16 and len(before) == len(folders)
+    # another session: a record comes, one is changed, one goes; two terms and the number of records are touched
+    fresh = [(0, 100 + k, k, 0, 1, "x") for k in range(60) if k != 5] + [(9, 107, 1, 1, 1, "x")]
+    old = [d for d in data if d[0] == 0]
+    TermCounts(spark.newSession(), path, 4).apply(signed_deltas(frame(spark, old, KMER), frame(spark, fresh, KMER), "seq_id", place, fields))
+    now = {r.bucket: r.folder for r in TermCounts(spark, path, 4)._manifest()}
+    changed = {b for b in now if now[b] != folders[b]}
+    assert 0 < len(changed) <= 3 and {f: t for f, t in files().items() if f in before} == before
+    assert len(files()) == len(before) + len(changed)
+    store = TermCounts(spark, path, 4)
+    got = {(x.field_name, x.field_value): (x.n_occurrences, x.n_records) for x in store.counts().collect()}
+    want = count_by_hand([d for d in data if d[0]] + fresh)
+    assert got.pop((RECORDS, 0))[0] == 5 and got == {k: v for k, v in want.items() if k[0] == "kmer_key"}
+    # all records go: every term leaves, and terms that come back are counted from nothing
+    rest = [d for d in data if d[0]] + fresh
+    store.apply(signed_deltas(frame(spark, rest, KMER), frame(spark, [], KMER), "seq_id", place, fields))
+    assert store.counts().count() == 0 and store.records() == 0
+    store.apply(record_terms(frame(spark, data[:3], KMER), "seq_id", place, fields))
+    assert TermCounts(spark, path).counts().count() == 4
+
+
 def test_terms_of_nothing_and_marks(spark):
     empty = frame(spark, [], KMER)
     store = count_terms(spark, empty, "seq_id", ["kmer_offset", "is_reverse"], ["kmer_key"], "batch_no", fresh_path(spark, "t"))
