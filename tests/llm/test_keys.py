@@ -72,7 +72,7 @@ def test_term_counts_are_kept_and_changed_bucket_by_bucket(spark, tmp_path):
     files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "terms" / "terms").rglob("*.parquet")}
     before = files()
     folders = {r.bucket: r.folder for r in TermCounts(spark, path, 4)._manifest()}
-    assert len(folders) >= 16 and len(before) == len(folders)
+    assert len(folders) >= 16 and len(before) == len([f for f in folders.values() if f])
     # another session: a record comes, one is changed, one goes; two terms and the number of records are touched
     fresh = [(0, 100 + k, k, 0, 1, "x") for k in range(60) if k != 5] + [(9, 107, 1, 1, 1, "x")]
     old = [d for d in data if d[0] == 0]
@@ -80,7 +80,7 @@ def test_term_counts_are_kept_and_changed_bucket_by_bucket(spark, tmp_path):
     now = {r.bucket: r.folder for r in TermCounts(spark, path, 4)._manifest()}
     changed = {b for b in now if now[b] != folders[b]}
     assert 0 < len(changed) <= 3 and {f: t for f, t in files().items() if f in before} == before
-    assert len(files()) == len(before) + len(changed)
+    assert len(files()) == len(before) + len([b for b in changed if now[b]])
     store = TermCounts(spark, path, 4)
     got = {(x.field_name, x.field_value): (x.n_occurrences, x.n_records) for x in store.counts().collect()}
     want = count_by_hand([d for d in data if d[0]] + fresh)

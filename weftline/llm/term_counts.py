@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.shared import settled
+from weftline.shared import forget, settled
 
 #: The pseudo field whose value 0 counts the records themselves.
 RECORDS = "*"
@@ -35,9 +35,9 @@ def signed_changes(rows: DataFrame, record: str, place: list[str], fields: list[
     each = rows.filter(F.col(record).isNotNull()).select(F.col(record).alias("_r"), flags[0].alias("_b"), flags[1].alias("_a"), F.explode(F.array(*terms)).alias("_t")).select("_r", "_b", "_a", "_t.*").filter("field_value IS NOT NULL")
     spots = each.groupBy("f", "field_value", "_r", *(f"p{k}" for k in range(len(place)))).agg(F.max("_b").alias("_b"), F.max("_a").alias("_a"))
     pairs = spots.groupBy("f", "field_value", "_r").agg(F.sum("_b").alias("_b"), F.sum("_a").alias("_a"))
-    out = pairs.groupBy("f", "field_value").agg(F.sum(F.col("_a") - F.col("_b")).alias("n_occurrences"), F.sum((F.col("_a") > 0).cast("bigint") - (F.col("_b") > 0).cast("bigint")).alias("n_records"))
     names = F.element_at(F.array(*(F.lit(f) for f in (RECORDS, *fields))), F.col("f") + 2)
-    return out.filter("n_occurrences <> 0 OR n_records <> 0").select(names.alias("field_name"), "field_value", "n_occurrences", "n_records")
+    out = pairs.groupBy(names.alias("field_name"), "field_value").agg(F.sum(F.col("_a") - F.col("_b")).alias("n_occurrences"), F.sum((F.col("_a") > 0).cast("bigint") - (F.col("_b") > 0).cast("bigint")).alias("n_records"))
+    return out.filter("n_occurrences <> 0 OR n_records <> 0")
 
 
 def record_terms(rows: DataFrame, record: str, place: list[str], fields: list[str]) -> DataFrame:
@@ -57,8 +57,9 @@ class TermCounts:
 
     A change writes the buckets it touches beside the current ones, one task a bucket, and then a manifest of all current
     files: a job that is lost and repeated never reads what it has half written, and of two changes made at once the second
-    one fails. The number of buckets is a power of two, chosen by the terms of the first change and doubled, with all buckets
-    written anew, when a bucket has on average more than twice `bucket_terms`.
+    one fails. The number of buckets is that of the first session's shuffle partitions, doubled as often as the terms of the first
+    change ask for, and doubled again, with all buckets written anew, when a bucket has on average more than twice `bucket_terms`.
+    A term's bucket comes from the hash that Spark shuffles by: the partitions of a first load's changes are whole buckets.
     """
 
     def __init__(self, spark: SparkSession, path: str, bucket_terms: int = TERMS_A_BUCKET):
@@ -83,27 +84,37 @@ class TermCounts:
         folders = sorted(set(folders))
         return self.spark.read.schema(COUNTS).parquet(*folders) if folders else self.spark.createDataFrame([], COUNTS)
 
-    def apply(self, deltas: DataFrame) -> None:
-        """Add signed changes to the counts. Terms whose occurrences fall to 0 leave the table."""
-        new = settled(deltas.select("field_name", "field_value", "n_occurrences", "n_records"), "deltas")
+    def apply(self, deltas: DataFrame, at_most: int | None = None) -> None:
+        """Add signed changes to the counts. Terms whose occurrences fall to 0 leave the table.
+
+        at_most: a bound on the number of terms, if one is known, which spares a first load the writing of its changes.
+        """
+        new = deltas.select("field_name", "field_value", "n_occurrences", "n_records")
         old = self._manifest()
-        version, buckets = (old[0].version + 1, old[0].buckets) if old else (0, 1)
-        terms, most = sum(r.n_terms for r in old) + new.count(), buckets
+        version, buckets = (old[0].version + 1, old[0].buckets) if old else (0, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        spared = at_most is not None and not old
+        if not spared:
+            new = settled(new, "deltas")
+        terms, most = sum(r.n_terms for r in old) + (at_most if spared else new.count()), buckets
         while terms > 2 * self.bucket_terms * most or not old and terms > self.bucket_terms * most:
             most *= 2
-        bucket = F.pmod(F.xxhash64("field_name", "field_value"), F.lit(most)).cast("int")
-        if most != buckets:
+        bucket = F.pmod(F.hash("field_name", "field_value"), F.lit(most))
+        if most != buckets or spared:
             touched, kept = list(range(most)), []
         else:
             touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # at most a number for each bucket
             kept = [r for r in old if r.bucket not in set(touched)]
         if touched:
             stale = self._read([r.folder for r in old if r.folder and (most != buckets or r.bucket in set(touched))])
-            # One task a bucket, by its number or its place among the touched ones.
-            few = len(touched) <= 1000
-            at = F.array_position(F.lit(touched), F.col("bucket")).cast("int") - 1 if few else F.col("bucket")
-            both = stale.unionByName(new).withColumn("bucket", bucket).withColumn("_at", at).repartitionById(len(touched) if few else most, "_at")
-            both = both.groupBy("_at", "bucket", "field_name", "field_value").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records")).filter("n_occurrences > 0").drop("_at")
+            both = stale.unionByName(new).withColumn("bucket", bucket) if old else new.withColumn("bucket", bucket)
+            if old:  # one task a bucket, by its number or its place among the touched ones
+                few = len(touched) <= 1000
+                at = F.array_position(F.lit(touched), F.col("bucket")).cast("int") - 1 if few else F.col("bucket")
+                both = both.withColumn("_at", at).repartitionById(len(touched) if few else most, "_at")
+                both = both.groupBy("_at", "bucket", "field_name", "field_value").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records")).drop("_at")
+            elif not spared:
+                both = both.repartitionById(most, "bucket")
+            both = both.filter("n_occurrences > 0")
             folder = f"{self.path}/terms/{version}-{uuid.uuid4().hex}"
             both.write.partitionBy("bucket").parquet(folder)
             written = {r.bucket: r.n for r in self.spark.read.schema(COUNTS + ", bucket int").parquet(folder).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -111,6 +122,8 @@ class TermCounts:
         rows += [(version, most, b, f"{folder}/bucket={b}" if b in written else None, written.get(b, 0)) for b in touched]
         if rows:
             self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("error").parquet(f"{self.path}/manifests/{version}")
+        if not spared:
+            forget(new)
 
     def records(self) -> int:
         """The number of records."""
@@ -135,7 +148,7 @@ def count_terms(spark: SparkSession, rows: DataFrame, record: str, place: list[s
     store = TermCounts(spark, path, bucket_terms)
     last = rows.agg(F.max(arrival)).first()[0] or 0
     is_new = F.coalesce(F.col(arrival) > int(last * later), F.lit(False))
-    store.apply(record_terms(rows.filter(~is_new), record, place, fields))
+    store.apply(record_terms(rows.filter(~is_new), record, place, fields), at_most=rows.count() * len(fields) + 1)
     touched = rows.filter(is_new).select(record).distinct()
     store.apply(signed_changes(rows.join(touched, record, "left_semi"), record, place, fields, ~is_new, F.lit(True)))
     return store
