@@ -42,17 +42,18 @@ def p2_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _tag_stretches(spark, d).select(F.col("entity").alias("file_id"), F.col("first_order").alias("first_start"), "n_events", "length")
 
 
-def _seen(spark: SparkSession, d: str) -> DataFrame:
-    return seen_before(table(spark, d, "kmers"), "kmer_key", "row_id", table(spark, d, "seen_keys"))
+def _seen(spark: SparkSession, d: str, bits: int = 32) -> DataFrame:
+    return seen_before(table(spark, d, "kmers"), "kmer_key", "row_id", table(spark, d, "seen_keys"), bits=bits)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _seen(spark, d).filter("row_id IS NOT NULL").select("row_id")
+    return _seen(spark, d)
 
 
 def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Rows looked up, wrong answers of p3_found among them and their share."""
-    return answer_errors(table(spark, d, "kmers"), "kmer_key", "row_id", p3_found(spark, d), table(spark, d, "seen_keys"))
+    """By fingerprints of 8, 16 and 32 bits, the last p3_found's: rows looked up, wrong answers among them and their share."""
+    each = [answer_errors(table(spark, d, "kmers"), "kmer_key", "row_id", _seen(spark, d, bits), table(spark, d, "seen_keys")).select(F.lit(bits).alias("bits"), "*") for bits in (8, 16, 32)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:

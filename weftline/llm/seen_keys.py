@@ -1,10 +1,10 @@
 """Problem 3: has this key been seen before, without all earlier keys in memory?
 
-Keys are partitioned by hash. A task takes its rows in order of arrival, in batches. Keys of earlier batches are sealed:
-a minimal perfect hash (about three bits a key) gives each of them its own slot in an array of 32-bit fingerprints. A key
-was seen if a sealed part has its fingerprint in its slot, or if the exact set of the current batch has it. How often the
-answers for all rows are wrong is measured afterwards, against exact first rows. Keys with a fixed 64th of the hash values
-are also kept exactly, for an estimate while the rows stream.
+Keys are partitioned by hash, and each batch of rows is answered and then sealed: a minimal perfect hash (about three bits a
+key) gives each of its new keys its own slot in an array of fingerprints. The sealed parts of each partition are kept in a
+folder that all executors share, one row each, and a later batch meets these, never the earlier keys. A task takes its rows in
+order of arrival; a key was seen if a sealed part has its fingerprint in its slot, or if the exact set of the current batch
+has it. How often the answers for all rows are wrong is measured afterwards, against exact first rows.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.shared import partitions_for
+from weftline.shared import fresh_path
 
-AUDIT = 64
+#: Rows of a partition and batch: (kind 0) sealed parts, (kind 1) keys with their row ids.
+ROUTED = "part int, kind int, r bigint, k bigint, sealed binary"
+ANSWER = "kind string, row_id bigint, part int, sealed binary"
 _LEVELS = 40
 
 
@@ -69,8 +71,29 @@ class Sealed:
         below = words[byte] & ((1 << (h & 7)) - 1).astype(np.uint8)
         return before[byte] + np.bitwise_count(below)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
+    def to_bytes(self) -> bytes:
+        """The bits and fingerprints; has() of from_bytes(to_bytes()) answers alike."""
+        sizes = [self.bits, len(self.levels), len(self.prints), len(self.exact)] + [x for m, words, _, at in self.levels for x in (m, len(words), at)]
+        prints = self.prints.astype(np.uint8 if self.bits <= 8 else np.uint16 if self.bits <= 16 else np.uint32)
+        return np.array(sizes, "<i8").tobytes() + self.exact.tobytes() + prints.tobytes() + b"".join(words.tobytes() for _, words, _, _ in self.levels)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Sealed:
+        out = cls.__new__(cls)
+        out.bits, n, prints, exact = np.frombuffer(data, "<i8", 4).tolist()
+        sizes = np.frombuffer(data, "<i8", 3 * n, 32).reshape(n, 3).tolist()
+        at = 32 + 24 * n
+        out.exact = np.frombuffer(data, np.uint64, exact, at)
+        at += 8 * exact
+        kind = np.uint8 if out.bits <= 8 else np.uint16 if out.bits <= 16 else np.uint32
+        out.prints = np.frombuffer(data, kind, prints, at).astype(np.uint32)
+        at += prints * np.dtype(kind).itemsize
+        out.levels = []
+        for m, length, first in sizes:
+            words = np.frombuffer(data, np.uint8, length, at)
+            at += length
+            out.levels.append((m, words, np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]], first))
+        return out
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         found, open_ = np.zeros(len(keys), bool), np.arange(len(keys))
@@ -89,104 +112,142 @@ class Sealed:
         return found
 
 
-def _within_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a key's rows in one batch only those with the smallest id must meet the other batches; the rest are seen."""
-    for batch in batches:
-        k, r = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        order = np.lexsort((r, k))
-        ks, rs = k[order], r[order]
-        head = np.r_[True, ks[1:] != ks[:-1]]
-        first = rs[np.maximum.accumulate(np.where(head, np.arange(len(ks)), 0))]
-        seen = rs > first
-        route = np.where(seen, mix(rs.view(np.uint64), 5), mix(ks.view(np.uint64), 7)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ks, mask=seen), pa.array(rs), pa.array(route)], names=["k", "r", "route"])
+def _within_batch(parts: int):
+    """Of a key's rows in one batch only those with the smallest id must meet the other batches; the rest, without a key now, are seen and go anywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, r = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            order = np.lexsort((r, k))
+            ks, rs = k[order], r[order]
+            head = np.r_[True, ks[1:] != ks[:-1]]
+            first = rs[np.maximum.accumulate(np.where(head, np.arange(len(ks)), 0))]
+            seen = rs > first
+            # of equal keys without an id of their own one is enough
+            need = (rs >= 0) | head
+            part = np.where(seen, mix(rs.view(np.uint64), 5), mix(ks.view(np.uint64), 7)) % np.uint64(parts)
+            cols = [pa.array(part.astype(np.int32)), pa.array(np.ones(len(ks), np.int32)), pa.array(rs), pa.array(ks, mask=seen), pa.nulls(len(ks), pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(need)) for c in cols], names=["part", "kind", "r", "k", "sealed"])
+
+    return run
 
 
-def _stream(batch_rows: int, bits: int, audit: int):
+def _stream(batch_rows: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sealed: list[Sealed] = []
-        kept = np.zeros(0, np.uint64)  # exact keys of the audited share
-        asked = audited = wrong = 0
-
-        def earlier(keys):
-            found = np.zeros(len(keys), bool)
-            for s in sealed:
-                rest = np.flatnonzero(~found)
-                found[rest] = s.has(keys[rest])
-            return found
-
-        def emit(ids, stats=None):
-            extra = stats is not None
-            cols = [pa.array([*ids, None] if extra else ids, pa.int64())]
-            cols += [pa.array([None] * len(ids) + [stats[j]] if extra else pa.nulls(len(ids), pa.int64()), pa.int64()) for j in range(3)]
-            return pa.RecordBatch.from_arrays(cols, names=["row_id", "answers", "audited", "wrong"])
-
-        def answer(k, r):
-            """Ids of the rows that are seen; then the batch is sealed."""
-            nonlocal kept, asked, audited, wrong
+        sealed: dict[int, list[Sealed]] = {}
+
+        def emit(ids, part=None, data=None):
+            n = len(ids) if data is None else 1
+            cols = [pa.array(["seen" if data is None else "sealed"] * n, pa.string()), pa.array(ids, pa.int64()) if data is None else pa.nulls(1, pa.int64()), pa.nulls(n, pa.int32()) if data is None else pa.array([part], pa.int32()), pa.nulls(n, pa.binary()) if data is None else pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["kind", "row_id", "part", "sealed"])
+
+        def answer(part, k, r):
+            """Ids of the rows that are seen; then the new keys are sealed."""
             u, at, inv = np.unique(k, return_index=True, return_inverse=True)
             first = r[at]  # rows come in order of id: the first row of a key has the smallest
-            known = earlier(u)
-            new = u[~known]
-            probe = (r >= 0) & (r == first[inv])
-            checked = np.flatnonzero(mix(u, 31) % np.uint64(audit) == 0)
-            truth = np.isin(u[checked], kept)
-            fresh = checked[first[checked] >= 0]
-            audited += len(fresh)
-            wrong += int((known[fresh] != np.isin(u[fresh], kept)).sum())
-            asked += int(probe.sum())
-            kept = np.r_[kept, u[checked][~truth]]
-            if len(new):
-                sealed.append(Sealed(new, bits))
-            return r[(known[inv] | (r > first[inv])) & (r >= 0)]
-
-        waiting_k, waiting_r, waiting = [], [], 0
+            known = np.zeros(len(u), bool)
+            for s in sealed.get(part, []):
+                rest = np.flatnonzero(~known)
+                known[rest] = s.has(u[rest])
+            yield emit(r[(known[inv] | (r > first[inv])) & (r >= 0)])
+            if not known.all():
+                sealed.setdefault(part, []).append(Sealed(u[~known], bits))
+                yield emit([], part, sealed[part][-1].to_bytes())
+
+        waiting_k, waiting_r, waiting, open_part = [], [], 0, None
+
+        def close():
+            nonlocal waiting_k, waiting_r, waiting
+            if waiting:
+                yield from answer(open_part, np.concatenate(waiting_k), np.concatenate(waiting_r))
+            waiting_k, waiting_r, waiting = [], [], 0
+
         for batch in batches:
-            k, r = batch.column(0), np.asarray(batch.column(1))
-            done = np.asarray(k.is_null())
-            if done.any():
-                yield emit(r[done])
-            k = np.asarray(k.fill_null(0)).view(np.uint64)[~done]
-            r = r[~done]
-            waiting_k.append(k)
-            waiting_r.append(r)
-            waiting += len(k)
-            if waiting >= batch_rows:
-                k, r = np.concatenate(waiting_k), np.concatenate(waiting_r)
-                cut = int(np.searchsorted(r, r[-1])) if r[-1] >= 0 else len(r)  # rows of one id stay together
-                if cut:
-                    yield emit(answer(k[:cut], r[:cut]))
-                waiting_k, waiting_r, waiting = [k[cut:]], [r[cut:]], len(k) - cut
-        k, r = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((waiting_k, np.uint64), (waiting_r, np.int64)))
-        if len(k):
-            yield emit(answer(k, r))
-        yield emit([], (asked, audited, wrong))
+            part = np.asarray(batch.column(0))
+            for begin, end in zip((bounds := np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)])[:-1], bounds[1:]):
+                rows = batch.slice(begin, end - begin)
+                if part[begin] != open_part:
+                    yield from close()
+                    sealed, open_part = {}, int(part[begin])
+                kind = np.asarray(rows.column(1))
+                for data in rows.column(4).slice(0, int((kind == 0).sum())).to_pylist():
+                    sealed.setdefault(open_part, []).append(Sealed.from_bytes(data))
+                r, k = np.asarray(rows.column(2)), rows.column(3)
+                done = (kind == 1) & np.asarray(k.is_null())
+                if done.any():
+                    yield emit(r[done])
+                own = (kind == 1) & ~done
+                k, r = np.asarray(k.fill_null(0)).view(np.uint64)[own], r[own]
+                waiting_k.append(k)
+                waiting_r.append(r)
+                waiting += len(k)
+                if waiting >= batch_rows:
+                    k, r = np.concatenate(waiting_k), np.concatenate(waiting_r)
+                    cut = int(np.searchsorted(r, r[-1])) if r[-1] >= 0 else len(r)  # rows of one id stay together
+                    if cut:
+                        yield from answer(open_part, k[:cut], r[:cut])
+                    waiting_k, waiting_r, waiting = [k[cut:]], [r[cut:]], len(k) - cut
+        yield from close()
 
     return run
 
 
-def seen_before(rows: DataFrame, key: str, row_id: str, earlier: DataFrame | None = None, earlier_key: str | None = None, batch_rows: int = 1 << 20, bits: int = 32, audit: int = AUDIT, rows_each: int = 4_000_000) -> DataFrame:
-    """Rows whose key is among the earlier keys or in a row with a smaller id; and, one row a task, an estimate of how often answers are wrong.
-
-    Returns (row_id, answers, audited, wrong). Rows with a row_id are the seen ones; the others have a task's counts: keys
-    looked up, those also kept exactly, and wrong answers among them. A wrong answer is always a "seen" for a new key, with
-    probability 2^-bits for each sealed part asked. The counts are of first rows of keys in each batch of a task, so they
-    change with the layout of the rows; answer_errors has the counts over all rows.
+class SeenKeys:
+    """Sealed keys in a folder that all executors share; another session opens them by the same path.
 
-    Rows with a null key were never seen and seal nothing; rows with a null id have no place in the order and are ignored.
-    Rows that repeat an id don't count as earlier than each other. Ids must not be negative. Empty tables give no rows.
-
-    A hot key's rows don't meet in one task: within each batch read, only the row with the key's smallest id goes to the
-    key's task, the others are known to be seen and are spread by id.
+    Every batch gets a folder of its own with its answers and its sealed parts, written in one job. The number of partitions
+    follows from the rows of each batch and never falls; a part that was sealed for fewer partitions is read by all of those that
+    its own was split into. Fingerprints have `bits` bits (up to 32): a new key is called seen with probability 2^-bits for each
+    sealed part it meets. Parts are never merged, as their keys are gone: a partition has one for each batch, or for each
+    batch_rows keys of a larger batch.
     """
+
+    def __init__(self, spark: SparkSession, path: str, bits: int = 32, batch_rows: int = 1 << 20, rows_each: int = 4_000_000):
+        self.spark, self.path, self.bits, self.batch_rows, self.rows_each = spark, path, bits, batch_rows, rows_each
+
+    def _sealed(self) -> DataFrame | None:
+        """(parts, batch, part, sealed) of all earlier batches."""
+        try:
+            return self.spark.read.schema("row_id bigint, part int, sealed binary, batch int, parts int, kind string").parquet(self.path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
+    def add(self, rows: DataFrame, key: str, row_id: str | None = None) -> DataFrame:
+        """Answer and seal a batch. Returns (row_id) of its rows whose key is in an earlier batch or in a row of this one with a smaller id.
+
+        Without row_id the keys are sealed and nothing is answered. Rows with a null key were never seen and seal nothing;
+        rows with a null id have no place in the order and are ignored. Rows that repeat an id don't count as earlier than
+        each other. Ids must not be negative. An empty batch gives no rows.
+
+        Only the batch's own keys are shuffled. A hot key's rows don't meet in one task: within each batch that Python reads,
+        only the row with the key's smallest id goes to the key's task.
+        """
+        spark, old = self.spark, self._sealed()
+        state = None if old is None else old.groupBy("batch").agg(F.max("parts").alias("parts")).agg(F.max("batch"), F.max("parts")).first()
+        batch, parts = (0, int(spark.conf.get("spark.sql.shuffle.partitions"))) if state is None or state[0] is None else (state[0] + 1, state[1])
+        n = rows.count()  # of all rows, which takes no column
+        while parts * self.rows_each < n:
+            parts *= 2
+        mine = rows.select(F.col(key).cast("bigint").alias("k"), (F.col(row_id).cast("bigint") if row_id else F.lit(-1).cast("bigint")).alias("r")).filter("k IS NOT NULL AND r IS NOT NULL")
+        routed = mine.mapInArrow(_within_batch(parts), ROUTED)
+        if old is not None:
+            split = F.explode(F.expr(f"sequence(0, {parts} div parts - 1)"))
+            routed = routed.unionByName(old.filter("kind = 'sealed'").select("part", "parts", "sealed", split.alias("_j")).select((F.col("part") + F.col("_j") * F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("r"), F.lit(None).cast("bigint").alias("k"), "sealed"))
+        routed = routed.repartitionById(parts, "part").sortWithinPartitions("part", "kind", "r")
+        out = f"{self.path}/batch={batch}/parts={parts}"
+        routed.mapInArrow(_stream(self.batch_rows, self.bits), ANSWER).write.partitionBy("kind").mode("error").parquet(out)
+        return spark.read.schema("row_id bigint, part int, sealed binary, kind string").parquet(out).filter("kind = 'seen'").select("row_id")
+
+
+def seen_before(rows: DataFrame, key: str, row_id: str, earlier: DataFrame | None = None, earlier_key: str | None = None, batch_rows: int = 1 << 20, bits: int = 32, rows_each: int = 4_000_000) -> DataFrame:
+    """(row_id) of the rows whose key is among the earlier keys or in a row with a smaller id: a store of two batches, the earlier keys and the rows. See SeenKeys.add."""
     spark = rows.sparkSession
-    mine = rows.select(F.col(key).cast("bigint").alias("k"), F.col(row_id).cast("bigint").alias("r")).filter("k IS NOT NULL AND r IS NOT NULL")
+    store = SeenKeys(spark, fresh_path(spark, "seen"), bits, batch_rows, rows_each)
     if earlier is not None:
-        old = earlier.select(F.col(earlier_key or key).cast("bigint").alias("k"), F.lit(-1).cast("bigint").alias("r")).filter("k IS NOT NULL")
-        mine = mine.unionByName(old)
-    n = partitions_for(spark, mine.count(), rows_each)
-    routed = mine.mapInArrow(_within_batch, "k bigint, r bigint, route bigint").repartition(n, "route").select("k", "r").sortWithinPartitions("r")
-    return routed.mapInArrow(_stream(batch_rows, bits, audit), "row_id bigint, answers bigint, audited bigint, wrong bigint")
+        store.add(earlier, earlier_key or key)
+    return store.add(rows, key, row_id)
 
 
 def answer_errors(rows: DataFrame, key: str, row_id: str, found: DataFrame, earlier: DataFrame | None = None, earlier_key: str | None = None) -> DataFrame:
