@@ -195,7 +195,8 @@ def _stream(batch_rows: int, bits: int):
 class SeenKeys:
     """Sealed keys in a folder that all executors share; another session opens them by the same path.
 
-    Every batch gets a folder of its own with its answers and its sealed parts, written in one job. The number of partitions
+    Every batch gets a folder of its own with its answers and its sealed parts, written in one job; what an empty or a lost batch has
+    left in one is written over. One batch is added at a time. The number of partitions
     follows from the rows of each batch and never falls; a part that was sealed for fewer partitions is read by all of those that
     its own was split into. Fingerprints have `bits` bits (up to 32): a new key is called seen with probability 2^-bits for each
     sealed part it meets. Parts are never merged, as their keys are gone: a partition has one for each batch, or for each
@@ -237,7 +238,7 @@ class SeenKeys:
             routed = routed.unionByName(old.filter("kind = 'sealed'").select("part", "parts", "sealed", split.alias("_j")).select((F.col("part") + F.col("_j") * F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("r"), F.lit(None).cast("bigint").alias("k"), "sealed"))
         routed = routed.repartitionById(parts, "part").sortWithinPartitions("part", "kind", "r")
         out = f"{self.path}/batch={batch}/parts={parts}"
-        routed.mapInArrow(_stream(self.batch_rows, self.bits), ANSWER).write.partitionBy("kind").mode("error").parquet(out)
+        routed.mapInArrow(_stream(self.batch_rows, self.bits), ANSWER).write.partitionBy("kind").mode("overwrite").parquet(out)
         return spark.read.schema("row_id bigint, part int, sealed binary, kind string").parquet(out).filter("kind = 'seen'").select("row_id")
 
 
