@@ -1,3 +1,4 @@
+import base64
 import os
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import text_queries
-from weftline.llm.encode import TOKENIZERS, decode, encode, pieces
+from weftline.llm.encode import SPLIT, TOKENIZERS, decode, encode, few_rows_a_batch, pieces
 from weftline.llm.leaks import leaks, words
 from weftline.llm.personal import find_personal, redact
 
@@ -40,6 +41,45 @@ def test_encode_and_decode(spark, block_chars):
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+@pytest.mark.skipif(not os.path.exists(TOKENIZERS), reason="no vocabulary files")
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_encode_by_other_vocabularies(spark, name):
+    r = random.Random(9)
+    marks = ["a\u2581b \u2581", "A\u030angstr\u00f6m \u212b \u0130 \u03a3\u0399\u03a3", "  two  spaces\n\n \tand lines ", " \u3000 "]
+    texts = ODD + marks + ["".join(r.choice(" \n'sdtaé9_-.字É ") for _ in range(r.randint(1, 60))) for _ in range(100)]
+    path = f"{TOKENIZERS}/{name}"
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    elif name.endswith(".model"):
+        import sentencepiece
+
+        want = sentencepiece.SentencePieceProcessor(model_file=path).encode([t or "" for t in texts], num_threads=1)
+    else:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        tok = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        want = [tok.encode_ordinary(t or "") for t in texts]
+    got = {x.doc_id: list(x.ids) for x in encode(docs(spark, texts).repartition(3), path, block_chars=400, blocks_a_word=2).collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != want[i]] == []
+
+
+def test_small_batches_are_left_by_the_last_thread(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    one, two = few_rows_a_batch(spark, 7), few_rows_a_batch(spark, 9)
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(name) == "7"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(name) == before
+
+
 def test_encode_nothing(spark):
     assert encode(docs(spark, [])).count() == 0
     assert encode(docs(spark, [None, ""])).collect()[0].ids == []

@@ -1,14 +1,17 @@
 """Problem 6: the whole corpus as token ids of a public tokenizer.
 
 Texts are split into words in Spark. Documents are taken in blocks of bounded size: a block keeps its distinct words once
-and its documents as positions in that list. The blocks' words meet by word, where each distinct word is encoded once; its
-ids go back to the block and the place they came from.
+and its documents as positions in that list. The blocks' words meet by word, where each distinct word is encoded once (a word that
+is in more than BLOCKS_A_WORD blocks once for so many of them); its ids go back to the block and the place they came from.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import json
+import threading
+import unicodedata
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -22,26 +25,42 @@ from weftline.shared import partitions_for, settled
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how byte-level BPE vocabularies split texts, with Java's name for Unicode white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-JAVA_SPLIT = SPLIT.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+#: Fixed value: pieces of a sentence-piece vocabulary hold white space at their beginning only.
+PIECE_SPLIT = " *[^ ]+| +"
 BLOCK_CHARS = 4_000_000
 BLOCKS_EACH = 4
+BLOCKS_A_WORD = 10_000
+WORDS_EACH = 1_000_000
+#: The vocabulary goes to the tasks as a broadcast; a larger file is none.
+LARGEST_VOCABULARY = 64 << 20
+_small_batches = threading.Lock()
+_inside: dict[int, list] = {}
 
 
-def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(piece): int(i) for piece, i in map(bytes.split, f)}
+def java_pattern(pattern: str) -> str:
+    """A split pattern with Java's name for Unicode white space."""
+    return pattern.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
 @contextmanager
 def few_rows_a_batch(spark: SparkSession, rows: int = 1000):
-    """Smaller batches to Python for a job that is run inside: long texts must fit into memory by the batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Smaller batches to Python for a job that is run inside: long texts must fit into memory by the batch.
+
+    The setting is the session's. Of jobs in several threads the first sets it and the last puts it back; others that run meanwhile get small batches too.
+    """
+    name, key = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark)
+    with _small_batches:
+        if key not in _inside:
+            _inside[key] = [spark.conf.get(name), 0]
+            spark.conf.set(name, str(rows))
+        _inside[key][1] += 1
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _small_batches:
+            _inside[key][1] -= 1
+            if not _inside[key][1]:
+                spark.conf.set(name, _inside.pop(key)[0])
 
 
 def _blocks(most: int):
@@ -57,8 +76,8 @@ def _blocks(most: int):
             sizes = np.diff(np.asarray(texts.offsets))
             codes = np.asarray(coded.indices).astype(np.uint16 if len(coded.dictionary) < 1 << 16 else np.uint32)
             made += 1
-            whole = [pa.array([task << 32 | made], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([codes.itemsize], pa.int32()), pa.array([pack.compress(codes.tobytes())], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)]
-            return pa.RecordBatch.from_arrays(whole, names=["block", "ids", "sizes", "width", "codes", "words"])
+            whole = [pa.array([task << 32 | made], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([codes.itemsize], pa.int32()), pa.array([len(coded.dictionary)], pa.int32()), pa.array([pack.compress(codes.tobytes())], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)]
+            return pa.RecordBatch.from_arrays(whole, names=["block", "ids", "sizes", "width", "n_words", "codes", "words"])
 
         waiting, held = [], 0
         for batch in batches:
@@ -84,23 +103,60 @@ def _blocks(most: int):
 
 
 @lru_cache(1)
-def vocabulary_of(path: str):
-    """The vocabulary, read once in each Python worker."""
-    import tiktoken
+def encoder(name: str, data: bytes) -> Callable[[str], list[int]]:
+    """Ids of one word by a vocabulary, read once in each Python worker: ranks (.tiktoken), pieces (.model) or a tokenizer's settings (.json)."""
+    if name.endswith(".tiktoken"):
+        import tiktoken
+
+        pieces_ = {base64.b64decode(piece): int(i) for piece, i in map(bytes.split, data.splitlines())}
+        return tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=pieces_, special_tokens={}).encode_ordinary
+    if name.endswith(".model"):
+        import sentencepiece
 
-    return tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks(path), special_tokens={})
+        model = sentencepiece.SentencePieceProcessor(model_proto=data)
+        lead = len(model.encode("\n"))  # behind a line end a word stands without the white space that is put before a text
+        return lambda w: model.encode("\n" + w)[lead:]
+    from tokenizers import Tokenizer, normalizers
 
+    model = Tokenizer.from_buffer(data)
+    model.encode_special_tokens = True
+    model.normalizer = normalizers.Sequence([])
+    return lambda w: model.encode(w, add_special_tokens=False).ids
 
-def _encode(path: str):
+
+def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in NFC and, letter by letter, lower case."""
+    for batch in batches:
+        out = [t.lower() if t.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+
+def _words(docs: DataFrame, name: str, data: bytes) -> DataFrame:
+    """(doc_id, words, n): the texts (doc_id, text) as the words that a vocabulary encodes on their own, and their number of characters."""
+    whole = F.col("text")
+    if name.endswith(".model"):
+        whole, pattern = F.concat(F.lit(" "), F.translate("text", "\u2581", " ")), PIECE_SPLIT
+    elif name.endswith(".json") and (rules := json.loads(data)["normalizer"]):
+        kinds = {r["type"] for r in rules.get("normalizers", [rules])}
+        if kinds != {"NFC", "Replace", "Lowercase"}:
+            raise ValueError(f"no rules for the normalizers {sorted(kinds)}")
+        pattern = json.loads(data)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        docs = docs.mapInArrow(_lowered, "doc_id bigint, text string")
+    else:
+        pattern = SPLIT
+    return docs.select("doc_id", F.regexp_extract_all(whole, F.lit("(?s)" + java_pattern(pattern)), F.lit(0)).alias("words"), F.length("text").alias("n"))
+
+
+def _encode(name: str, vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_of(path)
+        ids_of = encoder(name, vocabulary.value)
         last, last_ids = None, []  # rows come sorted by word
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
             table = []
             for w in coded.dictionary.to_pylist():
                 if w != last:
-                    last, last_ids = w, vocabulary.encode_ordinary(w)
+                    last, last_ids = w, ids_of(w)
                 table.append(last_ids)
             ids = pa.array(table, pa.list_(pa.int32())).take(coded.indices)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["block", "at", "word_ids"])
@@ -131,23 +187,34 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids.values), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[take].astype(np.int32)))], names=["doc_id", "ids"])
 
 
-def encode(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id BIGINT, ids ARRAY<INT>): every document by a byte-level BPE vocabulary, without special tokens.
+def encode(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, blocks_a_word: int = BLOCKS_A_WORD) -> DataFrame:
+    """(doc_id BIGINT, ids ARRAY<INT>): every document by a public vocabulary, without special tokens.
 
+    vocabulary: a file of the driver, sent to the tasks: byte-level BPE as ranks (.tiktoken) or settings (.json), BPE with word
+    ends (.json, lower case, white space dropped) or sentence pieces (.model).
     Null, empty texts: an empty list. Strings of special tokens are ordinary text. Every row gives a row, also those that
-    repeat an id or have a null one. An empty table gives no rows. The vocabulary is a file of ranks, read by each task.
+    repeat an id or have a null one. An empty table gives no rows.
+
+    A word that many blocks hold is spread: blocks are dealt into groups of about blocks_a_word, and a word's rows of one group
+    meet, so that no task gets more rows of a word than that.
     """
-    split = F.expr(f"regexp_extract_all({text}, r'(?s){JAVA_SPLIT}', 0)") if "'" not in JAVA_SPLIT else F.regexp_extract_all(F.col(text), F.lit(JAVA_SPLIT), F.lit(0))
+    spark = documents.sparkSession
+    with open(vocabulary, "rb") as f:
+        data = f.read(LARGEST_VOCABULARY + 1)
+    if len(data) > LARGEST_VOCABULARY:
+        raise ValueError(f"{vocabulary} has more than {LARGEST_VOCABULARY} bytes")
     some = F.col(text).isNotNull() & (F.col(text) != "")
-    docs = documents.filter(some).select(F.col(doc_id).cast("bigint").alias("doc_id"), split.alias("words"), F.length(text).alias("n"))
-    with few_rows_a_batch(documents.sparkSession):
-        blocks = settled(docs.mapInArrow(_blocks(block_chars), "block bigint, ids array<bigint>, sizes array<int>, width int, codes binary, words array<string>"), "blocks")
+    with few_rows_a_batch(spark):
+        docs = _words(documents.filter(some).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), vocabulary, data)
+        blocks = settled(docs.mapInArrow(_blocks(block_chars), "block bigint, ids array<bigint>, sizes array<int>, width int, n_words int, codes binary, words array<string>"), "blocks")
+    n_blocks, n_words = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), "block bigint, at int, word_ids array<int>")
+    group = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-n_blocks // blocks_a_word))))
+    coded = words.repartition(partitions_for(spark, n_words, WORDS_EACH), "word", group).sortWithinPartitions("word").mapInArrow(_encode(vocabulary, spark.sparkContext.broadcast(data)), "block bigint, at int, word_ids array<int>")
     # A few blocks a task, however many there are: a task's batch to Python holds all of its blocks.
-    n = partitions_for(documents.sparkSession, blocks.count(), BLOCKS_EACH)
+    n = partitions_for(spark, n_blocks, BLOCKS_EACH)
     lists = coded.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("at", "word_ids")).alias("entries"))
-    whole = blocks.drop("words").repartition(n, "block").join(lists, "block").select("ids", "sizes", "width", "codes", "entries").mapInArrow(_restore, "doc_id bigint, ids array<int>")
+    whole = blocks.drop("words", "n_words").repartition(n, "block").join(lists, "block", "left").select("ids", "sizes", "width", "codes", F.coalesce("entries", F.array().cast("array<struct<at:int,word_ids:array<int>>>")).alias("entries")).mapInArrow(_restore, "doc_id bigint, ids array<int>")
     empty = documents.filter(~F.coalesce(some, F.lit(False))).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.array().cast("array<int>").alias("ids"))
     return whole.unionByName(empty)
 
