@@ -28,9 +28,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Fixed value: pieces of a sentence-piece vocabulary hold white space at their beginning only.
 PIECE_SPLIT = " *[^ ]+| +"
 BLOCK_CHARS = 4_000_000
-BLOCKS_EACH = 4
+BLOCKS_EACH = 1
 BLOCKS_A_WORD = 10_000
-WORDS_EACH = 1_000_000
+WORDS_EACH = 250_000
 #: The vocabulary goes to the tasks as a broadcast; a larger file is none.
 LARGEST_VOCABULARY = 64 << 20
 _small_batches = threading.Lock()
@@ -211,7 +211,7 @@ def encode(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.t
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
     group = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-n_blocks // blocks_a_word))))
     coded = words.repartition(partitions_for(spark, n_words, WORDS_EACH), "word", group).sortWithinPartitions("word").mapInArrow(_encode(vocabulary, spark.sparkContext.broadcast(data)), "block bigint, at int, word_ids array<int>")
-    # A few blocks a task, however many there are: a task's batch to Python holds all of its blocks.
+    # About a block a task, however many there are: a task's batch to Python holds all of its blocks.
     n = partitions_for(spark, n_blocks, BLOCKS_EACH)
     lists = coded.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("at", "word_ids")).alias("entries"))
     whole = blocks.drop("words", "n_words").repartition(n, "block").join(lists, "block", "left").select("ids", "sizes", "width", "codes", F.coalesce("entries", F.array().cast("array<struct<at:int,word_ids:array<int>>>")).alias("entries")).mapInArrow(_restore, "doc_id bigint, ids array<int>")
