@@ -141,6 +141,26 @@ def test_leaks_of_long_items_far_from_their_hits(spark):
     assert [(r.item_id, r.n_exact, r.n_matched, r.n_span) for r in x] == [(1, 22, 260 - spoiled.count("other"), 260)]
 
 
+def test_leaks_of_a_long_item_replaced_word_by_word(spark):
+    item = [f"word{i}" for i in range(400)]
+    spoiled = [w if i < 20 or i % 4 else "other" for i, w in enumerate(item)]
+    x = leaks(docs(spark, ["before " * 9 + " ".join(spoiled) + " after" * 9]), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [(r.n_matched, r.n_span) for r in x] == [(305, 400)]
+
+
+@pytest.mark.parametrize("replaced,least", [(1, 1.0), (2, 0.99), (3, 0.95), (4, 0.9)])
+def test_recall_of_passages_with_replaced_words(spark, replaced, least):
+    r = random.Random(replaced)
+    items = [[f"i{i}w{k}" for k in range(20)] for i in range(400)]
+    texts = []
+    for own in items:
+        at = set(r.sample(range(20), replaced))
+        texts.append("before " * r.randint(0, 5) + " ".join("other" if k in at else w for k, w in enumerate(own)) + " after" * r.randint(0, 5))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in leaks(docs(spark, texts), bench).collect()}
+    assert got <= {(i, i) for i in range(400)} and len(got) >= least * 400
+
+
 GIVEN, FAMILY = ["Anna", "Kenji", "Noor", "Zoë", "Mateo"], ["Ostdahl", "Quenimoto", "O'Ryssøya", "Veldwick", "Torrander", "Haskmoor"]
 
 
