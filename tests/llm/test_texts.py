@@ -195,6 +195,45 @@ def test_personal(spark):
     assert clean[len(texts)] is None and clean[len(texts) + 1] == "" and clean[len(texts) + 3] == "A" * 5000
 
 
+def test_forms_of_personal_information(spark):
+    """Forms that none of the seeds has, in the places of known ones."""
+    texts, truth = corpus()
+    odd = {
+        "person": ["Anna van Torrander", "Noor de la Veldwick", "Kenji Ostdahl Veldwick"], "phone": ["0171/1234567", "0171/7654321"],
+        "id_number": ["X1234567L", "C01234567", "QQ123456C"], "address": ["221B Heron Road", "12345 Heron Road", "ul. Heron Road 10"],
+    }
+    for kind, line in (("person", "Written by {} for the office.\n"), ("phone", "Call {} if it dies.\n"), ("id_number", "Consent on file: passport no. {}, ok\n"), ("address", "lives at {} and asked\n")):
+        for s in odd[kind]:
+            texts.append(f"# Odd {len(texts)}\n" + line.format(s))
+            truth.add((len(texts) - 1, kind, s))
+    texts.append("head\n" + "x" * 240 + "5550100anna.ostdahl@lab.example end, 75001 Paris on 12/10/2020 and 2020/10/2021")
+    truth.add((len(texts) - 1, "email", "x" * 240 + "5550100anna.ostdahl@lab.example"))
+    parts = spark.createDataFrame([(x, "given") for x in GIVEN[:3]] + [(x.lower(), "family") for x in FAMILY[:4]], "name_part string, kind string")
+    got = {(x.doc_id, x.kind, x.pii_text) for x in find_personal(docs(spark, texts), parts).collect()}
+    assert got == truth
+
+
+@pytest.mark.parametrize("share", [0.8, 0.6, 0.4])
+def test_persons_by_a_part_of_the_names(spark, share):
+    r = random.Random(21)
+    vowels, given = "aeiou", []
+    made = [a + b + c + d for a in "BDFGKLMN" for b in vowels for c in ("rst", "lv", "mm", "nd") for d in ("ik", "on", "el")]
+    r.shuffle(made)
+    given, family = made[:40], [m + "sson" for m in made[40:110]]
+    lead = ["Written by {} for the office.", "Thanks to {} for help", "ask {} before you run this", "# Author: {}", "reviewed by {}, twice"]
+    texts, truth = [], set()
+    for i in range(600):
+        name = f"{r.choice(given)} {r.choice(family)}"
+        texts.append(f"# Data Cleaning {i}\n{r.choice(lead).format(name)}\nLoad The Data Frame and Plot It\n")
+        truth.add((i, "person", name))
+    full = [(x, "given") for x in given] + [(x, "family") for x in family]
+    some = r.sample(full, int(share * len(full)))
+    found = lambda parts: {(x.doc_id, x.kind, x.pii_text) for x in find_personal(docs(spark, texts), spark.createDataFrame(parts, "name_part string, kind string")).collect()}
+    assert found(full) == truth
+    got = found(some)
+    assert got <= truth and len(got) >= 0.9 * len(truth)
+
+
 def test_redacted_texts_without_an_id_of_their_own(spark, tmp_path):
     texts, truth = corpus()
     ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]

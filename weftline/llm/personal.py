@@ -3,9 +3,10 @@
 Seeds are known entities: names whose parts are listed, e-mail addresses of persons with a listed family name,
 international phone numbers, numbers behind a word for an identity document, and streets with a word for a street. Every
 occurrence of anything that has an entity's form is a candidate, with its key (what it shares with other candidates: the
-family name, the street, the domain, the form of the number) and the text before and behind it. Keys and contexts are the
-two sides of a graph that Spark scores in rounds: contexts in which enough keys are known become patterns, keys that mostly
-stand in patterns become known. Candidates in a pattern or with a known key are the result.
+family name, the street, the domain, the form of the number) and its contexts: the text before and behind it and, of a person, the
+given name. Keys and contexts are the two sides of a graph that Spark scores in rounds: contexts in which enough keys are
+known become patterns, keys that mostly stand in patterns become known. Candidates with a known key are the result; of
+identity numbers, whose forms other numbers share, those in a pattern, and those with letters whose key is well known.
 """
 
 from __future__ import annotations
@@ -28,18 +29,19 @@ STREET_WORDS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "drive",
 STREET_ENDS = ("straße", "strasse", "gasse", "weg", "platz", "allee")
 
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’]*(?:-[^\W\d_a-zß-öø-ÿ][\w'’]*)*"
-_BLOB = re.compile(r"[A-Za-z0-9+/=]{200,}")
-_NAME = re.compile(rf"(?<![\w.@-])(?=(({_CAP}|[A-Z]\.) (?:[A-Z]\. )?({_CAP}))(?![\w@]))|(?<![\w.@-])(?=(({_CAP}), ({_CAP}|[A-Z]\.(?!\w))(?: [A-Z]\.)?)(?![\w@]))")
+#: Words in small letters between a given and a family name.
+_LINK = r"(?:(?:van|von|vom|zu|zur|de|del|della|der|den|di|da|do|dos|das|du|des|la|las|los|le|el|al|bin|ibn|ben|ter|ten|y) ){0,3}"
+_NAME = re.compile(rf"(?<![\w.@-])(?=(({_CAP}|[A-Z]\.) (?:[A-Z]\. )?{_LINK}({_CAP}))(?![\w@]))|(?<![\w.@-])(?=(({_CAP}), ({_CAP}|[A-Z]\.(?!\w))(?: [A-Z]\.)?)(?![\w@]))")
+_SECOND = re.compile(rf" ({_CAP})(?![\w@])")
 _LABEL = re.compile(rf"(?:{'|'.join(ID_WORDS)})(?:nummer|-nr)?[\s:.]*$".replace(" ", r"\s?"))
 _LEADS = re.compile(rf"(?<![\w.@-]){_CAP} (?:[A-Z]\. )?$")
 _AT = re.compile(r"@| ?[\[(](?:at|AT|@)[\])] ?| AT | at (?=[\w-]+ (?:dot|DOT) )")
-_LOCAL = re.compile(r"[\w.+%-]+$")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?| dot | DOT )[\w-]+)+")
 _DOT = re.compile(r" ?[\[(](?:dot|DOT)[\])] ?| dot | DOT ")
-_NUMBER = re.compile(r"(?<![\w.+/(@-])(?:[A-Z]{2})?\+?\(?\d{1,11}(?:[A-Z](?=\d))?\)?(?:(?: / |\)? ?\(|[-  .](?=[\d(])|(?<=\))(?=\d)|(?<=[A-Z])(?=\d))\d{1,10}\)?){0,6}(?:-?[A-Z])?(?![\w@]|[-.]\d)")
+_NUMBER = re.compile(r"(?<![\w.+/(@-])(?:[A-Z]{1,2})?\+?\(?\d{1,11}(?:[A-Z](?=\d))?\)?(?:(?: / |/(?=\d{4})|\)? ?\(|[-  .](?=[\d(])|(?<=\))(?=\d)|(?<=[A-Z])(?=\d))\d{1,10}\)?){0,6}(?:-?[A-Z])?(?![\w@]|[-.]\d)")
 _PARTICLE = r"(?:de|del|de la|de las|de los|la|las|los|du|des|le|les|der|den|dem|am|an|auf|zum|zur|von|rue|impasse|avenue|allée|chemin|place|quai|boulevard|cours|passage|calle|plaza)"
 _WORD = r"(?:[dl]['’])?[^\W\d_a-zß-öø-ÿ][\w'’-]*\.?"
-_STREET = re.compile(rf"(?<![\w.,/-])(?=(\d{{1,4}}(?: ?[a-h](?![\w.]))?(?: bis| ter)?,? ((?:(?:{_WORD}|{_PARTICLE}) ){{0,5}}{_WORD}))(?!\w))|(?<![\w/-])(?=(((?:{_WORD}|[Cc]alle|rue|avenue)(?: (?:{_PARTICLE}|{_WORD})){{0,5}}),? (?:n\.?[º°o]\.? ?|no\. )?\d{{1,4}}(?: ?[a-h](?!\w))?)(?![\w.:/%-]))")
+_STREET = re.compile(rf"(?<![\w.,/-])(?=(\d{{1,5}}(?: ?[a-h](?![\w.])|[A-H](?!\w))?(?: bis| ter)?,? ((?:(?:{_WORD}|{_PARTICLE}) ){{0,5}}{_WORD}))(?!\w))|(?<![\w/-])(?=(((?:{_WORD}|[Cc]alle|rue|avenue|ul\.|al\.|via|rua)(?: (?:{_PARTICLE}|{_WORD})){{0,5}}),? (?:n\.?[º°o]\.? ?|no\. )?\d{{1,4}}(?: ?[a-h](?!\w))?)(?![\w.:/%-]))")
 _LINE = re.compile(r'^[\s",\[\]#>*]+')
 _SPACE = re.compile(r"\s+")
 
@@ -75,15 +77,19 @@ def candidates(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
             continue  # the middle of a longer name
         if g == 1:
             yield "person", m.group(1), fold(m.group(3)), fold(m.group(2)), m.start(1), m.end(1)
+            if more := _SECOND.match(text, m.end(3)):
+                yield "double", text[m.start(1) : more.end()], f"{fold(m.group(3))} {fold(more.group(1))}", fold(m.group(2)), m.start(1), more.end()
         else:
             yield "person", m.group(4), fold(m.group(5)), fold(m.group(6)), m.start(4), m.end(4)
     for m in _AT.finditer(text):
-        left, right = _LOCAL.search(text, max(0, m.start() - 80), m.start()), _DOMAIN.match(text, m.end())
-        if left and right:
-            a, b = left.start(), right.end()
+        a, right = m.start(), _DOMAIN.match(text, m.end())
+        while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
+            a -= 1
+        if a < m.start() and right:
+            b = right.end()
             domain = _DOT.sub(".", right.group()).rstrip(".-").lower()
             if domain.rpartition(".")[2].isalpha():
-                yield "email", text[a:b].rstrip(".-"), domain, re.sub(r"\d|\+.*", "", left.group()), a, b
+                yield "email", text[a:b].rstrip(".-"), domain, re.sub(r"\d|\+.*", "", text[a : m.start()]), a, b
     for m in _NUMBER.finditer(text):
         s, a = m.group(), m.start()
         if s[0] == "(" and s[-1] == ")" and s.count(")") == 1:
@@ -107,6 +113,8 @@ def candidates(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
         name = name.lower()
         words = re.split(r"[\s.]+", name)
         known = any(w in STREET_WORDS or w.endswith(STREET_ENDS) and w not in STREET_ENDS for w in words)
+        if not known and re.match(r"\d{5}|.*\d{5}$", m.group(g)):
+            continue  # more likely a postcode and its town
         yield "address", m.group(g), name, "+" if known else "", m.start(g), m.end(g)
 
 
@@ -117,13 +125,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 200):
             out = []
             for doc, text in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200).to_pylist()):
-                begin = 0
-                for part in [*_BLOB.finditer(text), None]:
-                    segment = text[begin : part.start() if part else len(text)]
-                    for kind, s, key, hint, a, b in candidates(segment):
-                        left = before(segment, a)
-                        out.append((kind, s, key, hint, left[-5:] + "|" + behind(segment, a + len(s)), left, doc, begin + a))
-                    begin = part.end() if part else 0
+                for kind, s, key, hint, a, b in candidates(text):
+                    left = before(text, a)
+                    out.append((kind, s, key, hint, left[-5:] + "|" + behind(text, a + len(s)), left, doc, a))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
 
@@ -132,35 +136,55 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fold(w) for w in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["part", "k"])
 
 
-def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 3) -> DataFrame:
+def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 8, support: int = 2) -> DataFrame:
     """Occurrences (doc_id, kind, pii_text, begin_at, end_at) in code points, 0-based, end exclusive.
 
     Null and empty texts have none. Rows with a null id aren't searched; every other row of documents is, as it stands; a
     repeated row repeats its occurrences.
     Null name parts and kinds are ignored, their case doesn't matter. Without name parts, persons and e-mail addresses have
-    no seeds and none are found. support: known keys that a context must have had to be a pattern.
+    no seeds and none are found.
+
+    support: strings with a known key that a context must have had to be a pattern. At first their share must be half of what is
+    usual in the contexts of the seeds (the median over the seeds' places), or a fifth where that is less: lists that leave
+    out many names lower the share everywhere. Later it must be half of all. rounds: at most; they end when nothing changes.
     """
     docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     with few_rows_a_batch(documents.sparkSession):
         found = settled(docs.mapInArrow(_scan, "kind string, pii_text string, key string, hint string, near string, wide string, doc_id bigint, begin_at int"), "candidates")
     parts = settled(name_parts.filter("name_part IS NOT NULL AND kind IS NOT NULL").select("name_part", F.lower("kind").alias("k")).mapInArrow(_folded, "part string, k string").distinct(), "names")
     family, given = parts.filter("k = 'family'").select("part"), parts.filter("k = 'given'").select("part")
+    double, found = found.filter("kind = 'double'"), found.filter("kind <> 'double'")
     by = found.groupBy("kind", "key", "hint").agg(F.count(F.lit(1)).alias("n"))
     own = by.filter("kind = 'person'").join(family.withColumnRenamed("part", "key"), "key", "left_semi").join(given.withColumnRenamed("part", "hint"), "hint", "left_semi")
     mail = by.filter("kind = 'email'").withColumn("word", F.explode(F.split(F.lower("hint"), r"[._-]+"))).join(family.withColumnRenamed("part", "word"), "word", "left_semi")
     seeds = own.select("kind", "key").unionByName(mail.select("kind", "key")).unionByName(by.filter("hint = '+' AND kind IN ('phone', 'id_number', 'address')").select("kind", "key")).distinct()
-    # The graph: how many different strings with each key stand in each context. Two contexts an occurrence: a narrow one of both sides, a wide one of the left.
-    edges = found.select("kind", "key", "pii_text", F.explode(F.array(F.concat(F.lit("n"), "near"), F.concat(F.lit("w"), "wide"))).alias("context"))
+    # The graph: how many different strings with each key stand in each context. Contexts of an occurrence: a narrow one of both sides, a wide one of the left, a person's given name.
+    given_name = F.when((F.col("kind") == "person") & (F.length("hint") > 1), F.concat(F.lit("g"), "hint"))
+    contexts = F.array_compact(F.array(F.concat(F.lit("n"), "near"), F.concat(F.lit("w"), "wide"), given_name))
+    edges = found.select("kind", "key", "pii_text", F.explode(contexts).alias("context"))
     edges = settled(edges.distinct().groupBy("kind", "key", "context").agg(F.count(F.lit(1)).alias("n")), "edges")
-    known = seeds.withColumn("score", F.lit(1.0))
-    patterns = None
+    known, patterns, state = seeds.withColumn("score", F.lit(1.0)), None, None
     for r in range(rounds):
         at = edges.join(known, ["kind", "key"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        patterns = at.groupBy("kind", "context").agg(F.sum("n").alias("keys"), F.sum(F.col("score") * F.col("n")).alias("s")).filter(F.col("s") >= support - 0.5).withColumn("p", F.col("s") / F.col("keys")).filter(F.col("p") >= (0.2 if r == 0 else 0.5)).select("kind", "context", "p")
-        patterns = settled(patterns, "patterns")
-        # A key is known by the share of its occurrences that stand in patterns; each occurrence has two contexts.
-        own = edges.join(patterns, ["kind", "context"], "left").groupBy("kind", "key").agg((2 * F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+        shares = at.groupBy("kind", "context").agg(F.sum("n").alias("keys"), F.sum(F.col("score") * F.col("n")).alias("s")).filter(F.col("s") >= support - 0.5).withColumn("p", F.col("s") / F.col("keys"))
+        if r == 0:
+            shares = settled(shares, "shares")
+            step = shares.groupBy("kind", F.floor(F.col("p") * 100).alias("percent")).agg(F.sum("s").alias("s"))  # at most 101 rows a kind
+            upto = F.sum("s").over(Window.partitionBy("kind").orderBy("percent")) / F.sum("s").over(Window.partitionBy("kind"))
+            usual = step.withColumn("_upto", upto).filter("_upto >= 0.5").groupBy("kind").agg((F.min("percent") / 100).alias("usual"))
+            patterns = shares.join(F.broadcast(usual), "kind").filter(F.col("p") >= F.least(F.lit(0.2), F.col("usual") / 2))  # a row a kind
+        else:
+            patterns = shares.filter("p >= 0.5")
+        patterns = settled(patterns.select("kind", "context", "p"), "patterns")
+        # A key is known by the share of its occurrences that stand in patterns; each occurrence has two contexts beside the given name, which counts half.
+        named = F.col("context").startswith("g")
+        weight = F.when(F.col("p").isNull(), 0.0).when(named, F.col("n") / 2).otherwise(F.col("n").cast("double"))
+        own = edges.join(patterns, ["kind", "context"], "left").groupBy("kind", "key").agg((2 * F.sum(weight) / F.sum(F.when(named, 0).otherwise(F.col("n")))).alias("share"))
         known = settled(own.select("kind", "key", F.least(F.lit(1.0), "share").alias("score")).filter("score >= 0.5"), "known")
+        now = (patterns.count(), *known.agg(F.count(F.lit(1)), F.round(F.sum("score"), 6)).first())
+        if now == state:
+            break
+        state = now
     p = patterns.select("kind", "context", "p")
     best = found.join(p.filter("context LIKE 'n%'").select("kind", F.expr("substring(context, 2)").alias("near"), F.col("p").alias("pn")), ["kind", "near"], "left")
     best = best.join(p.filter("context LIKE 'w%'").select("kind", F.expr("substring(context, 2)").alias("wide"), F.col("p").alias("pw")), ["kind", "wide"], "left")
@@ -171,6 +195,13 @@ def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "do
     # Numbers of different kinds share forms: an identity number needs its context, unless its form has letters.
     sure = F.when(F.col("kind") == "id_number", (F.col("pattern") >= 0.5) | (F.col("known") >= 0.9) & F.col("key").contains("A")).otherwise(F.col("known") >= 0.5)
     best = best.filter(sure).select("doc_id", "kind", "pii_text", "begin_at", (F.col("begin_at") + F.length("pii_text")).cast("int").alias("end_at"))
+    # A given name with two family names, all three known.
+    name = known.filter("kind = 'person'").select("key")
+    first = given.select(F.col("part").alias("hint")).unionByName(p.filter("kind = 'person' AND context LIKE 'g%'").select(F.expr("substring(context, 2)").alias("hint"))).distinct()
+    double = double.withColumns({f"_w{j}": F.split("key", " ")[j] for j in (0, 1)}).join(first, "hint", "left_semi")
+    for w in ("_w0", "_w1"):
+        double = double.join(name.withColumnRenamed("key", w), w, "left_semi")
+    best = best.unionByName(double.select("doc_id", F.lit("person").alias("kind"), "pii_text", "begin_at", (F.col("begin_at") + F.length("pii_text")).cast("int").alias("end_at")))
     # A part of a longer entity of the same kind is none.
     along = Window.partitionBy("doc_id", "kind").orderBy("begin_at", F.desc("end_at"))
     reach = F.max("end_at").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -202,4 +233,5 @@ def redact(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return docs.mapInArrow(fill, "doc_id bigint, text string")
+    with few_rows_a_batch(documents.sparkSession):
+        return settled(docs.mapInArrow(fill, "doc_id bigint, text string"), "redacted")
