@@ -28,10 +28,14 @@ ID_WORDS = ("passport", "passport no", "ssn", "national id", "tax id", "identity
 STREET_WORDS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "drive", "blvd", "boulevard", "court", "quay", "way", "rue", "impasse", "chemin", "allée", "place", "quai", "calle", "avenida", "paseo", "plaza", "camino", "straße", "strasse", "allee", "platz")
 STREET_ENDS = ("straße", "strasse", "gasse", "weg", "platz", "allee")
 
-_CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’]*(?:-[^\W\d_a-zß-öø-ÿ][\w'’]*)*"
+_HEAD = r"[^\W\d_a-zß-öø-ÿ]"
+_REST = rf"[\w'’]*(?:-{_HEAD}[\w'’]*)*"
+_CAP = _HEAD + _REST
 #: Words in small letters between a given and a family name.
 _LINK = r"(?:(?:van|von|vom|zu|zur|de|del|della|der|den|di|da|do|dos|das|du|des|la|las|los|le|el|al|bin|ibn|ben|ter|ten|y) ){0,3}"
-_NAME = re.compile(rf"(?<![\w.@-])(?=(({_CAP}|[A-Z]\.) (?:[A-Z]\. )?{_LINK}({_CAP}))(?![\w@]))|(?<![\w.@-])(?=(({_CAP}), ({_CAP}|[A-Z]\.(?!\w))(?: [A-Z]\.)?)(?![\w@]))")
+# Patterns begin with the letters they may begin with and look back behind them, which lets the search skip all others; what follows is looked at without being taken, as names may overlap.
+_NAME = re.compile(rf"{_HEAD}(?<![\w.@-].)(?:(?=((?:{_REST}|(?<=[A-Z])\.)) (?:[A-Z]\. )?{_LINK}({_CAP})(?![\w@]))|(?=({_REST}), ({_CAP}|[A-Z]\.(?!\w))(?: [A-Z]\.)?(?![\w@])))", re.S)
+_INITIAL = re.compile(r" [A-Z]\.(?![\w@])")
 _SECOND = re.compile(rf" ({_CAP})(?![\w@])")
 _LABEL = re.compile(rf"(?:{'|'.join(ID_WORDS)})(?:nummer|-nr)?[\s:.]*$".replace(" ", r"\s?"))
 _LEADS = re.compile(rf"(?<![\w.@-]){_CAP} (?:[A-Z]\. )?$")
@@ -41,7 +45,12 @@ _DOT = re.compile(r" ?[\[(](?:dot|DOT)[\])] ?| dot | DOT ")
 _NUMBER = re.compile(r"(?<![\w.+/(@-])(?:[A-Z]{1,2})?\+?\(?\d{1,11}(?:[A-Z](?=\d))?\)?(?:(?: / |/(?=\d{4})|\)? ?\(|[-  .](?=[\d(])|(?<=\))(?=\d)|(?<=[A-Z])(?=\d))\d{1,10}\)?){0,6}(?:-?[A-Z])?(?![\w@]|[-.]\d)")
 _PARTICLE = r"(?:de|del|de la|de las|de los|la|las|los|du|des|le|les|der|den|dem|am|an|auf|zum|zur|von|rue|impasse|avenue|allée|chemin|place|quai|boulevard|cours|passage|calle|plaza)"
 _WORD = r"(?:[dl]['’])?[^\W\d_a-zß-öø-ÿ][\w'’-]*\.?"
-_STREET = re.compile(rf"(?<![\w.,/-])(?=(\d{{1,5}}(?: ?[a-h](?![\w.])|[A-H](?!\w))?(?: bis| ter)?,? ((?:(?:{_WORD}|{_PARTICLE}) ){{0,5}}{_WORD}))(?!\w))|(?<![\w/-])(?=(((?:{_WORD}|[Cc]alle|rue|avenue|ul\.|al\.|via|rua)(?: (?:{_PARTICLE}|{_WORD})){{0,5}}),? (?:n\.?[º°o]\.? ?|no\. )?\d{{1,4}}(?: ?[a-h](?!\w))?)(?![\w.:/%-]))")
+_BY_NUMBER = re.compile(rf"\d(?<![\w.,/-].)(?=\d{{0,4}}(?: ?[a-h](?![\w.])|[A-H](?!\w))?(?: bis| ter)?,? ((?:(?:{_WORD}|{_PARTICLE}) ){{0,5}}{_WORD})(?!\w))", re.S)
+_TAIL = rf"(?: (?:{_PARTICLE}|{_WORD})){{0,5}}),? (?:n\.?[º°o]\.? ?|no\. )?\d{{1,4}}(?: ?[a-h](?!\w))?)(?![\w.:/%-])"
+_BY_STREET = re.compile(rf"{_HEAD}(?<![\w/-].)(?=(([\w'’-]*\.?{_TAIL})", re.S)
+_SMALL = re.compile(r"(?:c(?=alle )|r(?=u[ea] )|a(?=venue |l\. )|u(?=l\. )|v(?=ia )|[dl](?=['’]))(?<![\w/-].)", re.S)
+_BY_SMALL = re.compile(rf"(((?:{_WORD}|calle|rue|avenue|ul\.|al\.|via|rua){_TAIL}")
+_FIVE, _DIGIT = re.compile(r"\d{5}"), re.compile(r"\d")
 _LINE = re.compile(r'^[\s",\[\]#>*]+')
 _SPACE = re.compile(r"\s+")
 
@@ -69,18 +78,34 @@ def shape(number: str) -> str:
     return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", number.replace("\xa0", " ")))
 
 
+def _street_places(text: str) -> Iterator[tuple[str, int, int]]:
+    """(name, begin, end) of all that may be a street with a house number."""
+    for m in _BY_NUMBER.finditer(text):
+        yield m.group(1), m.start(), m.end(1)
+    for m in _BY_STREET.finditer(text):
+        yield text[m.start() : m.end(2)], m.start(), m.end(1)
+    for at in _SMALL.finditer(text):
+        if m := _BY_SMALL.match(text, at.start()):
+            yield m.group(2), m.start(), m.end(1)
+
+
 def candidates(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
     """(kind, text, key, hint for the seeds, begin, end) of everything that has an entity's form."""
     for m in _NAME.finditer(text):
-        g = 1 if m.group(1) else 4
-        if (g == 4 or m.group(2)[1:2] == ".") and _LEADS.search(text, max(0, m.start() - 40), m.start()):
-            continue  # the middle of a longer name
-        if g == 1:
-            yield "person", m.group(1), fold(m.group(3)), fold(m.group(2)), m.start(1), m.end(1)
-            if more := _SECOND.match(text, m.end(3)):
-                yield "double", text[m.start(1) : more.end()], f"{fold(m.group(3))} {fold(more.group(1))}", fold(m.group(2)), m.start(1), more.end()
+        a = m.start()
+        if m.group(1) is None or m.end(1) == a + 2 and text[a + 1] == ".":
+            if _LEADS.search(text, max(0, a - 40), a):
+                continue  # the middle of a longer name
+        if m.group(1) is not None:
+            given, b = fold(text[a : m.end(1)]), m.end(2)
+            yield "person", text[a:b], fold(m.group(2)), given, a, b
+            if more := _SECOND.match(text, b):
+                yield "double", text[a : more.end()], f"{fold(m.group(2))} {fold(more.group(1))}", given, a, more.end()
         else:
-            yield "person", m.group(4), fold(m.group(5)), fold(m.group(6)), m.start(4), m.end(4)
+            b = m.end(4)
+            initial = _INITIAL.match(text, b)
+            b = initial.end() if initial else b
+            yield "person", text[a:b], fold(text[a : m.end(3)]), fold(m.group(4)), a, b
     for m in _AT.finditer(text):
         a, right = m.start(), _DOMAIN.match(text, m.end())
         while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
@@ -92,12 +117,14 @@ def candidates(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
                 yield "email", text[a:b].rstrip(".-"), domain, re.sub(r"\d|\+.*", "", text[a : m.start()]), a, b
     for m in _NUMBER.finditer(text):
         s, a = m.group(), m.start()
+        if len(s) < 6:
+            continue
         if s[0] == "(" and s[-1] == ")" and s.count(")") == 1:
             s, a = s[1:-1], a + 1
         elif s[-1] == ")" and "(" not in s:
             s = s[:-1]
         b = a + len(s)
-        digits = sum(c.isdigit() for c in s)
+        digits = len(_DIGIT.findall(s))
         if digits < 6 or digits > 15 or len(s) - digits == 1 and "." in s:
             continue
         form, head = shape(s), text[max(0, a - 28) : a].lower()
@@ -105,17 +132,16 @@ def candidates(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
             yield "phone", s, form, "+" if s[0] == "+" and digits > 8 else "", a, b
         if s[0] not in "+(":
             yield "id_number", s, form, "+" if _LABEL.search(head) else "", a, b
-    for m in _STREET.finditer(text):
-        g = 1 if m.group(1) else 3
-        name = m.group(g + 1).rstrip(" ,")
+    for name, a, b in _street_places(text):
+        name = name.rstrip(" ,")
         if name.isupper() and name.count(" ") > 2:
             continue  # a line in capitals, not a street
         name = name.lower()
         words = re.split(r"[\s.]+", name)
         known = any(w in STREET_WORDS or w.endswith(STREET_ENDS) and w not in STREET_ENDS for w in words)
-        if not known and re.match(r"\d{5}|.*\d{5}$", m.group(g)):
+        if not known and _FIVE.match(text, a):
             continue  # more likely a postcode and its town
-        yield "address", m.group(g), name, "+" if known else "", m.start(g), m.end(g)
+        yield "address", text[a:b], name, "+" if known else "", a, b
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +152,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for doc, text in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200).to_pylist()):
                 for kind, s, key, hint, a, b in candidates(text):
-                    left = before(text, a)
-                    out.append((kind, s, key, hint, left[-5:] + "|" + behind(text, a + len(s)), left, doc, a))
+                    left = before(text, a) if kind != "double" else None  # that has no contexts of its own
+                    out.append((kind, s, key, hint, left and left[-5:] + "|" + behind(text, a + len(s)), left, doc, a))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
 
