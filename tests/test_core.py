@@ -50,7 +50,7 @@ def test_suffix_array_and_what_hangs_on_it(spark, texts):
     sa = text.suffix_array(t).orderBy("bwt_pos").collect()
     want = naive_sa(texts)
     assert [(r.seq_id, r.seq_off) for r in sa] == want and [r.bwt_pos for r in sa] == list(range(len(want)))
-    b = text.bwt(text.suffix_array(t), t)
+    b = text.suffix_array(t)
     letters = [r.ch for r in b.orderBy("bwt_pos").collect()]
     assert letters == [texts[i][o - 1] if o else "$" for i, o in want]
     place = {p: k for k, p in enumerate(want)}
@@ -95,10 +95,10 @@ def test_keys_and_words(spark):
     df = frame(spark, [(s,) for s in k] + [("ACGTN",), (None,)], "s string").withColumn("key", dna.kmer_key(F.col("s")))
     for row in df.withColumn("back", dna.kmer_text(F.col("key"), 31)).collect():
         assert row.key is None if row.s is None or "N" in row.s else row.back == row.s
-    runs = frame(spark, [(7, 1, 1023, 511), (0, 0, 0, 1), (2**30, 1, 5, 600), (5, 0, 1024, 3)], "n bigint, r int, o int, l bigint")
+    runs = frame(spark, [(7, 1, 1023, 511), (0, 0, 0, 1), (2**30, 1, 5, 600), (5, 0, 1024, 3), (2**44 + 5, 0, 1, 1), (2**44 - 1, 1, 2, 3)], "n bigint, r int, o int, l bigint")
     word = dna.encode_run(F.col("n"), F.col("r"), F.col("o"), F.col("l"))
     got = runs.select("n", "r", "o", "l", dna.decode_run(word).alias("d"), word.isNull().alias("bad")).collect()
-    assert [x.bad for x in got] == [False, False, True, True]
+    assert [x.bad for x in got] == [False, False, True, True, True, False]
     assert all((x.d.node_id, x.d.is_reverse, x.d.node_offset, x.d.length) == (x.n, x.r, x.o, x.l) for x in got if not x.bad)
     labels = frame(spark, [(999,), (1234,), (1999,), (5_670_000,), (2_000_000_000,)], "n bigint").select(dna.format_number(F.col("n"))).collect()
     assert [x[0] for x in labels] == ["999", "1.2K", "1.9K", "5.6M", "2.0B"]
@@ -173,6 +173,17 @@ def test_tag_table(spark):
     assert rows(tags.decode_runs(tags.encode_runs(lay)).select("bwt_start", "length")) == [(0, 4), (24, 10), (4, 5), (9, 4)]
 
 
+def test_runs_are_inserted_into_gaps(spark):
+    run = "file_id bigint, start_position bigint, graph_position bigint, length bigint"
+    old = frame(spark, [(1, 10, 7, 5), (1, 20, 8, 10), (2, 0, 9, 3)], run)
+    new = [(1, 0, 7, 10), (1, 15, 7, 5), (1, 14, 7, 2), (1, 29, 8, 1), (1, 30, 8, 4), (1, 30, 8, 4), (1, 33, 1, 9), (1, 100_000, 2, 5), (2, 10, 7, 5), (2, 4, 1, 100), (2, 200, 3, 0), (None, 5, 5, 5)]
+    got = rows(tags.insert_runs(old, frame(spark, new, run)).select("file_id", "start_position", "length", "accepted"))
+    want = [(1, 0, 10, True), (1, 14, 2, False), (1, 15, 5, False), (1, 29, 1, False), (1, 30, 4, False), (1, 30, 4, True), (1, 33, 9, False), (1, 100_000, 5, True), (2, 4, 100, True), (2, 10, 5, False), (2, 200, 0, False)]
+    assert got == sorted(want, key=repr)
+    assert tags.insert_runs(old, old.limit(0)).count() == 0
+    assert all(x.accepted for x in tags.insert_runs(old.limit(0), old).collect())
+
+
 @pytest.mark.parametrize("letters,need", [("ACGT", 1), ("AC", 2), ("AC", 3)])
 def test_mems(spark, letters, need):
     r = random.Random(need)
@@ -185,15 +196,24 @@ def test_mems(spark, letters, need):
     want = [(i, *m) for i, s in enumerate(reads) for m in naive_mems(s, [x for x in texts if x], 4, need)]
     assert rows(got.select("read_id", "mem_start", "mem_end", "size")) == sorted(want, key=repr)
     assert sum(m[3] for m in want) == places.count()
+    at = [(x.read_id, x.mem_start, x.mem_end, x.seq_id, x.seq_off) for x in places.collect()]
+    assert len(set(at)) == len(at) and all(reads[r][a:b] == texts[s][o : o + b - a] for r, a, b, s, o in at)
     with pytest.raises(ValueError):
         mems.find_mems(q, t, 0)
 
 
+def test_mems_of_one_letter_on_both_sides(spark):
+    t = frame(spark, [(0, "A" * 10_000), (1, "C" + "A" * 9_000)], "seq_id bigint, seq string")
+    q = frame(spark, [(1, "A" * 10_000), (2, "A" * 500 + "C" + "A" * 300)], "read_id bigint, seq string")
+    got, _ = mems.find_mems(q, t, 31)
+    assert rows(got) == [(1, 0, 10_000, 1), (2, 0, 500, 10_000 - 499 + 9_000 - 499), (2, 500, 801, 1)]
+
+
 def test_tags_of_empty_texts_are_split_and_merged(spark):
     t = frame(spark, [(0, "ACGTACCA"), (1, ""), (2, "GGATTC"), (3, "")], "seq_id bigint, seq string")
     sa = frame(spark, [(k, *p) for k, p in enumerate(naive_sa(["ACGTACCA", "", "GGATTC", ""]))], "bwt_pos bigint, seq_id bigint, seq_off bigint")
     nodes, steps = graph.chop(t, 4)
-    tag = tags.tag_array(sa, graph.letter_positions(graph.path_positions(steps, nodes)))
+    tag = tags.tag_array(sa, graph.path_positions(steps, nodes))
     comp = frame(spark, [(0, 0), (2, 2 << 20)], "seq_id bigint, comp_id bigint")
     parts = tags.split_by_component(tag, sa, comp)
     assert parts.select("comp_id").distinct().count() == 4
@@ -226,22 +246,26 @@ def test_graph_tags_and_hits(spark):
         walk[x.seq_id] = walk.get(x.seq_id, "") + s
     assert [walk[i] for i in range(4)] == texts
     sa = text.suffix_array(t)
-    tag = tags.tag_array(sa, graph.letter_positions(pos))
+    tag = tags.tag_array(sa, pos)
     comps = graph.components(nodes, graph.step_edges(steps))
     sc = {x.seq_id: x.comp_id for x in graph.path_components(steps, comps).collect()}
     assert sc[0] == sc[1] == sc[3] != sc[2]
     whole = rows(tags.tag_runs(tag))
     parts = tags.split_by_component(tag, sa, graph.path_components(steps, comps))
     assert rows(tags.tag_runs(tags.merge_components(parts, sa, graph.path_components(steps, comps)))) == whole
+    # the same from arrays that were built for each component alone
+    alone = text.suffix_array(t.join(graph.path_components(steps, comps), "seq_id"), "comp_id")
+    parts = tags.tag_array(alone.withColumnRenamed("bwt_pos", "row_no"), pos)
+    assert parts.filter("row_no = 0").count() == 2
+    assert rows(tags.tag_runs(tags.merge_components(parts, sa, graph.path_components(steps, comps)))) == whole
     q = frame(spark, [(1, a[10:60])], "read_id bigint, seq string")
     _, places = mems.find_mems(q, t, 20)
-    letters = graph.letter_positions(pos)
-    assert mems.hits(places, sa, letters, "sequence").count() == 3
-    assert mems.hits(places, sa, letters, "position").count() == 1
+    assert mems.hits(places, sa, pos, "sequence").count() == 3
+    assert mems.hits(places, sa, pos, "position").count() == 1
     paths = {x.seq_id: x.path for x in mems.hit_paths(places, pos).collect()}
     assert paths[0] == paths[3] == paths[1] and paths[0].count(">") + paths[0].count("<") == 4
     with pytest.raises(ValueError):
-        mems.hits(places, sa, letters, "other")
+        mems.hits(places, sa, pos, "other")
 
 
 def test_components_of_chains(spark):

@@ -46,7 +46,7 @@ def unpack_sa(packed: Column, max_length: Column | int) -> Column:
 
 def encode_run(node_id: Column, is_reverse: Column, offset: Column, length: Column) -> Column:
     """A run of at most 511 rows as one number; null where a part is out of range."""
-    fits = (offset >= 0) & (offset < (1 << OFFSET_BITS)) & (length >= 1) & (length <= LONGEST_RUN) & (node_id >= 0)
+    fits = (offset >= 0) & (offset < (1 << OFFSET_BITS)) & (length >= 1) & (length <= LONGEST_RUN) & (node_id >= 0) & (node_id < (1 << (64 - OFFSET_BITS - 1 - LENGTH_BITS)))
     word = F.shiftleft(node_id.cast("bigint"), OFFSET_BITS + 1 + LENGTH_BITS).bitwiseOR(F.shiftleft(length.cast("bigint"), OFFSET_BITS + 1)).bitwiseOR(F.shiftleft(is_reverse.cast("bigint"), OFFSET_BITS)).bitwiseOR(offset.cast("bigint"))
     return F.when(fits, word)
 

@@ -2,26 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from heapq import heappush, heappushpop
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.dna import ALPHABET
 from weftline.operators.ordered import bucket_width, with_interval, with_sum_before
 from weftline.operators.tags import POSITION
-from weftline.operators.text import windows
+from weftline.operators.text import as_bytes
+from weftline.shared import settled
+
+#: Letters of a read that a cell of starts covers.
+_CELL = 256
+
+
+def _letter_code(c: Column) -> Column:
+    """1 to 5 for letters of the alphabet, else 0."""
+    out = F.lit(0)
+    for k, letter in enumerate(ALPHABET):
+        out = F.when(c == letter, k + 1).otherwise(out)
+    return out
+
+
+def keyed_windows(texts: DataFrame, text_id: str, at: str, k: int) -> DataFrame:
+    """(text_id, at, k0, k1, .., before, behind): windows of k letters of ACGNT as numbers of base 5, 27 letters each, and the codes of the letters around them, 0 for none."""
+    w = texts.filter(F.length("seq") >= k).select(text_id, as_bytes(F.col("seq")).alias("_b")).select(text_id, "_b", F.explode(F.expr(f"sequence(0, length(_b) - {k})")).alias(at))
+    w = w.select(text_id, at, F.substring("_b", F.col(at), F.lit(k + 2)).cast("string").alias("_w"), (F.col(at) > 0).cast("int").alias("_lead"))
+    kmer = F.substring("_w", F.col("_lead") + 1, F.lit(k))
+    w = w.select(text_id, at, "_w", "_lead", kmer.alias("_k")).filter(F.col("_k").rlike(f"^[{ALPHABET}]+$"))
+    digits = F.translate("_k", ALPHABET, "01234")
+    keys = [F.conv(F.substring(digits, 27 * j + 1, 27), 5, 10).cast("bigint").alias(f"k{j}") for j in range(-(-k // 27))]
+    before = F.when(F.col("_lead") == 1, _letter_code(F.substring("_w", 1, 1))).otherwise(0)
+    return w.select(text_id, at, *keys, before.alias("before"), _letter_code(F.substring("_w", F.col("_lead") + k + 1, F.lit(1))).alias("behind"))
 
 
 def islands(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFrame:
     """(read_id, start, stop, seq_id, diagonal): maximal stretches of a read that stand in a text at start + diagonal.
 
-    Windows of min_len letters are joined by their hash and compared; those on one diagonal that follow each other are one
-    stretch. Reads and texts: (read_id, seq), (seq_id, seq), in capitals. Letters but ACGNT match nothing.
+    A stretch begins where a window of min_len letters stands in both and the letters before it differ, and ends where those
+    behind one differ. The distinct windows of the texts tell which letters stand around each; only windows of reads that have
+    other ones are joined with the texts, by window and letter, so what lies inside a stretch gives no pair, not even in long
+    repeats. Beginnings and ends alternate along a diagonal. Reads and texts: (read_id, seq), (seq_id, seq), in capitals, with
+    one row for each id. Letters but ACGNT match nothing.
     """
-    one = windows(reads, "read_id", "seq", min_len, "ACGNT").withColumnRenamed("kmer_offset", "i").withColumn("h", F.xxhash64("kmer"))
-    other = windows(texts, "seq_id", "seq", min_len, "ACGNT").withColumnRenamed("kmer_offset", "o").withColumnRenamed("kmer", "k2").withColumn("h", F.xxhash64("k2"))
-    met = one.join(other, "h").filter("kmer = k2").select("read_id", "i", "seq_id", (F.col("o") - F.col("i")).alias("diagonal"))
-    w = Window.partitionBy("read_id", "seq_id", "diagonal").orderBy("i")
-    met = met.withColumn("_g", F.col("i") - F.row_number().over(w))
-    return met.groupBy("read_id", "seq_id", "diagonal", "_g").agg(F.min("i").alias("start"), (F.max("i") + min_len).alias("stop")).drop("_g")
+    one, other = keyed_windows(reads, "read_id", "i", min_len), keyed_windows(texts, "seq_id", "o", min_len)
+    keys = [c for c in one.columns if c[1:].isdigit()]
+    bit = lambda c: F.expr(f"shiftleft(1, {c})")
+    around = other.groupBy(*keys).agg(F.bit_or(bit("before")).alias("_tb"), F.bit_or(bit("behind")).alias("_ta"))
+    others = lambda mask, c: F.when(F.col(c) == 0, F.col(mask)).otherwise(F.col(mask).bitwiseAND(F.bitwise_not(bit(c))))
+    edges = one.join(around, keys).select("read_id", "i", *keys, others("_tb", "before").alias("_first"), others("_ta", "behind").alias("_last"))
+    edges = settled(edges.filter("_first <> 0 OR _last <> 0"), "edges")
+
+    def met(mask: str, side: str, is_last: int) -> DataFrame:
+        letters = F.filter(F.sequence(F.lit(0), F.lit(len(ALPHABET))), lambda c: F.call_function("getbit", F.col(mask), c) == 1)
+        ask = edges.filter(F.col(mask) != 0).select("read_id", "i", *keys, F.explode(letters).alias(side))
+        return ask.join(other.select("seq_id", "o", *keys, side), [*keys, side]).select("read_id", "seq_id", (F.col("o") - F.col("i")).alias("diagonal"), "i", F.lit(is_last).alias("is_last"))
+
+    along = Window.partitionBy("read_id", "seq_id", "diagonal").orderBy("i", "is_last")
+    ends = met("_first", "before", 0).unionByName(met("_last", "behind", 1)).withColumn("_next", F.lead("i").over(along))
+    return ends.filter("is_last = 0").select("read_id", F.col("i").alias("start"), (F.col("_next") + min_len).alias("stop"), "seq_id", "diagonal")
+
+
+def _furthest(need: int, min_len: int):
+    """Of stretches sorted by read and start: (read_id, mem_start, mem_end) where the need-th furthest stop so far grows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, at, stops, last = None, None, [], 0
+        for batch in batches:
+            out = []
+
+            def close():
+                nonlocal last
+                if at is not None and len(stops) == need and stops[0] >= at + min_len and stops[0] > last:
+                    last = stops[0]
+                    out.append((read, at, last))
+
+            for r, start, stop in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (r, start) != (read, at):
+                    close()
+                    if r != read:
+                        stops, last = [], 0
+                    read, at = r, start
+                if len(stops) < need:
+                    heappush(stops, stop)
+                else:
+                    heappushpop(stops, stop)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["read_id", "mem_start", "mem_end"])
+        if at is not None and len(stops) == need and stops[0] >= at + min_len and stops[0] > last:
+            yield pa.RecordBatch.from_arrays([pa.array([read], pa.int64()), pa.array([at], pa.int32()), pa.array([stops[0]], pa.int32())], names=["read_id", "mem_start", "mem_end"])
+
+    return run
 
 
 def find_mems(reads: DataFrame, texts: DataFrame, min_len: int, min_occ: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -29,22 +102,21 @@ def find_mems(reads: DataFrame, texts: DataFrame, min_len: int, min_occ: int = 1
 
     For each start x let e(x) be the furthest end such that the read's letters [x, e) stand at least min_occ times in the
     texts, overlapping places counted. A match is reported if it has min_len letters and e(x) > e(x - 1). Empty reads, and
-    reads shorter than min_len, have none.
+    reads shorter than min_len, have none. read_id must tell the reads apart.
+
+    e(x) grows only where a stretch begins: it is the min_occ-th furthest stop of the stretches that have begun, kept while
+    the stretches of a read stream by in order of their start. Places are looked up for the matches that are reported.
     """
     if min_len < 1:
         raise ValueError("min_len must be at least 1")
-    need = max(1, min_occ)
-    found = islands(reads, texts, min_len)
-    at = found.select("read_id", "seq_id", "diagonal", "stop", F.explode(F.expr(f"sequence(start, stop - {min_len})")).alias("mem_start"))
-    # For each start the need-th furthest stop.
-    stops = at.groupBy("read_id", "mem_start", "stop").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("read_id", "mem_start").orderBy(F.desc("stop"))
-    stops = stops.withColumn("size", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("size") >= need)
-    best = stops.groupBy("read_id", "mem_start").agg(F.max(F.struct("stop", "size")).alias("b")).select("read_id", "mem_start", F.col("b.stop").alias("mem_end"), F.col("b.size").alias("size"))
-    before = F.lag("mem_end").over(Window.partitionBy("read_id").orderBy("mem_start"))
-    mems = best.withColumn("_p", before).filter("_p IS NULL OR _p < mem_end").drop("_p")
-    places = at.join(mems, ["read_id", "mem_start"]).filter("stop >= mem_end").select("read_id", "mem_start", "mem_end", "size", "seq_id", (F.col("mem_start") + F.col("diagonal")).cast("bigint").alias("seq_off"))
-    return mems, places
+    found = settled(islands(reads, texts, min_len).withColumn("read_id", F.col("read_id").cast("bigint")), "islands")
+    mems = found.select("read_id", "start", "stop").repartition("read_id").sortWithinPartitions("read_id", "start").mapInArrow(_furthest(max(1, min_occ), min_len), "read_id bigint, mem_start int, mem_end int")
+    cells = found.withColumn("_cell", F.explode(F.expr(f"sequence(start div {_CELL}, (stop - {min_len}) div {_CELL})")))
+    places = mems.withColumn("_cell", F.expr(f"mem_start div {_CELL}")).join(cells, ["read_id", "_cell"]).filter("start <= mem_start AND stop >= mem_end")
+    places = settled(places.select("read_id", "mem_start", "mem_end", "seq_id", (F.col("mem_start") + F.col("diagonal")).cast("bigint").alias("seq_off")), "places")
+    match = ["read_id", "mem_start", "mem_end"]
+    sized = places.groupBy(*match).agg(F.count(F.lit(1)).alias("size"))
+    return sized, places.join(sized, match).select(*match, "size", "seq_id", "seq_off")
 
 
 def suffix_matches(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFrame:
@@ -53,13 +125,15 @@ def suffix_matches(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFram
     return ends.groupBy("read_id").agg(F.max(F.col("_n") - F.col("start")).alias("match_length"))
 
 
-def hits(places: DataFrame, sa: DataFrame, letters: DataFrame, mode: str = "position") -> DataFrame:
+def hits(places: DataFrame, sa: DataFrame, positions: DataFrame, mode: str = "position") -> DataFrame:
     """(seq_id, node_id, node_offset, is_reverse, mem_length, mem_start, read_id) of the places of matches.
 
     mode "position": a row for each distinct graph position of a match, with the sequence of its first row in the text
-    index; "sequence": a row for each sequence, with the position of its first row.
+    index; "sequence": a row for each sequence, with the position of its first row. positions: of the paths' steps.
     """
-    rows = places.join(sa, ["seq_id", "seq_off"]).join(letters, ["seq_id", "seq_off"])
+    rows = places.join(sa.select("seq_id", "seq_off", "bwt_pos"), ["seq_id", "seq_off"])
+    steps = positions.filter("node_length > 0").withColumn("_from", F.col("path_start"))
+    rows = with_interval(rows, "seq_off", steps, "path_start", "node_length", ["node_id", "is_reverse", "_from"], ["seq_id"], 64).filter("node_id IS NOT NULL").withColumn("node_offset", (F.col("seq_off") - F.col("_from")).cast("int"))
     match = ["read_id", "mem_start", "mem_end"]
     if mode == "position":
         out = rows.groupBy(*match, *POSITION).agg(F.min_by("seq_id", "bwt_pos").alias("seq_id"))

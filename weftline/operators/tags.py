@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.dna import LONGEST_RUN, decode_run, encode_run, position
 from weftline.operators.ordered import bucket_width, overlaps, run_lengths, split_runs, with_interval, with_neighbour, with_sum_before
+from weftline.shared import settled
 
 POSITION = ["node_id", "is_reverse", "node_offset"]
 
 
-def tag_array(sa: DataFrame, letters: DataFrame) -> DataFrame:
-    """(bwt_pos, node_id, is_reverse, node_offset): text positions joined with path positions; end-markers have node 0."""
+def tag_array(sa: DataFrame, positions: DataFrame, width: int = 64) -> DataFrame:
+    """(sa's columns but seq_id, seq_off and ch; node_id, is_reverse, node_offset): text positions met with the paths' steps; end-markers have node 0.
+
+    width: cells by which the steps are found, near the typical length of a node.
+    """
+    steps = positions.filter("node_length > 0").withColumn("_from", F.col("path_start"))
+    at = with_interval(sa, "seq_off", steps, "path_start", "node_length", ["node_id", "is_reverse", "_from"], ["seq_id"], width).withColumn("node_offset", F.col("seq_off") - F.col("_from"))
     zero = {"node_id": "bigint", "is_reverse": "int", "node_offset": "int"}
-    out = sa.join(letters, ["seq_id", "seq_off"], "left")
-    return out.select("bwt_pos", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in zero.items()))
+    return at.select(*(c for c in sa.columns if c not in ("seq_id", "seq_off", "ch")), *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in zero.items()))
 
 
 def tag_runs(tags: DataFrame) -> DataFrame:
@@ -113,3 +118,28 @@ def merge_components(parts: DataFrame, sa: DataFrame, seq_comp: DataFrame) -> Da
     rows = _with_component(sa.select("bwt_pos", "seq_id"), seq_comp).withColumn("_one", F.lit(1))
     rows = with_sum_before(rows, ["comp_id"], "bwt_pos", "_one", "row_no", bucket_width(rows, "bwt_pos"))
     return rows.join(parts, ["comp_id", "row_no"]).select("bwt_pos", *POSITION)
+
+
+def insert_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """(file_id, start_position, graph_position, length, accepted): new runs, accepted where all their rows lie in gaps of their file.
+
+    A run is rejected if it shares a row with one of `runs` or with a new one that comes before it, by start, then length, then
+    position; so of repeated new runs one is accepted. Runs without a row are rejected.
+    """
+    key = ["file_id", "start_position", "length", "graph_position"]
+    ask = new.select(*key).filter("file_id IS NOT NULL AND start_position IS NOT NULL").withColumn("_id", F.monotonically_increasing_id())
+    ask = settled(ask.withColumns({"_end": F.col("start_position") + F.col("length"), "_file": F.col("file_id")}), "new_runs")
+    width = bucket_width(ask, "start_position")
+    # The furthest end of the new runs before it: inside its bucket and, one row a bucket, before that.
+    ask = ask.withColumn("_b", F.floor(F.col("start_position") / width))
+    inside = Window.partitionBy("file_id", "_b").orderBy("start_position", "length", "graph_position", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ask.groupBy("file_id", "_b").agg(F.max("_end").alias("_top"))
+    tops = tops.select("file_id", "_b", F.max("_top").over(Window.partitionBy("file_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    reach = F.greatest(F.max("_end").over(inside), F.col("_before"))
+    ask = ask.join(tops, ["file_id", "_b"]).withColumn("_reach", reach)
+    # Runs that were there: the last one that begins before this one's end.
+    old = runs.filter("length > 0").select("file_id", F.col("start_position").alias("_s"), (F.col("start_position") + F.col("length") - 1).alias("_e"))
+    met = overlaps(ask.filter("length > 0").withColumn("_last", F.col("_end") - 1), "start_position", "_last", old.withColumnRenamed("file_id", "_f"), "_s", "_e", 1 << 12).filter("_f = file_id").select("_id").distinct()
+    out = ask.join(met.withColumn("_hit", F.lit(True)), "_id", "left")
+    free = (F.col("length") > 0) & F.col("_hit").isNull() & (F.col("_reach").isNull() | (F.col("_reach") <= F.col("start_position")))
+    return out.select("file_id", "start_position", "graph_position", "length", F.coalesce(free, F.lit(False)).alias("accepted"))

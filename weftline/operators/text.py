@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.dna import reverse_complement
 from weftline.operators.ordered import bucket_width, run_lengths, with_interval, with_neighbour, with_sum_before, with_sums_before
-from weftline.shared import settled
+from weftline.shared import forget, settled
 
 MARK = "$"
 _KEY = 20
@@ -72,63 +72,64 @@ def _suffix_keys(chunk: int):
                     here = code[letters[at : at + len(part)]]
                     part[: len(here)] = here
                     both = keys(part, n + _KEY)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq_id, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int64)), pa.array(both[:n]), pa.array(both[_KEY:])], names=["seq_id", "seq_off", "k1", "k2"])
+                    ahead = np.zeros(n, np.int8)
+                    ahead[0 if at else 1 :] = code[letters[at - 1 if at else 0 : at + n - 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq_id, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int64)), pa.array(both[:n]), pa.array(both[_KEY:]), pa.array(ahead)], names=["seq_id", "seq_off", "k1", "k2", "c"])
 
     return run
 
 
 def suffixes(texts: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """(seq_id, seq_off BIGINT, k1, k2): every suffix, that of the end-marker alone too, with its first 40 letters as two numbers."""
-    return texts.select("seq_id", as_bytes(F.col("seq")).alias("seq")).mapInArrow(_suffix_keys(chunk), "seq_id bigint, seq_off bigint, k1 bigint, k2 bigint")
+    """(seq_id, seq_off BIGINT, k1, k2, c TINYINT): every suffix, that of the end-marker alone too, with its first 40 letters as two numbers and the letter before it, 0 for none."""
+    return texts.select("seq_id", as_bytes(F.col("seq")).alias("seq")).mapInArrow(_suffix_keys(chunk), "seq_id bigint, seq_off bigint, k1 bigint, k2 bigint, c tinyint")
 
 
-def suffix_array(texts: DataFrame) -> DataFrame:
-    """(bwt_pos, seq_id, seq_off) of texts over ACGNT with one row for each seq_id; other letters count as N.
+def suffix_array(texts: DataFrame, by: str | None = None) -> DataFrame:
+    """(bwt_pos, seq_id, seq_off, ch) of texts over ACGNT with one row for each seq_id; other letters count as N. ch is the letter before the suffix, the end-marker before a whole text.
 
     Suffixes get the rank of their first 40 letters, then those that share a rank are told apart by the ranks of the
     suffixes 40, 80 and 120 letters further on, then 160, 320 and 480: each round compares four times the letters. Only
     suffixes that still share a rank take part in a round. The first ranks come from the counts of the distinct prefixes,
     range-partitioned and added up bucket by bucket.
+
+    by: a column of texts, not null; its values get an array each, with rows from 0, as if each were built alone.
     """
+    g = [by] if by else []
+    own = texts.select("seq_id", *g)
     texts = texts.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N"))
-    suf = settled(suffixes(texts), "suffixes")
-    counts = suf.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    suf = suffixes(texts)
+    suf = settled(suf.join(own, "seq_id") if by else suf, "suffixes")
+    counts = suf.groupBy(*g, "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
     # k1 is cut into ranges by its own width, which spreads as its values do
-    small = counts.groupBy("k1").agg(F.sum("n").alias("m"))
-    first = with_sum_before(small, [], "k1", "m", "below", bucket_width(small, "k1"))
-    inside = Window.partitionBy("k1").orderBy("k2").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.join(first.select("k1", "below"), "k1").withColumn("r", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    cur = settled(suf.join(start.select("k1", "k2", "r", "n"), ["k1", "k2"]).select("seq_id", "seq_off", "r", F.col("n").alias("n")), "ranks")
+    small = counts.groupBy(*g, "k1").agg(F.sum("n").alias("m"))
+    first = with_sum_before(small, g, "k1", "m", "below", bucket_width(small, "k1"))
+    inside = Window.partitionBy(*g, "k1").orderBy("k2").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.join(first.select(*g, "k1", "below"), [*g, "k1"]).withColumn("r", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    cur = settled(suf.join(start.select(*g, "k1", "k2", "r", "n"), [*g, "k1", "k2"]).select("seq_id", "seq_off", "c", "r", "n", *g), "ranks")
+    forget(suf)
     done, h = None, 2 * _KEY
     further = [f"r{j}" for j in range(1, _LEAPS + 1)]
     while True:
         open_ = cur.filter("n > 1")
         if open_.isEmpty():
             break
-        known = cur.select("seq_id", "seq_off", "r") if done is None else cur.select("seq_id", "seq_off", "r").unionByName(done)
-        asked = open_.select("seq_id", "seq_off", "r", F.explode(F.array(*(F.lit(j) for j in range(1, _LEAPS + 1)))).alias("leap"))
+        known = cur.select("seq_id", "seq_off", "r") if done is None else cur.select("seq_id", "seq_off", "r").unionByName(done.drop("c", *g))
+        asked = open_.select("seq_id", "seq_off", "c", "r", *g, F.explode(F.array(*(F.lit(j) for j in range(1, _LEAPS + 1)))).alias("leap"))
         asked = asked.withColumn("_at", F.col("seq_off") + F.col("leap") * F.lit(h).cast("bigint"))
         met = asked.join(known.select("seq_id", F.col("seq_off").alias("_at"), F.col("r").alias("_r")), ["seq_id", "_at"], "left").withColumn("_r", F.coalesce("_r", F.lit(-1).cast("bigint")))
-        at = met.groupBy("seq_id", "seq_off").agg(F.min("r").alias("r"), *(F.max(F.when(F.col("leap") == j, F.col("_r"))).alias(f"r{j}") for j in range(1, _LEAPS + 1)))
+        at = met.groupBy("seq_id", "seq_off").agg(F.min("r").alias("r"), F.min("c").alias("c"), *(F.min(x).alias(x) for x in g), *(F.max(F.when(F.col("leap") == j, F.col("_r"))).alias(f"r{j}") for j in range(1, _LEAPS + 1)))
         # Behind the end of its text a suffix is told apart by its text: the end-markers are ordered by seq_id. What is behind one end is behind all that share the rank.
         at = at.withColumn("tie", F.when(F.least(*further) < 0, F.col("seq_id")).otherwise(F.lit(0)))
-        pairs = at.groupBy("r", *further, "tie").agg(F.count(F.lit(1)).alias("n"))
-        below = Window.partitionBy("r").orderBy(*further, "tie").rowsBetween(Window.unboundedPreceding, -1)
+        pairs = at.groupBy(*g, "r", *further, "tie").agg(F.count(F.lit(1)).alias("n"))
+        below = Window.partitionBy(*g, "r").orderBy(*further, "tie").rowsBetween(Window.unboundedPreceding, -1)
         pairs = pairs.withColumn("new", F.col("r") + F.coalesce(F.sum("n").over(below), F.lit(0)))
-        fresh = at.join(pairs, ["r", *further, "tie"]).select("seq_id", "seq_off", F.col("new").alias("r"), "n")
-        over = cur.filter("n = 1").select("seq_id", "seq_off", "r")
+        fresh = at.join(pairs, [*g, "r", *further, "tie"]).select("seq_id", "seq_off", "c", F.col("new").alias("r"), "n", *g)
+        over = cur.filter("n = 1").select("seq_id", "seq_off", "c", "r", *g)
         done = over if done is None else done.unionByName(over)
         cur = settled(fresh, "ranks")
         h *= _LEAPS + 1
-    out = cur.select("seq_id", "seq_off", "r") if done is None else cur.select("seq_id", "seq_off", "r").unionByName(done)
-    return out.select(F.col("r").alias("bwt_pos"), "seq_id", "seq_off")
-
-
-def bwt(sa: DataFrame, texts: DataFrame) -> DataFrame:
-    """(bwt_pos, seq_id, seq_off, ch): the letter before each suffix, the end-marker before a whole text."""
-    letters = texts.select("seq_id", F.posexplode(F.split(F.regexp_replace("seq", "[^ACGT]", "N"), "")).alias("p", "ch")).filter("ch <> ''")
-    letters = letters.select("seq_id", (F.col("p") + 1).cast("bigint").alias("seq_off"), "ch")
-    return sa.join(letters, ["seq_id", "seq_off"], "left").select("bwt_pos", "seq_id", "seq_off", F.coalesce("ch", F.lit(MARK)).alias("ch"))
+    out = cur.drop("n") if done is None else cur.drop("n").unionByName(done)
+    return out.select(*g, F.col("r").alias("bwt_pos"), "seq_id", "seq_off", F.substring(F.lit(MARK + "ACGNT"), F.col("c").cast("int") + 1, F.lit(1)).alias("ch"))
 
 
 def symbol_table(symbols: DataFrame, ch: str = "ch", n: str | None = None) -> DataFrame:
@@ -203,8 +204,36 @@ def extend_ranges(ranges: DataFrame, runs: DataFrame, symbols: str = "ACGNT") ->
 
 def first_symbols(points: DataFrame, point: str, symbols: DataFrame) -> DataFrame:
     """Add the first letter of the suffix at each row: the symbol whose rows hold it; points beyond the text keep null."""
-    s = symbols.select(F.col("ch").alias("first_ch"), F.col("c_before").alias("_lo"), (F.col("c_before") + F.col("freq")).alias("_hi"))
-    return points.join(F.broadcast(s), (F.col(point) >= F.col("_lo")) & (F.col(point) < F.col("_hi")), "left").drop("_lo", "_hi")  # a row for each symbol
+    ends = [(r["ch"], r["c_before"], r["c_before"] + r["freq"]) for r in symbols.collect()]  # a row for each symbol of the alphabet
+    first = F.lit(None).cast("string")
+    for ch, low, high in ends:
+        first = F.when((F.col(point) >= low) & (F.col(point) < high), F.lit(ch)).otherwise(first)
+    return points.withColumn("first_ch", first)
+
+
+def bi_extend(intervals: DataFrame, runs: DataFrame, ahead: bool = False) -> DataFrame:
+    """Bi-intervals with each letter put before them, or behind them: (forward_start, reverse_start, size, ch, new_forward, new_reverse, new_size), in an index of both strands.
+
+    An interval is the rows that begin with a pattern, from forward_start on, and those that begin with its reverse complement,
+    from reverse_start on, `size` of each. Backwards the forward rows are extended as in a search; on the other strand the rows of
+    the letters whose complement comes before this one's, and of patterns at a text's beginning, come first. Forwards the strands
+    change places and the letter is its complement. Letters that don't stand there give no row.
+    """
+    a, b = ("reverse_start", "forward_start") if ahead else ("forward_start", "reverse_start")
+    own = intervals.select("forward_start", "reverse_start", "size").distinct()
+    flip = dict(zip("ACGNT", "TGCNA"))
+    points = own.select(F.explode(F.array(a, F.col(a) + F.col("size"))).alias("_p")).distinct()
+    ranks = symbol_ranks(points, "_p", runs)
+    low = ranks.select(F.col("_p").alias(a), *(F.col(f"rank_{c}").alias(f"_l{c}") for c in "ACGNT"))
+    high = ranks.select(F.col("_p").alias("_e"), *(F.col(f"rank_{c}").alias(f"_h{c}") for c in "ACGNT"))
+    met = own.withColumn("_e", F.col(a) + F.col("size")).join(low, a).join(high, "_e")
+    n = {c: F.col(f"_h{c}") - F.col(f"_l{c}") for c in "ACGNT"}
+    begun = F.col("size") - sum(n.values())  # end-markers before the pattern
+    each = [F.struct(F.lit(flip[c] if ahead else c).alias("ch"), F.lit(c).alias("_c"), F.col(f"_l{c}").alias("_lo"), n[c].alias("new_size"), (F.col(b) + begun + sum((n[d] for d in "ACGNT" if flip[d] < flip[c]), F.lit(0))).alias("_other")) for c in "ACGNT"]
+    c_before = symbol_table(runs, "ch", "length").select(F.col("ch").alias("_c"), "c_before")
+    out = met.select("forward_start", "reverse_start", "size", F.explode(F.array(*each)).alias("_s")).select("forward_start", "reverse_start", "size", "_s.*").filter("new_size > 0").join(F.broadcast(c_before), "_c")  # a row for each letter
+    start, other = F.col("c_before") + F.col("_lo"), F.col("_other")
+    return out.select("forward_start", "reverse_start", "size", "ch", (other if ahead else start).alias("new_forward"), (start if ahead else other).alias("new_reverse"), "new_size")
 
 
 def bi_intervals(occurrences_: DataFrame, back: DataFrame, sa: DataFrame) -> DataFrame:
@@ -225,9 +254,12 @@ def run_samples(runs: DataFrame, sa: DataFrame) -> DataFrame:
     return ends.join(head, "bwt_start").join(tail, "_last").drop("_last")
 
 
-def next_text_position(sa: DataFrame) -> DataFrame:
-    """(bwt_pos, seq_id, seq_off, next_seq, next_off): the text position of the row behind each row."""
-    return with_neighbour(sa, [], "bwt_pos", {"next_seq": "seq_id", "next_off": "seq_off"}, bucket_width(sa, "bwt_pos"), ahead=True)
+def next_text_position(sa: DataFrame, n: int = 1) -> DataFrame:
+    """(bwt_pos, seq_id, seq_off, next_seq, next_off): the text position n rows behind each row; null behind the last one."""
+    if n == 1:
+        return with_neighbour(sa.select("bwt_pos", "seq_id", "seq_off"), [], "bwt_pos", {"next_seq": "seq_id", "next_off": "seq_off"}, bucket_width(sa, "bwt_pos"), ahead=True)
+    behind = sa.select((F.col("bwt_pos") - n).alias("bwt_pos"), F.col("seq_id").alias("next_seq"), F.col("seq_off").alias("next_off"))
+    return sa.select("bwt_pos", "seq_id", "seq_off").join(behind, "bwt_pos", "left")
 
 
 def occurrences(patterns: DataFrame, texts: DataFrame, k: int) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.dna import format_number, kmer_key, kmer_text, pack_sa, reverse_complement, unpack_sa
 from weftline.operators import graph, mems, tags, text
-from weftline.operators.ordered import with_interval, with_sum_before, bucket_width
-from weftline.shared import settled
+from weftline.operators.ordered import bucket_width, with_interval, with_sum_before
+from weftline.shared import fresh_path, settled, shared_dir, still_there
+from weftline.sources import lines
 from weftline.sources.tables import table
 
 K, MIN_LEN, NODE = 31, 31, 32
@@ -22,15 +23,21 @@ def read_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reads").filter("read_id IS NOT NULL AND seq <> ''").select("read_id", F.upper("seq").alias("seq")).distinct()
 
 
+#: Indexes that this process has written, by session, folder and the state of the sequences' files.
+_INDEXES: dict[tuple, dict[str, DataFrame]] = {}
+
+
 class Index:
-    """The index of the sequences and of the graph cut from them, each part written once."""
+    """The index of the sequences and of the graph cut from them. Each part is written once and read again by later queries, as long as the sequences' files stay as they are."""
 
     def __init__(self, spark: SparkSession, d: str):
         self.texts = texts(spark, d)
-        self._known: dict[str, DataFrame] = {}
+        files = table(spark, d, "sequences").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+        self._known = _INDEXES.setdefault((spark.sparkContext.applicationId, id(spark), shared_dir(spark), d, *state), {})
 
     def _once(self, name: str, make) -> DataFrame:
-        if name not in self._known:
+        if name not in self._known or not still_there(self._known[name]):
             self._known[name] = settled(make(), name)
         return self._known[name]
 
@@ -40,7 +47,7 @@ class Index:
 
     @property
     def bwt(self) -> DataFrame:
-        return self._once("bwt", lambda: text.bwt(self.sa, self.texts))
+        return self.sa.select("bwt_pos", "seq_id", "seq_off", "ch")
 
     @property
     def runs(self) -> DataFrame:
@@ -48,22 +55,15 @@ class Index:
 
     @property
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        if "steps" not in self._known:
-            nodes, steps = graph.chop(self.texts, NODE)
-            return self._once("nodes", lambda: nodes), self._once("steps", lambda: steps)
-        return self._known["nodes"], self._known["steps"]
+        return self._once("nodes", lambda: graph.chop(self.texts, NODE)[0]), self._once("steps", lambda: graph.chop(self.texts, NODE)[1])
 
     @property
     def positions(self) -> DataFrame:
         return self._once("positions", lambda: graph.path_positions(self.graph[1], self.graph[0]))
 
-    @property
-    def letters(self) -> DataFrame:
-        return graph.letter_positions(self.positions)
-
     @property
     def tags(self) -> DataFrame:
-        return self._once("tags", lambda: tags.tag_array(self.sa, self.letters))
+        return self._once("tags", lambda: tags.tag_array(self.sa, self.positions))
 
     @property
     def tag_runs(self) -> DataFrame:
@@ -71,7 +71,11 @@ class Index:
 
 
 def read_lines(spark, d):
-    return read_texts(spark, d)
+    """The reads' texts, written as a file of lines for each batch in order of text and read back, numbered over all files."""
+    path = fresh_path(spark, "lines")
+    rows = read_texts(spark, d).select("seq").distinct()
+    rows.repartitionByRange("seq").sortWithinPartitions("seq").write.text(path)
+    return lines.read_lines(spark, path, 1)
 
 
 def kmer_windows(spark, d):
@@ -118,7 +122,7 @@ def packed_positions(spark, d):
 
 
 def suffix_array(spark, d):
-    return Index(spark, d).sa
+    return Index(spark, d).sa.drop("ch")
 
 
 def document_array(spark, d):
@@ -199,6 +203,52 @@ def query_reads(spark, d):
     return rows.join(counts, ["range_start", "range_end"]).select("read_id", "read_length", F.col("range_start").alias("bwt_start"), F.col("range_end").alias("bwt_end"), "n_runs")
 
 
+def _patterns(spark, d) -> DataFrame:
+    """Parts of 40 letters of the sequences, where rows of kmers stand in them."""
+    starts = table(spark, d, "kmers").filter("is_reverse = 0").select("seq_id", "kmer_offset").distinct()
+    cut = starts.join(texts(spark, d).select("seq_id", text.as_bytes(F.col("seq")).alias("_b")), "seq_id").filter(F.col("kmer_offset") + 40 <= F.length("_b"))
+    return cut.select(F.substring("_b", F.col("kmer_offset") + 1, F.lit(40)).cast("string").alias("pattern")).distinct()
+
+
+def locate_patterns(spark, d):
+    """Where parts of the sequences stand in them: the occurrences of each pattern."""
+    return text.occurrences(_patterns(spark, d), texts(spark, d), MIN_LEN)
+
+
+def count_patterns(spark, d):
+    """Rows of the index that begin with each pattern, and the tag runs in them."""
+    ix = Index(spark, d)
+    rows = locate_patterns(spark, d).join(ix.sa, ["seq_id", "seq_off"]).groupBy("pattern").agg(F.min("bwt_pos").alias("range_start"), F.max("bwt_pos").alias("range_end"), F.count(F.lit(1)).alias("n"))
+    counts = tags.query_distinct(rows, ix.tag_runs).select("range_start", "range_end", "n_runs")
+    return rows.join(counts, ["range_start", "range_end"]).select("pattern", F.col("range_start").alias("bwt_start"), F.col("range_end").alias("bwt_end"), "n", "n_runs")
+
+
+def bi_extended(spark, d):
+    """Bi-intervals of two-letter words in the index of both strands, with each letter put before and behind them."""
+    one = texts(spark, d)
+    both = one.select((2 * F.col("seq_id")).alias("seq_id"), "seq").unionByName(one.select((2 * F.col("seq_id") + 1).alias("seq_id"), reverse_complement(F.col("seq")).alias("seq")))
+    sa = settled(text.suffix_array(both), "both_strands")
+    runs = settled(text.bwt_runs(sa), "both_runs")
+    table_ = text.symbol_table(runs, "ch", "length").filter(F.col("ch") != text.MARK).select("ch", "freq", "c_before")
+    flip = table_.select(F.translate("ch", "ACGT", "TGCA").alias("ch"), F.col("c_before").alias("reverse_start"))
+    ones = settled(table_.join(flip, "ch").select(F.col("c_before").alias("forward_start"), "reverse_start", F.col("freq").alias("size")), "words")
+    two = settled(text.bi_extend(ones, runs).select(F.col("new_forward").alias("forward_start"), F.col("new_reverse").alias("reverse_start"), F.col("new_size").alias("size")), "words")
+    back, ahead = (text.bi_extend(two, runs, side).withColumn("side", F.lit(name)) for side, name in ((False, "before"), (True, "behind")))
+    return back.unionByName(ahead)
+
+
+def ranks_at(spark, d):
+    """How often each letter occurs before the rows that matches of mems begin at."""
+    ix = Index(spark, d)
+    n = ix.texts.agg(F.coalesce(F.sum(F.length("seq") + 1), F.lit(0))).first()[0]
+    return text.symbol_ranks(_points(spark, d).filter(F.col("pos") < n), "pos", ix.runs)
+
+
+def next_position_far(spark, d):
+    """The text position seven rows behind each row."""
+    return text.next_text_position(Index(spark, d).sa, 7).select("bwt_pos", "next_seq", "next_off")
+
+
 def graph_nodes(spark, d):
     return graph.chop(texts(spark, d), NODE)[0]
 
@@ -240,29 +290,44 @@ def component_hits(spark, d):
 
 
 def _placed_kmers(ix: Index) -> DataFrame:
-    # A window's position is that of its first letter: found by its step, not by a row for each letter.
-    w = text.windows(ix.texts, "seq_id", "seq", K).withColumn("step", F.expr(f"cast(kmer_offset div {NODE} as bigint)"))
-    return w.join(ix.graph[1], ["seq_id", "step"]).select("seq_id", "kmer", "node_id", "is_reverse", (F.col("kmer_offset") % NODE).cast("int").alias("node_offset"))
+    # A window's position is that of its first letter: found by its step, not by a row for each letter. K-mers go by their 8-byte keys.
+    w = text.windows(ix.texts, "seq_id", "seq", K).select("seq_id", "kmer_offset", kmer_key(F.col("kmer")).alias("key"), F.expr(f"cast(kmer_offset div {NODE} as bigint)").alias("step"))
+    return w.join(ix.graph[1], ["seq_id", "step"]).select("seq_id", "kmer_offset", "key", "node_id", "is_reverse", (F.col("kmer_offset") % NODE).cast("int").alias("node_offset"))
 
 
 def _unique(placed: DataFrame) -> DataFrame:
-    spots = placed.groupBy("kmer", *tags.POSITION).agg(F.count(F.lit(1)).alias("n"))
-    return spots.groupBy("kmer").agg(F.count(F.lit(1)).alias("_p"), *(F.min(c).alias(c) for c in tags.POSITION), F.sum("n").alias("n")).filter("_p = 1").drop("_p")
+    # The least and the greatest position of a k-mer are the same where it has one.
+    at = F.struct(*tags.POSITION)
+    out = placed.groupBy("key").agg(F.min(at).alias("_a"), F.max(at).alias("_z"), F.count(F.lit(1)).alias("n")).filter("_a = _z")
+    return out.select("key", "_a.*", "n")
+
+
+def _with_letters(unique: DataFrame) -> DataFrame:
+    return unique.select(kmer_text(F.col("key"), K).alias("kmer"), *tags.POSITION)
 
 
 def unique_kmers(spark, d):
     """K-mers of the paths that have one graph position."""
-    return _unique(_placed_kmers(Index(spark, d))).drop("n")
+    return _with_letters(_unique(_placed_kmers(Index(spark, d))))
+
+
+def kmer_intervals(spark, d):
+    """Rows of the index that begin with a k-mer of one graph position: the first one, their number, and the position."""
+    ix = Index(spark, d)
+    placed = _placed_kmers(ix)
+    own = placed.join(_unique(placed).select("key"), "key", "left_semi").withColumn("seq_off", F.col("kmer_offset").cast("bigint"))
+    rows = own.join(ix.sa, ["seq_id", "seq_off"]).groupBy("key", *tags.POSITION).agg(F.min("bwt_pos").alias("bwt_start"), F.count(F.lit(1)).alias("length"))
+    return rows.select(kmer_text(F.col("key"), K).alias("kmer"), "bwt_start", "length", *tags.POSITION)
 
 
 def unique_kmers_both(spark, d):
     """K-mers of either strand that have one graph position; on the reverse strand that of the window's last letter, turned round."""
     ix = Index(spark, d)
     w = text.windows(ix.texts, "seq_id", "seq", K).withColumn("last", F.col("kmer_offset") + K - 1)
-    back = w.select("seq_id", F.expr(f"cast(last div {NODE} as bigint)").alias("step"), "last", reverse_complement(F.col("kmer")).alias("kmer"))
+    back = w.select("seq_id", F.expr(f"cast(last div {NODE} as bigint)").alias("step"), "last", kmer_key(reverse_complement(F.col("kmer"))).alias("key"))
     back = back.join(ix.positions.select("seq_id", "step", "node_id", "is_reverse", "node_length"), ["seq_id", "step"])
-    back = back.select("seq_id", "kmer", "node_id", (1 - F.col("is_reverse")).alias("is_reverse"), (F.col("node_length") - 1 - F.col("last") % NODE).cast("int").alias("node_offset"))
-    return _unique(_placed_kmers(ix).unionByName(back)).drop("n")
+    back = back.select("key", "node_id", (1 - F.col("is_reverse")).alias("is_reverse"), (F.col("node_length") - 1 - F.col("last") % NODE).cast("int").alias("node_offset"))
+    return _with_letters(_unique(_placed_kmers(ix).drop("seq_id", "kmer_offset").unionByName(back)))
 
 
 def kmer_coverage(spark, d):
@@ -278,14 +343,27 @@ def tag_runs_built(spark, d):
 
 
 def tag_merge(spark, d):
-    """The tag array taken apart by component and put together again, as runs."""
+    """The tag arrays of the components, each built from its own sequences alone, put together in the order of the whole, as runs."""
     ix = Index(spark, d)
     nodes, steps = ix.graph
     comp = settled(graph.path_components(steps, graph.components(nodes, graph.step_edges(steps))), "comp")
-    parts = settled(tags.split_by_component(ix.tags, ix.sa, comp), "parts")
+    own = ix.texts.join(comp, "seq_id", "left").withColumn("comp_id", F.coalesce("comp_id", -1 - F.col("seq_id")))
+    alone = text.suffix_array(own, "comp_id").withColumnRenamed("bwt_pos", "row_no")
+    parts = settled(tags.tag_array(alone, ix.positions), "parts")
     return tags.tag_runs(tags.merge_components(parts, ix.sa, comp))
 
 
+def tag_inserts(spark, d):
+    """Runs of the later batches of tag_runs, put into the gaps that those of the earlier ones leave: accepted and rejected ones of each file."""
+    rows = table(spark, d, "tag_runs").filter("file_id IS NOT NULL AND start_position IS NOT NULL").select("file_id", "start_position", F.coalesce("graph_position", F.lit(0)).cast("bigint").alias("graph_position"), "batch_no")
+    sized = tag_lengths(spark, d).select("file_id", "start_position", "length")
+    rows = rows.join(sized, ["file_id", "start_position"])
+    late = F.coalesce(F.col("batch_no") % 2 == 1, F.lit(False))
+    old = rows.filter(~late).select("file_id", "start_position", "length").distinct()
+    got = tags.insert_runs(old, rows.filter(late))
+    return got.groupBy("file_id").agg(F.count(F.when(F.col("accepted"), 1)).alias("n_accepted"), F.count(F.when(~F.col("accepted"), 1)).alias("n_rejected"), F.coalesce(F.sum(F.when(F.col("accepted"), F.col("length"))), F.lit(0)).alias("n_rows"))
+
+
 def tag_lengths(spark, d):
     return tags.read_runs(table(spark, d, "tag_runs"))
 
@@ -353,7 +431,7 @@ def mems_twice(spark, d):
 
 
 def _places(ix: Index, spark, d) -> DataFrame:
-    return settled(mems.find_mems(read_texts(spark, d), ix.texts, MIN_LEN, 1)[1], "places")
+    return mems.find_mems(read_texts(spark, d), ix.texts, MIN_LEN, 1)[1]
 
 
 def mem_ranges(spark, d):
@@ -365,12 +443,12 @@ def mem_ranges(spark, d):
 
 def hits_by_position(spark, d):
     ix = Index(spark, d)
-    return mems.hits(_places(ix, spark, d), ix.sa, ix.letters, "position")
+    return mems.hits(_places(ix, spark, d), ix.sa, ix.positions, "position")
 
 
 def hits_by_sequence(spark, d):
     ix = Index(spark, d)
-    return mems.hits(_places(ix, spark, d), ix.sa, ix.letters, "sequence")
+    return mems.hits(_places(ix, spark, d), ix.sa, ix.positions, "sequence")
 
 
 def longest_run_hits(spark, d):
@@ -411,6 +489,39 @@ def mem_summary(spark, d):
     )
 
 
+def mem_run_stats(spark, d):
+    """For each row range of mems: tag runs in it, distinct positions, positions met again, nodes, and rows that have a position."""
+    met = tags.query_runs(_ranges(spark, d), _layout(spark, d))
+    out = met.groupBy("range_start", "range_end").agg(F.count(F.lit(1)).alias("n_runs"), F.count_distinct(*tags.POSITION).alias("n_positions"), F.count_distinct("node_id").alias("n_nodes"), F.sum("overlap").alias("n_rows"))
+    return out.withColumn("n_skipped", F.col("n_runs") - F.col("n_positions"))
+
+
+def mem_run_summary(spark, d):
+    """Over mems without replays that have a range: matches, and per match rows, tag runs, rows a run and distinct positions."""
+    m = table(spark, d, "mems").filter("bwt_start IS NOT NULL AND mem_size > 0").select("read_id", "mem_start", "mem_end", F.col("bwt_start").alias("range_start"), "mem_size").distinct()
+    m = m.withColumn("range_end", F.col("range_start") + F.col("mem_size") - 1)
+    met = m.join(tag_query_distinct(spark, d), ["range_start", "range_end"])
+    return met.agg(F.count(F.lit(1)).alias("n_mems"), F.avg("mem_size").alias("avg_size"), F.avg("n_runs").alias("avg_runs"), F.avg(F.try_divide("mem_size", "n_runs")).alias("avg_rows_a_run"), F.avg("n_positions").alias("avg_entries"))
+
+
+def hit_duplicates(spark, d):
+    """For each match of hits: rows, rows that repeat another one, positions met again, and sequences a position at most."""
+    spot = table(spark, d, "hits").filter("node_id IS NOT NULL AND node_offset IS NOT NULL AND is_reverse IS NOT NULL").groupBy("read_id", "mem_start", "mem_length", "seq_id", *tags.POSITION).agg(F.count(F.lit(1)).alias("n"))
+    each = spot.groupBy("read_id", "mem_start", "mem_length", *tags.POSITION).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_seq"))
+    return each.groupBy("read_id", "mem_start", "mem_length").agg(F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_rows") - F.col("n_seq")).alias("n_repeated"), F.sum(F.col("n_seq") - 1).alias("n_skipped"), F.max("n_seq").alias("most_sequences"))
+
+
+def index_sizes(spark, d):
+    """Bytes and bits a row of each table of the index, as it is stored."""
+    ix = Index(spark, d)
+    out = None
+    for name, df in (("bwt_runs", ix.runs), ("tag_runs", ix.tag_runs), ("suffix_array", ix.sa)):
+        files = df.groupBy("_metadata.file_path").agg(F.max("_metadata.file_size").alias("b"), F.count(F.lit(1)).alias("n"))
+        one = files.agg(F.lit(name).alias("table_name"), F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("bits_a_row", F.try_divide(8 * F.col("n_bytes"), F.col("n_rows")))
+
+
 def number_labels(spark, d):
     return _points(spark, d).select("pos", format_number(F.col("pos")).alias("label"))
 
@@ -426,7 +537,7 @@ def index_stats(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        read_lines, kmer_windows, strand_kmers, kmer_letters, kmer_check, reverse_complements, symbol_counts, text_stats, packed_positions,
+        read_lines, kmer_windows, kmer_intervals, locate_patterns, count_patterns, bi_extended, ranks_at, next_position_far, tag_inserts, mem_run_stats, mem_run_summary, hit_duplicates, index_sizes, strand_kmers, kmer_letters, kmer_check, reverse_complements, symbol_counts, text_stats, packed_positions,
         suffix_array, document_array, bwt_letters, bwt_runs, rank_blocks, lf_mapping, run_samples, next_position, end_rows, rank_at, extended_ranges, first_symbol_at, suffix_matches, locate_reads, query_reads,
         graph_nodes, path_steps, step_edges, path_positions, graph_counts, path_names, path_components, component_hits, file_components, unique_kmers, unique_kmers_both, kmer_coverage,
         tag_runs_built, tag_merge, tag_lengths, tag_coalesced, tag_coverage, tag_layout, tag_encoded, tag_decoded, tag_query_runs, tag_query_distinct, tag_at, runs_per_file,
@@ -471,6 +582,15 @@ _PT = "pt AS (SELECT DISTINCT bwt_start AS pos FROM mems WHERE bwt_start IS NOT
 _OV = """ov AS (SELECT range_start, range_end, node_id, is_reverse, node_offset, least(range_end, bwt_start + length - 1) - greatest(range_start, bwt_start) + 1 AS n
         FROM rg JOIN y ON bwt_start <= range_end AND range_start < bwt_start + length)"""
 _OCC = "oc AS (SELECT read_id, seq_id, w.kmer_offset AS seq_off, length(r.seq) AS n, r.seq AS pattern FROM r JOIN w ON w.kmer = substring(r.seq, 1, 31) JOIN t USING (seq_id) WHERE substring(t.seq, w.kmer_offset + 1, length(r.seq)) = r.seq)"
+_RK = """rr AS MATERIALIZED (SELECT bwt_start, c, ch = c AS own, coalesce(sum(CASE WHEN ch = c THEN length ELSE 0 END) OVER (PARTITION BY c ORDER BY bwt_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k0 FROM runs, (SELECT unnest(['A', 'C', 'G', 'N', 'T']) AS c)),
+    rp AS (SELECT p, c, p - 1 AS row_ FROM ({points}) AS x(p), (SELECT unnest(['A', 'C', 'G', 'N', 'T']) AS c)),
+    rk AS MATERIALIZED (SELECT p, rp.c, coalesce(k0 + CASE WHEN own THEN p - bwt_start ELSE 0 END, 0) AS k FROM rp ASOF LEFT JOIN rr ON rr.c = rp.c AND rp.row_ >= rr.bwt_start),
+    cb AS (SELECT ch AS c, coalesce(sum(count(*)) OVER (ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sa GROUP BY ch)"""
+_PAT = """pa AS (SELECT DISTINCT substring(seq, kmer_offset + 1, 40) AS pattern FROM kmers JOIN t USING (seq_id) WHERE is_reverse = 0 AND kmer_offset + 40 <= length(seq)),
+    po AS MATERIALIZED (SELECT pattern, w.seq_id, w.kmer_offset AS seq_off FROM pa JOIN w ON w.kmer = substring(pattern, 1, 31) JOIN t USING (seq_id) WHERE substring(t.seq, w.kmer_offset + 1, 40) = pattern)"""
+_CC = """v AS (SELECT node_id AS n FROM nodes WHERE node_id IS NOT NULL UNION SELECT from_id FROM edges WHERE from_id IS NOT NULL UNION SELECT to_id FROM edges WHERE to_id IS NOT NULL),
+    lk AS (SELECT from_id AS a, to_id AS b FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL UNION SELECT to_id, from_id FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL),
+    cc(n, comp) USING KEY (n) AS (SELECT n, n AS comp FROM v UNION SELECT lk.b, min(cc.comp) FROM cc JOIN lk ON lk.a = cc.n JOIN recurring.cc AS old ON old.n = lk.b WHERE cc.comp < old.comp GROUP BY lk.b)"""
 _U = """pk AS (SELECT w.kmer, st.node_id, st.is_reverse, w.kmer_offset % 32 AS node_offset FROM w JOIN st ON st.seq_id = w.seq_id AND st.step = w.kmer_offset // 32 WHERE NOT regexp_matches(w.kmer, '[^ACGT]')),
     u AS (SELECT kmer, min(node_id) AS node_id, min(is_reverse) AS is_reverse, CAST(min(node_offset) AS INTEGER) AS node_offset, count(*) AS n FROM pk GROUP BY kmer HAVING count(DISTINCT (node_id, is_reverse, node_offset)) = 1)"""
 
@@ -481,7 +601,7 @@ def _sql(*parts: str, then: str) -> str:
 
 _M1, _M2 = _M.replace("{need}", "1"), _M.replace("{need}", "2")
 SQL = {
-    "read_lines": _sql(_R, then="SELECT * FROM r"),
+    "read_lines": _sql(_R, then="SELECT row_number() OVER (ORDER BY seq) AS read_id, seq FROM (SELECT DISTINCT seq FROM r)"),
     "kmer_windows": _sql(_T, _W, then="SELECT * FROM w WHERE NOT regexp_matches(kmer, '[^ACGT]')"),
     "strand_kmers": _sql(_T, _W, then=f"SELECT kmer, sum(f) AS n_forward, sum(1 - f) AS n_reverse FROM (SELECT kmer, 1 AS f FROM w UNION ALL SELECT {_RC.format('kmer')}, 0 FROM w) WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY kmer"),
     "kmer_letters": "SELECT row_id, array_to_string(list_transform(range(31), lambda j: substring('ACGT', CAST((kmer_key >> (60 - 2 * j)) & 3 AS BIGINT) + 1, 1)), '') AS kmer FROM kmers WHERE kmer_key IS NOT NULL",
@@ -501,9 +621,30 @@ SQL = {
     "next_position": _sql(_T, _SA, then="SELECT bwt_pos, lead(seq_id) OVER w AS next_seq, lead(seq_off) OVER w AS next_off FROM sa WINDOW w AS (ORDER BY bwt_pos)"),
     "end_rows": _sql(_T, then="SELECT row_number() OVER (ORDER BY seq_id) - 1 AS bwt_pos, seq_id, length(seq) AS seq_off FROM t"),
     "rank_at": _sql(_T, _SA, _RUN, _PT, then="""SELECT pos, g.ch, (SELECT bwt_start FROM runs WHERE runs.run_no = g.run) AS run_start, rk AS ch_rank FROM pt JOIN (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY bwt_pos) - 1 AS rk FROM g) g ON g.bwt_pos = pos""").replace("(SELECT bwt_start FROM runs WHERE runs.run_no = g.run)", "s.bwt_start").replace("ON g.bwt_pos = pos", "ON g.bwt_pos = pos JOIN (SELECT run, min(bwt_pos) AS bwt_start FROM g GROUP BY run) s USING (run)"),
-    "extended_ranges": _sql(_T, _SA, _RG, then="""rk AS (SELECT bwt_pos AS p, c, sum(CASE WHEN ch = c THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY bwt_pos) AS k FROM sa, (SELECT unnest(['A', 'C', 'G', 'N', 'T']) AS c)),
-    cb AS (SELECT ch AS c, coalesce(sum(count(*)) OVER (ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sa GROUP BY ch)
-    SELECT range_start, range_end, hi.c AS ch, CAST(b + coalesce(lo.k, 0) AS BIGINT) AS new_start, CAST(b + hi.k - 1 AS BIGINT) AS new_end FROM rg JOIN rk hi ON hi.p = range_end LEFT JOIN rk lo ON lo.p = range_start - 1 AND lo.c = hi.c JOIN cb ON cb.c = hi.c WHERE hi.k > coalesce(lo.k, 0)""").replace(")\n    rk AS", "),\n    rk AS", 1),
+    "extended_ranges": _sql(_T, _SA, _RUN, _RG, _RK.replace("{points}", "SELECT range_start FROM rg UNION SELECT range_end + 1 FROM rg"), then="""SELECT range_start, range_end, hi.c AS ch, CAST(b + lo.k AS BIGINT) AS new_start, CAST(b + hi.k - 1 AS BIGINT) AS new_end FROM rg JOIN rk hi ON hi.p = range_end + 1 JOIN rk lo ON lo.p = range_start AND lo.c = hi.c JOIN cb ON cb.c = hi.c
+    WHERE hi.k > lo.k AND range_end < (SELECT count(*) FROM sa)"""),
+    "ranks_at": _sql(_T, _SA, _RUN, _PT, _RK.replace("{points}", "SELECT pos FROM pt"), then="SELECT p AS pos, " + ", ".join(f"CAST(max(CASE WHEN c = '{c}' THEN k END) AS BIGINT) AS rank_{c}" for c in "ACGNT") + " FROM rk WHERE p < (SELECT count(*) FROM sa) GROUP BY p"),
+    "next_position_far": _sql(_T, _SA, then="SELECT bwt_pos, lead(seq_id, 7) OVER w AS next_seq, lead(seq_off, 7) OVER w AS next_off FROM sa WINDOW w AS (ORDER BY bwt_pos)"),
+    "kmer_intervals": _sql(_T, _W, _G, _U, _SA, then="SELECT u.kmer, min(bwt_pos) AS bwt_start, count(*) AS length, any_value(u.node_id) AS node_id, any_value(u.is_reverse) AS is_reverse, any_value(u.node_offset) AS node_offset FROM u JOIN w USING (kmer) JOIN sa ON sa.seq_id = w.seq_id AND sa.seq_off = w.kmer_offset GROUP BY u.kmer"),
+    "locate_patterns": _sql(_T, _W, _PAT, then="SELECT pattern, seq_id, CAST(seq_off AS BIGINT) AS seq_off FROM po"),
+    "count_patterns": _sql(_T, _W, _PAT, _SA, _G, _TAG, then="""SELECT pattern, min(bwt_pos) AS bwt_start, max(bwt_pos) AS bwt_end, count(*) AS n, count(DISTINCT run) AS n_runs FROM po JOIN sa USING (seq_id, seq_off) JOIN (SELECT bwt_pos, sum(new) OVER (ORDER BY bwt_pos) AS run FROM tf) USING (bwt_pos) GROUP BY pattern"""),
+    "bi_extended": _sql("t AS (SELECT DISTINCT 2 * seq_id AS seq_id, upper(seq) AS seq FROM sequences WHERE seq_id IS NOT NULL AND seq IS NOT NULL UNION SELECT DISTINCT 2 * seq_id + 1, " + _RC.format("upper(seq)") + " FROM sequences WHERE seq_id IS NOT NULL AND seq IS NOT NULL)", _SA, then="""w3 AS (SELECT substring(seq, seq_off + 1, 3) AS w, bwt_pos FROM sa JOIN t USING (seq_id)),
+    i3 AS (SELECT w, min(bwt_pos) AS a, count(*) AS n FROM w3 WHERE length(w) = 3 GROUP BY w), i2 AS (SELECT substring(w, 1, 2) AS w, min(bwt_pos) AS a, count(*) AS n FROM w3 WHERE length(w) >= 2 GROUP BY 1)
+    SELECT o.a AS forward_start, r.a AS reverse_start, o.n AS size, substring(x.w, 1, 1) AS ch, x.a AS new_forward, xr.a AS new_reverse, x.n AS new_size, 'before' AS side FROM i3 x JOIN i2 o ON o.w = substring(x.w, 2, 2) JOIN i2 r ON r.w = {rc_o} JOIN i3 xr ON xr.w = {rc_x}
+    UNION ALL SELECT o.a, r.a, o.n, substring(x.w, 3, 1), x.a, xr.a, x.n, 'behind' FROM i3 x JOIN i2 o ON o.w = substring(x.w, 1, 2) JOIN i2 r ON r.w = {rc_o} JOIN i3 xr ON xr.w = {rc_x}""".replace("{rc_o}", _RC.format("o.w")).replace("{rc_x}", _RC.format("x.w"))).replace(")\n    w3 AS", "),\n    w3 AS", 1),
+    "tag_inserts": _sql(_L, then="""b AS (SELECT q.file_id, q.start_position, l.length, batch_no FROM tag_runs q JOIN l USING (file_id, start_position)),
+    o AS (SELECT DISTINCT file_id, start_position FROM b WHERE batch_no IS NULL OR batch_no % 2 <> 1),
+    x AS (SELECT b.*, row_number() OVER (PARTITION BY file_id, start_position) = 1 AND (file_id, start_position) NOT IN (SELECT (file_id, start_position) FROM o) AS ok FROM b WHERE batch_no % 2 = 1)
+    SELECT file_id, count(CASE WHEN ok THEN 1 END) AS n_accepted, count(CASE WHEN NOT ok THEN 1 END) AS n_rejected, CAST(coalesce(sum(CASE WHEN ok THEN length END), 0) AS BIGINT) AS n_rows FROM x GROUP BY file_id""").replace(")\n    b AS", "),\n    b AS", 1),
+    "mem_run_stats": _sql(_T, _LAY, _RG, _OV, then="SELECT range_start, range_end, count(*) AS n_runs, count(DISTINCT (node_id, is_reverse, node_offset)) AS n_positions, count(DISTINCT node_id) AS n_nodes, CAST(sum(n) AS BIGINT) AS n_rows, count(*) - count(DISTINCT (node_id, is_reverse, node_offset)) AS n_skipped FROM ov GROUP BY ALL"),
+    "mem_run_summary": _sql(_T, _LAY, _RG, _OV, then="""z AS (SELECT range_start, range_end, count(node_id) AS n_runs, count(DISTINCT CASE WHEN node_id IS NOT NULL THEN (node_id, is_reverse, node_offset) END) AS n_positions FROM rg LEFT JOIN ov USING (range_start, range_end) GROUP BY ALL),
+    d AS (SELECT DISTINCT read_id, mem_start, mem_end, bwt_start, mem_size FROM mems WHERE bwt_start IS NOT NULL AND mem_size > 0)
+    SELECT count(*) AS n_mems, avg(mem_size) AS avg_size, avg(n_runs) AS avg_runs, avg(mem_size / nullif(n_runs, 0)) AS avg_rows_a_run, avg(n_positions) AS avg_entries FROM d JOIN z ON range_start = bwt_start AND range_end = bwt_start + mem_size - 1""").replace(")\n    z AS", "),\n    z AS", 1),
+    "hit_duplicates": """WITH s AS (SELECT read_id, mem_start, mem_length, seq_id, node_id, is_reverse, node_offset, count(*) AS n FROM hits WHERE node_id IS NOT NULL AND node_offset IS NOT NULL AND is_reverse IS NOT NULL GROUP BY ALL),
+    e AS (SELECT read_id, mem_start, mem_length, node_id, is_reverse, node_offset, sum(n) AS r, count(*) AS q FROM s GROUP BY ALL)
+    SELECT read_id, mem_start, mem_length, CAST(sum(r) AS BIGINT) AS n_rows, CAST(sum(r - q) AS BIGINT) AS n_repeated, CAST(sum(q - 1) AS BIGINT) AS n_skipped, max(q) AS most_sequences FROM e GROUP BY ALL""",
+    "component_hits": "WITH RECURSIVE " + _CC + """ SELECT comp AS comp_id, count(*) AS n_nodes, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_hits FROM cc LEFT JOIN (SELECT node_id, count(*) AS k FROM hits WHERE node_id IS NOT NULL GROUP BY 1) h ON h.node_id = cc.n GROUP BY comp""",
+    "file_components": "WITH RECURSIVE " + _CC + ",\n    " + _L + " SELECT file_id, comp AS comp_id FROM (SELECT file_id, arg_min(graph_position, start_position) >> 11 AS node_id FROM l WHERE graph_position <> 0 GROUP BY file_id) f JOIN cc ON cc.n = f.node_id",
     "first_symbol_at": _sql(_T, _SA, _PT, then="SELECT pos, CASE WHEN s = '' THEN '$' ELSE substring(s, 1, 1) END AS first_ch FROM pt LEFT JOIN (SELECT bwt_pos, substring(seq, seq_off + 1, 1) AS s FROM sa JOIN t USING (seq_id)) ON bwt_pos = pos"),
     "suffix_matches": _sql(_T, "r AS (SELECT read_id, min(upper(seq)) AS seq FROM reads WHERE read_id IS NOT NULL AND seq <> '' GROUP BY read_id)", _W, _M1, then="SELECT read_id, CAST(max(length(seq) - x) AS INTEGER) AS match_length FROM js JOIN r USING (read_id) WHERE stop = length(seq) GROUP BY read_id"),
     "unique_kmers_both": _sql(_T, _W, _G, then=f"""bk AS (SELECT w.kmer, st.node_id, st.is_reverse, w.kmer_offset % 32 AS o FROM w JOIN st ON st.seq_id = w.seq_id AND st.step = w.kmer_offset // 32 WHERE NOT regexp_matches(w.kmer, '[^ACGT]')

@@ -40,6 +40,12 @@ def forget(*settled_: DataFrame) -> None:
         remove(df.sparkSession, df.settled_at)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether what settled() wrote for df is still in the shared folder."""
+    done = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df.settled_at}/_SUCCESS")
+    return done.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(done)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)

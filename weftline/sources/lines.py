@@ -23,5 +23,5 @@ def read_lines(spark: SparkSession, path: str, first_id: int = 1) -> DataFrame:
     order = parts.select("file", "block", "n", "low", F.row_number().over(Window.orderBy("file", "block")).alias("k"))
     order = with_sum_before(order, [], "k", "n", "base", bucket_width(order, "k"))
     inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    return raw.withColumn("i", inside).join(F.broadcast(order.select("file", "block", "base")), ["file", "block"]).select((F.col("base") + F.col("i") - 1 + first_id).cast("bigint").alias("read_id"), "seq")
+    return raw.withColumn("i", inside).join(order.select("file", "block", "base"), ["file", "block"]).select((F.col("base") + F.col("i") - 1 + first_id).cast("bigint").alias("read_id"), "seq")
 
