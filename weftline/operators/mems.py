@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heappush, heappushpop
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.dna import ALPHABET
@@ -19,24 +20,39 @@ from weftline.shared import settled
 _CELL = 256
 
 
-def _letter_code(c: Column) -> Column:
-    """1 to 5 for letters of the alphabet, else 0."""
-    out = F.lit(0)
-    for k, letter in enumerate(ALPHABET):
-        out = F.when(c == letter, k + 1).otherwise(out)
-    return out
+def _window_keys(k: int, chunk: int):
+    code = np.zeros(256, np.int64)
+    code[np.frombuffer(ALPHABET.encode(), np.uint8)] = range(1, 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text_id, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
+                whole = code[np.frombuffer(seq.as_buffer(), np.uint8)]
+                for begin in range(0, len(whole) - k + 1, chunk):
+                    part = whole[begin : begin + chunk + k - 1]
+                    n = len(part) - k + 1
+                    bad = np.r_[0, np.cumsum(part == 0)]
+                    at = np.flatnonzero(bad[k:] == bad[:-k])
+                    keys = []
+                    for first in range(0, k, 27):
+                        key = np.zeros(n, np.int64)
+                        for j in range(first, min(k, first + 27)):
+                            key = key * 5 + np.maximum(part[j : j + n] - 1, 0)
+                        keys.append(key[at])
+                    before = np.r_[whole[begin - 1] if begin else 0, part[: n - 1]]
+                    behind = np.r_[part[k:], whole[begin + len(part)] if begin + len(part) < len(whole) else 0]
+                    cols = [np.full(len(at), text_id, np.int64), (at + begin).astype(np.int32), *keys, before[at].astype(np.int32), behind[at].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "at", *(f"k{j}" for j in range(len(keys))), "before", "behind"])
+
+    return run
 
 
-def keyed_windows(texts: DataFrame, text_id: str, at: str, k: int) -> DataFrame:
+def keyed_windows(texts: DataFrame, text_id: str, at: str, k: int, chunk: int = 1 << 20) -> DataFrame:
     """(text_id, at, k0, k1, .., before, behind): windows of k letters of ACGNT as numbers of base 5, 27 letters each, and the codes of the letters around them, 0 for none."""
-    w = texts.filter(F.length("seq") >= k).select(text_id, as_bytes(F.col("seq")).alias("_b")).select(text_id, "_b", F.explode(F.expr(f"sequence(0, length(_b) - {k})")).alias(at))
-    w = w.select(text_id, at, F.substring("_b", F.col(at), F.lit(k + 2)).cast("string").alias("_w"), (F.col(at) > 0).cast("int").alias("_lead"))
-    kmer = F.substring("_w", F.col("_lead") + 1, F.lit(k))
-    w = w.select(text_id, at, "_w", "_lead", kmer.alias("_k")).filter(F.col("_k").rlike(f"^[{ALPHABET}]+$"))
-    digits = F.translate("_k", ALPHABET, "01234")
-    keys = [F.conv(F.substring(digits, 27 * j + 1, 27), 5, 10).cast("bigint").alias(f"k{j}") for j in range(-(-k // 27))]
-    before = F.when(F.col("_lead") == 1, _letter_code(F.substring("_w", 1, 1))).otherwise(0)
-    return w.select(text_id, at, *keys, before.alias("before"), _letter_code(F.substring("_w", F.col("_lead") + k + 1, F.lit(1))).alias("behind"))
+    keys = [f"k{j}" for j in range(-(-k // 27))]
+    schema = ", ".join(["id bigint", "at int", *(f"{c} bigint" for c in keys), "before int", "behind int"])
+    out = texts.filter(F.length("seq") >= k).select(F.col(text_id).cast("bigint"), as_bytes(F.col("seq"))).mapInArrow(_window_keys(k, chunk), schema)
+    return out.withColumnsRenamed({"id": text_id, "at": at})
 
 
 def islands(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFrame:
