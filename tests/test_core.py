@@ -296,6 +296,12 @@ def test_files(spark, tmp_path):
     g = read_gfa(spark, str(tmp_path / "g.gfa"))
     assert rows(g["nodes"]) == [(1, "ACG"), (2, None)] and rows(g["edges"]) == [(1, "+", 2, "-", "0M")]
     assert rows(g["path_steps"]) == [("1#0#x#0", 0, 1, 0), ("1#0#x#0", 1, 2, 1), ("y", 0, 2, 0)]
+    (tmp_path / "w.gfa").write_text("S\tleft\tACG\nS\t7\tG\nS\tright\t*\nL\tleft\t+\t7\t-\t*\nW\tone\t0\tchr1\t5\t9\t>left<7>right\nP\tp\tleft+,right-\t*\n")
+    g2 = read_gfa(spark, str(tmp_path / "w.gfa"))
+    number = {x.name: x.node_id for x in g2["names"].collect()}
+    assert number["7"] == 7 and number["left"] < 0 > number["right"] and len(set(number.values())) == 3
+    assert rows(g2["edges"]) == [(number["left"], "+", 7, "-", None)] and rows(g2["paths"]) == [("one#0#chr1#5",), ("p",)]
+    assert rows(g2["path_steps"]) == sorted([("one#0#chr1#5", 0, number["left"], 0), ("one#0#chr1#5", 1, 7, 1), ("one#0#chr1#5", 2, number["right"], 0), ("p", 0, number["left"], 0), ("p", 1, number["right"], 1)], key=repr)
     save_index(spark, str(tmp_path / "ix"), {"nodes": g["nodes"]}, {"nodes": "node_id"})
     assert rows(open_index(spark, str(tmp_path / "ix"))["nodes"]) == [(1, "ACG"), (2, None)]
     with pytest.raises(ValueError):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.plans import general, sequences
+from weftline.plans import files, general, sequences
 
-QUERIES = {**general.QUERIES, **sequences.QUERIES}
-SQL = {**general.SQL, **sequences.SQL}
+QUERIES = {**general.QUERIES, **sequences.QUERIES, **files.QUERIES}
+SQL = {**general.SQL, **sequences.SQL, **files.SQL}
 FLAGSHIP = sequences.hits_by_position
