@@ -153,7 +153,7 @@ def test_intervals(spark):
     runs = [(i * 10, r.randint(1, 10), i) for i in range(40)]
     ranges = [(a, a + r.randint(0, 90)) for a in r.sample(range(380), 30)] + [(0, 0), (399, 399)]
     run = frame(spark, [(s, n, v, 0, 0) for s, n, v in runs], "bwt_start bigint, length bigint, node_id bigint, is_reverse int, node_offset int")
-    got = {(x.range_start, x.range_end, x.node_id): x.overlap for x in tags.query_runs(frame(spark, ranges, "range_start bigint, range_end bigint"), run, 16).collect()}
+    got = {(x.range_start, x.range_end, x.node_id): x.overlap for x in tags.query_runs(frame(spark, ranges, "range_start bigint, range_end bigint"), run).collect()}
     want = {(a, b, v): min(b, s + n - 1) - max(a, s) + 1 for a, b in ranges for s, n, v in runs if s <= b and a < s + n}
     assert got == want
     pts = frame(spark, [(p,) for p in range(0, 420, 3)], "p bigint")
@@ -280,6 +280,7 @@ def test_key_totals_and_heavy_keys(spark):
     df = frame(spark, data, "v bigint, e bigint").withColumn("field_name", F.lit("clash")).withColumn("n", F.lit(1))
     assert rows(skew.key_totals(df, ["v"], "e")) == [("v", 1, 40, 1), ("v", 2, 2, 1), ("v", 3, 1, 0), ("v", 4, 1, 1)]
     assert rows(skew.heavy_keys(df, ["v"], 0.04)) == [("v", 1, 40, 44), ("v", 2, 2, 44)]
+    assert rows(skew.heavy_keys(df, ["v", "e"], 0.5)) == [("e", 5, 43, 44), ("v", 1, 40, 44)]
     assert skew.heavy_keys(df.limit(0), ["v"], 0.03).count() == 0 and skew.key_totals(df.limit(0), ["v"], "e").count() == 0
     small = frame(spark, [(1, "a"), (2, "b"), (2, "c")], "v bigint, w string")
     assert skew.salted_join(df, small, ["v"]).count() == 44

@@ -55,19 +55,26 @@ def keyed_windows(texts: DataFrame, text_id: str, at: str, k: int, chunk: int =
     return out.withColumnsRenamed({"id": text_id, "at": at})
 
 
-def islands(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFrame:
+def text_windows(texts: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of the texts and, of the distinct ones, which letters stand around them: what islands() needs of texts."""
+    other = keyed_windows(texts, "seq_id", "o", min_len)
+    bit = lambda c: F.expr(f"shiftleft(1, {c})")
+    return other, other.groupBy(*(c for c in other.columns if c[1:].isdigit())).agg(F.bit_or(bit("before")).alias("_tb"), F.bit_or(bit("behind")).alias("_ta"))
+
+
+def islands(reads: DataFrame, texts: DataFrame | tuple[DataFrame, DataFrame], min_len: int) -> DataFrame:
     """(read_id, start, stop, seq_id, diagonal): maximal stretches of a read that stand in a text at start + diagonal.
 
     A stretch begins where a window of min_len letters stands in both and the letters before it differ, and ends where those
     behind one differ. The distinct windows of the texts tell which letters stand around each; only windows of reads that have
     other ones are joined with the texts, by window and letter, so what lies inside a stretch gives no pair, not even in long
     repeats. Beginnings and ends alternate along a diagonal. Reads and texts: (read_id, seq), (seq_id, seq), in capitals, with
-    one row for each id. Letters but ACGNT match nothing.
+    one row for each id. Letters but ACGNT match nothing. Instead of texts, their text_windows may be given.
     """
-    one, other = keyed_windows(reads, "read_id", "i", min_len), keyed_windows(texts, "seq_id", "o", min_len)
+    one = keyed_windows(reads, "read_id", "i", min_len)
+    other, around = texts if isinstance(texts, tuple) else text_windows(texts, min_len)
     keys = [c for c in one.columns if c[1:].isdigit()]
     bit = lambda c: F.expr(f"shiftleft(1, {c})")
-    around = other.groupBy(*keys).agg(F.bit_or(bit("before")).alias("_tb"), F.bit_or(bit("behind")).alias("_ta"))
     others = lambda mask, c: F.when(F.col(c) == 0, F.col(mask)).otherwise(F.col(mask).bitwiseAND(F.bitwise_not(bit(c))))
     edges = one.join(around, keys).select("read_id", "i", *keys, others("_tb", "before").alias("_first"), others("_ta", "behind").alias("_last"))
     edges = settled(edges.filter("_first <> 0 OR _last <> 0"), "edges")
@@ -113,7 +120,7 @@ def _furthest(need: int, min_len: int):
     return run
 
 
-def find_mems(reads: DataFrame, texts: DataFrame, min_len: int, min_occ: int = 1) -> tuple[DataFrame, DataFrame]:
+def find_mems(reads: DataFrame, texts: DataFrame | tuple[DataFrame, DataFrame], min_len: int, min_occ: int = 1) -> tuple[DataFrame, DataFrame]:
     """Maximal exact matches (read_id, mem_start, mem_end, size) and their places (.., seq_id, seq_off).
 
     For each start x let e(x) be the furthest end such that the read's letters [x, e) stand at least min_occ times in the
@@ -135,7 +142,7 @@ def find_mems(reads: DataFrame, texts: DataFrame, min_len: int, min_occ: int = 1
     return sized, places.join(sized, match).select(*match, "size", "seq_id", "seq_off")
 
 
-def suffix_matches(reads: DataFrame, texts: DataFrame, min_len: int) -> DataFrame:
+def suffix_matches(reads: DataFrame, texts: DataFrame | tuple[DataFrame, DataFrame], min_len: int) -> DataFrame:
     """(read_id, match_length): the longest end of each read, of at least min_len letters, that stands in a text; reads without one have no row."""
     ends = islands(reads, texts, min_len).join(reads.select("read_id", F.length("seq").alias("_n")), "read_id").filter("stop = _n")
     return ends.groupBy("read_id").agg(F.max(F.col("_n") - F.col("start")).alias("match_length"))

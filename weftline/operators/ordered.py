@@ -116,6 +116,24 @@ def with_interval(points: DataFrame, point: str, runs: DataFrame, start: str, le
     return met.drop("_cell", "_c2", "_s", "_e", *(f"_by_{b}" for b in by))
 
 
+def with_last(points: DataFrame, point: str, marks: DataFrame, mark: str, cols: list[str]) -> DataFrame:
+    """Add columns of the last mark at or before each point; null where none is. Marks must differ.
+
+    Points, each value once, and marks are put in one order; each bucket of it hands on its last mark. No mark is repeated,
+    however far it reaches.
+    """
+    at = F.struct(F.col(mark).alias("_m"), *cols)
+    every = marks.select(F.col(mark).alias("_p"), F.lit(0).alias("_tag"), at.alias("_v"))
+    every = every.unionByName(points.select(F.col(point).alias("_p")).filter("_p IS NOT NULL").distinct().select("_p", F.lit(1).alias("_tag"), F.lit(None).cast(every.schema["_v"].dataType).alias("_v")))
+    every = every.withColumn("_b", _bucket("_p", bucket_width(every, "_p")))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.last("_v", ignorenulls=True).over(upto(Window.partitionBy("_b").orderBy("_p", "_tag")))
+    tops = every.groupBy("_b").agg(F.max("_v").alias("_top"))  # one row a bucket
+    tops = tops.select("_b", F.last("_top", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    found = every.withColumn("_own", own).filter("_tag = 1").join(tops, "_b").select("_p", F.coalesce("_own", "_before").alias("_v"))
+    return points.join(found, F.col(point) == F.col("_p"), "left").select(*points.columns, *(F.col(f"_v.{c}") for c in cols))
+
+
 def _all_equal(by: list[str]) -> Column:
     on = F.lit(True)
     for b in by:

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _values(df: DataFrame, fields: list[str], *more: Column) -> DataFrame:
+    """(field_name, field_value, ..): a row for each field of each row that has one."""
+    if len(fields) == 1:
+        out = df.select(F.lit(fields[0]).alias("field_name"), F.col(fields[0]).cast("bigint").alias("field_value"), *more)
+    else:
+        each = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("bigint").alias("field_value")) for f in fields))
+        out = df.select(F.inline(each), *more)
+    return out.filter(F.col("field_value").isNotNull())
+
+
 def key_totals(df: DataFrame, fields: Iterable[str], entity: str) -> DataFrame:
     """Rows and distinct entities of every value of several columns.
 
@@ -20,9 +30,7 @@ def key_totals(df: DataFrame, fields: Iterable[str], entity: str) -> DataFrame:
     Null values are no key. Rows with a null entity count as rows, not as an entity. Repeated rows count as they stand.
     An empty table gives no rows. Other columns are ignored.
     """
-    fields = list(fields)
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("bigint").alias("field_value")) for f in fields))).alias("_k"), F.col(entity).alias("_e"))
-    pairs = pairs.select("_k.field_name", "_k.field_value", "_e").filter(F.col("field_value").isNotNull())
+    pairs = _values(df, list(fields), F.col(entity).alias("_e"))
     each = pairs.groupBy("field_name", "field_value", "_e").agg(F.count(F.lit(1)).alias("_n"))
     return each.groupBy("field_name", "field_value").agg(F.sum("_n").alias("n_rows"), F.count("_e").alias("n_entities"))
 
@@ -33,9 +41,7 @@ def heavy_keys(df: DataFrame, fields: Iterable[str], share: float) -> DataFrame:
     Returns (field_name, field_value, n_rows, n_total). Counting is partial in every task; the totals are sums of the
     counts, so the rows are read once. n_total is joined on field_name: one row for each column asked for.
     """
-    fields = list(fields)
-    keys = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("bigint").alias("field_value")) for f in fields))).alias("_k")).select("_k.*")
-    counts = keys.filter(F.col("field_value").isNotNull()).groupBy("field_name", "field_value").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = _values(df, list(fields)).groupBy("field_name", "field_value").agg(F.count(F.lit(1)).alias("n_rows"))
     totals = counts.groupBy("field_name").agg(F.sum("n_rows").alias("n_total"))
     return counts.join(F.broadcast(totals), "field_name").filter(F.col("n_rows") >= F.lit(share) * F.col("n_total"))
 

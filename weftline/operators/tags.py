@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.dna import LONGEST_RUN, decode_run, encode_run, position
-from weftline.operators.ordered import bucket_width, overlaps, run_lengths, split_runs, with_interval, with_neighbour, with_sum_before
+from weftline.operators.ordered import bucket_width, overlaps, run_lengths, split_runs, with_interval, with_last, with_neighbour, with_sum_before
 from weftline.shared import settled
 
 POSITION = ["node_id", "is_reverse", "node_offset"]
@@ -78,11 +78,20 @@ def decode_runs(words: DataFrame) -> DataFrame:
     return words.select("bwt_start", decode_run(F.col("word")).alias("_d")).select("bwt_start", "_d.*")
 
 
-def query_runs(ranges: DataFrame, runs: DataFrame, width: int = 1 << 10) -> DataFrame:
-    """Runs that overlap closed row ranges (range_start, range_end), clipped to them: the ranges' columns, (run_start, position, overlap)."""
-    r = runs.select(F.col("bwt_start").alias("_rs"), (F.col("bwt_start") + F.col("length") - 1).alias("_re"), *POSITION)
-    met = overlaps(ranges, "range_start", "range_end", r, "_rs", "_re", width)
-    return met.withColumn("run_start", F.greatest("_rs", "range_start")).withColumn("overlap", F.least("_re", "range_end") - F.col("run_start") + 1).drop("_rs", "_re")
+def query_runs(ranges: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs that overlap closed row ranges (range_start, range_end), clipped to them: the ranges' columns, (run_start, position, overlap).
+
+    Runs don't overlap each other. They are numbered in order; the numbers at both ends of a range, found by the last run
+    that begins at or before them, say which runs it meets, so no run or range is repeated for what it covers.
+    """
+    r = runs.filter("length > 0").select(F.col("bwt_start").alias("_rs"), (F.col("bwt_start") + F.col("length") - 1).alias("_re"), *POSITION, F.lit(1).alias("_one"))
+    r = settled(with_sum_before(r, [], "_rs", "_one", "_no", bucket_width(r, "_rs")).drop("_one"), "numbered")
+    ends = ranges.select(F.explode(F.array("range_start", "range_end")).alias("_at")).distinct()
+    known = settled(with_last(ends, "_at", r, "_rs", ["_no", "_re"]), "ends")
+    low = known.select(F.col("_at").alias("range_start"), F.when(F.col("_re") >= F.col("_at"), F.col("_no")).otherwise(F.coalesce(F.col("_no") + 1, F.lit(0))).alias("_lo"))
+    high = known.filter("_no IS NOT NULL").select(F.col("_at").alias("range_end"), F.col("_no").alias("_hi"))
+    met = ranges.join(low, "range_start").join(high, "range_end").filter("_lo <= _hi").withColumn("_no", F.explode(F.expr("sequence(_lo, _hi)"))).join(r, "_no")
+    return met.select(*ranges.columns, *POSITION, F.greatest("_rs", "range_start").alias("run_start"), (F.least("_re", "range_end") - F.greatest("_rs", "range_start") + 1).alias("overlap"))
 
 
 def query_distinct(ranges: DataFrame, runs: DataFrame) -> DataFrame:
