@@ -39,14 +39,12 @@ def _machine(tolerance: int, gap: int | None):
 
         for batch in batches:
             e, o, b, v = (np.asarray(batch.column(k).fill_null(_NONE)) for k in range(4))
-            seen = np.asarray(batch.column(2).is_null())
             if not len(e):
                 continue
             # leave out events that repeat the one before them; equal events are neighbours
             p = prev or (e[0], o[0] - 1, b[0], v[0])
             keep = ~((e == np.r_[p[0], e[:-1]]) & (o == np.r_[p[1], o[:-1]]) & (b == np.r_[p[2], b[:-1]]) & (v == np.r_[p[3], v[:-1]]))
             e, o, b, v = e[keep], o[keep], b[keep], v[keep]
-            del seen
             if not len(e):
                 continue
             first = prev is None

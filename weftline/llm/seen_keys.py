@@ -251,9 +251,11 @@ def seen_before(rows: DataFrame, key: str, row_id: str, earlier: DataFrame | Non
     return store.add(rows, key, row_id)
 
 
-def answer_errors(rows: DataFrame, key: str, row_id: str, found: DataFrame, earlier: DataFrame | None = None, earlier_key: str | None = None) -> DataFrame:
+def answer_errors(rows: DataFrame, key: str, row_id: str, found: DataFrame | dict[int, DataFrame], earlier: DataFrame | None = None, earlier_key: str | None = None) -> DataFrame:
     """One row: n_answers, n_wrong, wrong_share of the answers `found`, the ids of the rows called seen (row_id), over all rows.
 
+    Of several answers, by a number, one row each, which begins with that number (bits); the truth is worked out once for all.
+
     The truth is exact: a row is new if its key isn't among the earlier keys and no row with a smaller id has it. An id's wrong
     answers are the difference between its rows called seen and its rows that are; of an id that many rows share, a new row
     called seen and a seen row called new would cancel, but the second never happens. Rows with a null key or id aren't looked
@@ -261,14 +263,19 @@ def answer_errors(rows: DataFrame, key: str, row_id: str, found: DataFrame, earl
 
     Rows meet by (key, id) and by id only; by key alone, one row a task and key is shuffled.
     """
+    answers = found if isinstance(found, dict) else {0: found}
     mine = rows.select(F.col(key).cast("bigint").alias("k"), F.col(row_id).cast("bigint").alias("r")).filter("k IS NOT NULL AND r IS NOT NULL")
     first = mine.groupBy("k", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.min(F.struct("r", "n")).alias("f"))
     if earlier is not None:
         old = earlier.select(F.col(earlier_key or key).cast("bigint").alias("k")).filter("k IS NOT NULL").distinct()
         first = first.join(old, "k", "left_anti")
     # An id's rows called seen, less its rows, and its new rows again: called seen less truly seen.
-    called = found.select(F.col("row_id").cast("bigint").alias("r"), F.lit(1).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("n")).filter("r IS NOT NULL")
-    every = called.unionByName(mine.select("r", F.lit(-1).cast("bigint").alias("d"), F.lit(1).cast("bigint").alias("n"))).unionByName(first.select("f.r", F.col("f.n").alias("d"), F.lit(0).cast("bigint").alias("n")))
-    each = every.groupBy("r").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"), F.coalesce(F.sum(F.abs("d")), F.lit(0)).alias("n_wrong"))
-    return out.withColumn("wrong_share", F.try_divide("n_wrong", "n_answers"))
+    zero = F.lit(0).cast("bigint")
+    every = mine.select("r", F.lit(-1).cast("bigint").alias("d"), F.lit(1).cast("bigint").alias("n"), *(zero.alias(f"c{b}") for b in answers))
+    every = every.unionByName(first.select("f.r", F.col("f.n").alias("d"), zero.alias("n"), *(zero.alias(f"c{b}") for b in answers)))
+    for own, called in answers.items():
+        every = every.unionByName(called.select(F.col("row_id").cast("bigint").alias("r"), zero.alias("d"), zero.alias("n"), *((F.lit(1).cast("bigint") if b == own else zero).alias(f"c{b}") for b in answers)).filter("r IS NOT NULL"))
+    each = every.groupBy("r").agg(F.sum("n").alias("n"), *((F.sum("d") + F.sum(f"c{b}")).alias(f"d{b}") for b in answers))
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"), *(F.coalesce(F.sum(F.abs(f"d{b}")), F.lit(0)).alias(f"w{b}") for b in answers))
+    out = total.select("n_answers", F.inline(F.array(*(F.struct(F.lit(b).alias("bits"), F.col(f"w{b}").alias("n_wrong")) for b in answers))))
+    return out.select(*(["bits"] if isinstance(found, dict) else []), "n_answers", "n_wrong", F.try_divide("n_wrong", "n_answers").alias("wrong_share"))

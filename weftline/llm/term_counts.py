@@ -108,7 +108,7 @@ class TermCounts:
             stale = self._read([r.folder for r in old if r.folder and (most != buckets or r.bucket in set(touched))])
             both = stale.unionByName(new).withColumn("bucket", bucket) if old else new.withColumn("bucket", bucket)
             if old:  # one task a bucket, by its number or its place among the touched ones
-                few = len(touched) <= 1000
+                few = len(touched) <= 64
                 at = F.array_position(F.lit(touched), F.col("bucket")).cast("int") - 1 if few else F.col("bucket")
                 both = both.withColumn("_at", at).repartitionById(len(touched) if few else most, "_at")
                 both = both.groupBy("_at", "bucket", "field_name", "field_value").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records")).drop("_at")
