@@ -2,8 +2,9 @@
 
 Two records share a span of at least `span` letters exactly where they share windows of `span` letters. All windows with
 the same minimizer (their smallest hashed m-mer) go to the same shard, in the longest pieces that hold only such windows;
-a minimizer with more letters than a task indexes at once is cut again by a longer one. Equal pieces are one piece with its
-lowest and highest record, and a minimizer that one record alone holds is dropped. What is left of a shard is indexed in parts of
+a minimizer with more letters than a task indexes at once is cut again by a longer one. A first pass finds the minimizers that two
+records hold; a second one, which knows them by a filter of bounded size, cuts the pieces of these alone. Equal pieces are one
+piece with its lowest and highest record. A shard is indexed in parts of
 bounded size: the Burrows-Wheeler transform of the pieces in a wavelet matrix. Every piece is then streamed backward
 through it, letter by letter, with its matching statistics: the longest match that begins at the letter and stands in two
 records, as an interval and a length. Intervals of at least `span` letters are reported.
@@ -24,6 +25,9 @@ from weftline.shared import partitions_for, settled
 #: Letters by their order; every other letter ends a span.
 LETTERS = b"ACGT"
 PIECE = "route bigint, text bigint, record bigint, start int, n int, letters binary, low bigint, high bigint"
+HELD = "route bigint, low bigint, high bigint, n bigint"
+#: Bits of the filter for minimizers: 16 for each up to this power of two, 16 MB. A fuller one lets more pieces through that the index stage drops.
+SIEVE_POWER = 27
 ANSWER = "route bigint, print bigint, a int, b int"
 _CODE = np.zeros(256, np.uint8)
 for _case in (LETTERS, LETTERS.lower()):
@@ -156,8 +160,35 @@ class SpanIndex:
             yield has
 
 
-def _pieces(span: int, m: int):
-    """Cut (text, record, start, letters) into pieces of windows with one minimizer. Of equal pieces in a batch the first one has their lowest and highest record."""
+def _sieve_places(route: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    x = mix(route.view(np.uint64), 5)
+    mask = np.uint64((1 << power) - 1)
+    return (x & mask).astype(np.int64), ((x >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def _sieve_words(power: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_sieve_places(np.asarray(batch.column(0)), power))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    return run
+
+
+def _sieve(routes: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Two bits for each minimizer, in at most 2^(SIEVE_POWER - 6) words of 64 bits, which are all that comes to the driver."""
+    power = min(SIEVE_POWER, max(16, (16 * n).bit_length()))
+    words = routes.select("route").mapInArrow(_sieve_words(power), "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (power - 6), np.uint64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).view(np.uint64)
+    return power, out
+
+
+def _pieces(span: int, m: int, sieve=None):
+    """Cut (text, record, start, letters) into pieces of windows with one minimizer that is in the sieve. Of equal pieces in a batch the first one has their lowest and highest record.
+
+    Without a sieve: of each minimizer in a batch the lowest and highest record and the letters of its different pieces.
+    """
     w = span - m + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +223,20 @@ def _pieces(span: int, m: int):
             new = np.r_[True, (np.diff(at) != 1) | (route[1:] != route[:-1]) | (owner[at][1:] != owner[at][:-1])]
             s = at[new]
             e = np.r_[at[np.flatnonzero(new)[1:] - 1], at[-1]] + span
-            o = owner[s]
+            o, route = owner[s], route[new].view(np.int64)
+            if sieve is None:
+                by = np.lexsort((mix(v[s], 3) ^ mix(v[e - m], 4) + (e - s).astype(np.uint64), route))
+                piece, key = route[by], (mix(v[s], 3) ^ mix(v[e - m], 4) + (e - s).astype(np.uint64))[by]
+                head = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+                fresh = np.r_[True, (piece[1:] != piece[:-1]) | (key[1:] != key[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(piece[head]), pa.array(np.minimum.reduceat(rec[o][by], head)), pa.array(np.maximum.reduceat(rec[o][by], head)), pa.array(np.add.reduceat((e - s)[by] * fresh, head))], names=["route", "low", "high", "n"])
+                continue
+            power, words = sieve.value
+            one, two = _sieve_places(route, power)
+            keep = np.flatnonzero((words[one >> 6] >> (one & 63).astype(np.uint64)) & (words[two >> 6] >> (two & 63).astype(np.uint64)) & np.uint64(1))
+            if not len(keep):
+                continue
+            s, e, o, route = s[keep], e[keep], o[keep], route[keep]
             data = _CAPITAL[code].tobytes()
             letters = pa.array([data[a:b] for a, b in zip(s.tolist(), e.tolist())], pa.binary())
             known = np.asarray(letters.dictionary_encode().indices)
@@ -203,7 +247,7 @@ def _pieces(span: int, m: int):
             quiet[speaker] = False
             lowest, highest = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
             lowest[speaker], highest[speaker] = np.minimum.reduceat(rec[o][by], head), np.maximum.reduceat(rec[o][by], head)
-            cols = [pa.array(route[new].view(np.int64)), pa.array(text[o]), pa.array(rec[o]), pa.array((first[o] + s - offs[o]).astype(np.int32)), pa.array((e - s).astype(np.int32)), letters, pa.array(lowest, mask=quiet), pa.array(highest, mask=quiet)]
+            cols = [pa.array(route), pa.array(text[o]), pa.array(rec[o]), pa.array((first[o] + s - offs[o]).astype(np.int32)), pa.array((e - s).astype(np.int32)), letters, pa.array(lowest, mask=quiet), pa.array(highest, mask=quiet)]
             yield pa.RecordBatch.from_arrays(cols, names=["route", "text", "record", "start", "n", "letters", "low", "high"])
 
     return run
@@ -295,11 +339,12 @@ def shared_spans(rows: DataFrame, record: str, text: str, span: int = 40, m: int
     cut = cut.filter(F.col("record").isNotNull() & (F.length("letters") >= span))
     spans = []
     for level in (m, (m + span) // 2, span):
-        pieces = settled(cut.mapInArrow(_pieces(span, level), PIECE), "pieces")
-        sizes = settled(pieces.filter("low IS NOT NULL").groupBy("route").agg(F.sum("n").alias("n")), "sizes")
-        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        heavy = settled(sizes.filter(F.col("n") > part).select("route"), "heavy")
-        last = level == span or heavy.isEmpty()
+        held = cut.mapInArrow(_pieces(span, level), HELD).groupBy("route").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        held = settled(held.filter("low <> high").select("route", "n"), "held")
+        count, total, most = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        pieces = settled(cut.mapInArrow(_pieces(span, level, spark.sparkContext.broadcast(_sieve(held, count))), PIECE), "pieces")
+        last = level == span or most <= part
+        heavy = held.filter(F.col("n") > part).select("route")
         own = pieces if last else pieces.join(heavy, "route", "left_anti")
         ask = own.filter("low IS NOT NULL").select("route", F.xxhash64("letters").alias("print"), "letters", "low", "high")
         ask = ask.repartition(partitions_for(spark, total, 4 * part), "route").sortWithinPartitions("route", "print")
