@@ -1,6 +1,6 @@
 """Problem 8: personal information inside free text.
 
-Seeds are known entities: names whose parts are listed, e-mail addresses of persons with a listed family name,
+Seeds are known entities: names whose parts are listed (those whose family name alone is count half), e-mail addresses of persons with a listed family name,
 international phone numbers, numbers behind a word for an identity document, and streets with a word for a street. Every
 occurrence of anything that has an entity's form is a candidate, with its key (what it shares with other candidates: the
 family name, the street, the domain, the form of the number) and its contexts: the text before and behind it and, of a person, the
@@ -181,15 +181,18 @@ def find_personal(documents: DataFrame, name_parts: DataFrame, doc_id: str = "do
     family, given = parts.filter("k = 'family'").select("part"), parts.filter("k = 'given'").select("part")
     double, found = found.filter("kind = 'double'"), found.filter("kind <> 'double'")
     by = found.groupBy("kind", "key", "hint").agg(F.count(F.lit(1)).alias("n"))
-    own = by.filter("kind = 'person'").join(family.withColumnRenamed("part", "key"), "key", "left_semi").join(given.withColumnRenamed("part", "hint"), "hint", "left_semi")
+    listed = by.filter("kind = 'person'").join(family.withColumnRenamed("part", "key"), "key", "left_semi")
+    own = listed.join(given.withColumnRenamed("part", "hint"), "hint", "left_semi")
+    half = listed.filter(F.length("hint") > 1)  # a listed family name behind another word than a listed given name counts half
     mail = by.filter("kind = 'email'").withColumn("word", F.explode(F.split(F.lower("hint"), r"[._-]+"))).join(family.withColumnRenamed("part", "word"), "word", "left_semi")
-    seeds = own.select("kind", "key").unionByName(mail.select("kind", "key")).unionByName(by.filter("hint = '+' AND kind IN ('phone', 'id_number', 'address')").select("kind", "key")).distinct()
+    sure = own.select("kind", "key").unionByName(mail.select("kind", "key")).unionByName(by.filter("hint = '+' AND kind IN ('phone', 'id_number', 'address')").select("kind", "key"))
+    seeds = sure.withColumn("score", F.lit(1.0)).unionByName(half.select("kind", "key", F.lit(0.5).alias("score"))).groupBy("kind", "key").agg(F.max("score").alias("score"))
     # The graph: how many different strings with each key stand in each context. Contexts of an occurrence: a narrow one of both sides, a wide one of the left, a person's given name.
     given_name = F.when((F.col("kind") == "person") & (F.length("hint") > 1), F.concat(F.lit("g"), "hint"))
     contexts = F.array_compact(F.array(F.concat(F.lit("n"), "near"), F.concat(F.lit("w"), "wide"), given_name))
     edges = found.select("kind", "key", "pii_text", F.explode(contexts).alias("context"))
     edges = settled(edges.distinct().groupBy("kind", "key", "context").agg(F.count(F.lit(1)).alias("n")), "edges")
-    known, patterns, state = seeds.withColumn("score", F.lit(1.0)), None, None
+    known, patterns, state = seeds, None, None
     for r in range(rounds):
         at = edges.join(known, ["kind", "key"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         shares = at.groupBy("kind", "context").agg(F.sum("n").alias("keys"), F.sum(F.col("score") * F.col("n")).alias("s")).filter(F.col("s") >= support - 0.5).withColumn("p", F.col("s") / F.col("keys"))
