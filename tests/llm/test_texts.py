@@ -199,8 +199,8 @@ def test_forms_of_personal_information(spark):
     """Forms that none of the seeds has, in the places of known ones."""
     texts, truth = corpus()
     odd = {
-        "person": ["Anna van Torrander", "Noor de la Veldwick", "Kenji Ostdahl Veldwick"], "phone": ["0171/1234567", "0171/7654321"],
-        "id_number": ["X1234567L", "C01234567", "QQ123456C"], "address": ["221B Heron Road", "12345 Heron Road", "ul. Heron Road 10"],
+        "person": ["Anna van Torrander", "Anna\xa0Veldwick", "Noor de la Veldwick", "Kenji Ostdahl Veldwick"], "phone": ["0171/1234567", "0171/7654321", "+44\xa07700\xa0900507", "030\u202f23125\u2011117"],
+        "id_number": ["X1234567L", "C01234567", "QQ123456C"], "address": ["221B Heron Road", "12345 Heron Road", "12\xa0Heron\xa0Road", "ul. Heron Road 10"],
     }
     for kind, line in (("person", "Written by {} for the office.\n"), ("phone", "Call {} if it dies.\n"), ("id_number", "Consent on file: passport no. {}, ok\n"), ("address", "lives at {} and asked\n")):
         for s in odd[kind]:
@@ -208,6 +208,8 @@ def test_forms_of_personal_information(spark):
             truth.add((len(texts) - 1, kind, s))
     texts.append("head\n" + "x" * 240 + "5550100anna.ostdahl@lab.example end, 75001 Paris on 12/10/2020 and 2020/10/2021")
     truth.add((len(texts) - 1, "email", "x" * 240 + "5550100anna.ostdahl@lab.example"))
+    texts.append("# Odd\nAsk them ((415) 555-0188) or (030 23125 118) soon")
+    truth |= {(len(texts) - 1, "phone", s) for s in ("(415) 555-0188", "030 23125 118")}
     parts = spark.createDataFrame([(x, "given") for x in GIVEN[:3]] + [(x.lower(), "family") for x in FAMILY[:4]], "name_part string, kind string")
     got = {(x.doc_id, x.kind, x.pii_text) for x in find_personal(docs(spark, texts), parts).collect()}
     assert got == truth

@@ -28,28 +28,34 @@ ID_WORDS = ("passport", "passport no", "ssn", "national id", "tax id", "identity
 STREET_WORDS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "drive", "blvd", "boulevard", "court", "quay", "way", "rue", "impasse", "chemin", "allée", "place", "quai", "calle", "avenida", "paseo", "plaza", "camino", "straße", "strasse", "allee", "platz")
 STREET_ENDS = ("straße", "strasse", "gasse", "weg", "platz", "allee")
 
+
+def _gaps(pattern: str) -> str:
+    """A pattern in which each space may be a no-break space, too."""
+    return pattern.replace(" ", "[ \\xa0]")
+
+
 _HEAD = r"[^\W\d_a-zß-öø-ÿ]"
 _REST = rf"[\w'’]*(?:-{_HEAD}[\w'’]*)*"
 _CAP = _HEAD + _REST
 #: Words in small letters between a given and a family name.
 _LINK = r"(?:(?:van|von|vom|zu|zur|de|del|della|der|den|di|da|do|dos|das|du|des|la|las|los|le|el|al|bin|ibn|ben|ter|ten|y) ){0,3}"
 # Patterns begin with the letters they may begin with and look back behind them, which lets the search skip all others; what follows is looked at without being taken, as names may overlap.
-_NAME = re.compile(rf"{_HEAD}(?<![\w.@-].)(?:(?=((?:{_REST}|(?<=[A-Z])\.)) (?:[A-Z]\. )?{_LINK}({_CAP})(?![\w@]))|(?=({_REST}), ({_CAP}|[A-Z]\.(?!\w))(?: [A-Z]\.)?(?![\w@])))", re.S)
-_INITIAL = re.compile(r" [A-Z]\.(?![\w@])")
-_SECOND = re.compile(rf" ({_CAP})(?![\w@])")
+_NAME = re.compile(_gaps(rf"{_HEAD}(?<![\w.@-].)(?:(?=((?:{_REST}|(?<=[A-Z])\.)) (?:[A-Z]\. )?{_LINK}({_CAP})(?![\w@]))|(?=({_REST}), ({_CAP}|[A-Z]\.(?!\w))(?: [A-Z]\.)?(?![\w@])))"), re.S)
+_INITIAL = re.compile(_gaps(r" [A-Z]\.(?![\w@])"))
+_SECOND = re.compile(_gaps(rf" ({_CAP})(?![\w@])"))
 _LABEL = re.compile(rf"(?:{'|'.join(ID_WORDS)})(?:nummer|-nr)?[\s:.]*$".replace(" ", r"\s?"))
-_LEADS = re.compile(rf"(?<![\w.@-]){_CAP} (?:[A-Z]\. )?$")
+_LEADS = re.compile(_gaps(rf"(?<![\w.@-]){_CAP} (?:[A-Z]\. )?$"))
 _AT = re.compile(r"@| ?[\[(](?:at|AT|@)[\])] ?| AT | at (?=[\w-]+ (?:dot|DOT) )")
 _DOMAIN = re.compile(r"[\w-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?| dot | DOT )[\w-]+)+")
 _DOT = re.compile(r" ?[\[(](?:dot|DOT)[\])] ?| dot | DOT ")
-_NUMBER = re.compile(r"(?<![\w.+/(@-])(?:[A-Z]{1,2})?\+?\(?\d{1,11}(?:[A-Z](?=\d))?\)?(?:(?: / |/(?=\d{4})|\)? ?\(|[-  .](?=[\d(])|(?<=\))(?=\d)|(?<=[A-Z])(?=\d))\d{1,10}\)?){0,6}(?:-?[A-Z])?(?![\w@]|[-.]\d)")
+_NUMBER = re.compile(r"(?<![\w.+/@-])(?:(?<!\()|(?=\())(?:[A-Z]{1,2})?\+?\(?\d{1,11}(?:[A-Z](?=\d))?\)?(?:(?: / |/(?=\d{4})|\)? ?\(|[- .\xa0  ‑](?=[\d(])|(?<=\))(?=\d)|(?<=[A-Z])(?=\d))\d{1,10}\)?){0,6}(?:-?[A-Z])?(?![\w@]|[-.]\d)")
 _PARTICLE = r"(?:de|del|de la|de las|de los|la|las|los|du|des|le|les|der|den|dem|am|an|auf|zum|zur|von|rue|impasse|avenue|allée|chemin|place|quai|boulevard|cours|passage|calle|plaza)"
 _WORD = r"(?:[dl]['’])?[^\W\d_a-zß-öø-ÿ][\w'’-]*\.?"
-_BY_NUMBER = re.compile(rf"\d(?<![\w.,/-].)(?=\d{{0,4}}(?: ?[a-h](?![\w.])|[A-H](?!\w))?(?: bis| ter)?,? ((?:(?:{_WORD}|{_PARTICLE}) ){{0,5}}{_WORD})(?!\w))", re.S)
+_BY_NUMBER = re.compile(_gaps(rf"\d(?<![\w.,/-].)(?=\d{{0,4}}(?: ?[a-h](?![\w.])|[A-H](?!\w))?(?: bis| ter)?,? ((?:(?:{_WORD}|{_PARTICLE}) ){{0,5}}{_WORD})(?!\w))"), re.S)
 _TAIL = rf"(?: (?:{_PARTICLE}|{_WORD})){{0,5}}),? (?:n\.?[º°o]\.? ?|no\. )?\d{{1,4}}(?: ?[a-h](?!\w))?)(?![\w.:/%-])"
-_BY_STREET = re.compile(rf"{_HEAD}(?<![\w/-].)(?=(([\w'’-]*\.?{_TAIL})", re.S)
-_SMALL = re.compile(r"(?:c(?=alle )|r(?=u[ea] )|a(?=venue |l\. )|u(?=l\. )|v(?=ia )|[dl](?=['’]))(?<![\w/-].)", re.S)
-_BY_SMALL = re.compile(rf"(((?:{_WORD}|calle|rue|avenue|ul\.|al\.|via|rua){_TAIL}")
+_BY_STREET = re.compile(_gaps(rf"{_HEAD}(?<![\w/-].)(?=(([\w'’-]*\.?{_TAIL})"), re.S)
+_SMALL = re.compile(_gaps(r"(?:c(?=alle )|r(?=u[ea] )|a(?=venue |l\. )|u(?=l\. )|v(?=ia )|[dl](?=['’]))(?<![\w/-].)"), re.S)
+_BY_SMALL = re.compile(_gaps(rf"(((?:{_WORD}|calle|rue|avenue|ul\.|al\.|via|rua){_TAIL}"))
 _FIVE, _DIGIT = re.compile(r"\d{5}"), re.compile(r"\d")
 _LINE = re.compile(r'^[\s",\[\]#>*]+')
 _SPACE = re.compile(r"\s+")
@@ -75,7 +81,7 @@ def behind(text: str, at: int) -> str:
 
 
 def shape(number: str) -> str:
-    return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", number.replace("\xa0", " ")))
+    return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", _SPACE.sub(" ", number.replace("\u2011", "-"))))
 
 
 def _street_places(text: str) -> Iterator[tuple[str, int, int]]:
@@ -121,7 +127,7 @@ def candidates(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
             continue
         if s[0] == "(" and s[-1] == ")" and s.count(")") == 1:
             s, a = s[1:-1], a + 1
-        elif s[-1] == ")" and "(" not in s:
+        elif s[-1] == ")" and s.count(")") > s.count("("):
             s = s[:-1]
         b = a + len(s)
         digits = len(_DIGIT.findall(s))
@@ -133,7 +139,7 @@ def candidates(text: str) -> Iterator[tuple[str, str, str, str, int, int]]:
         if s[0] not in "+(":
             yield "id_number", s, form, "+" if _LABEL.search(head) else "", a, b
     for name, a, b in _street_places(text):
-        name = name.rstrip(" ,")
+        name = _SPACE.sub(" ", name).rstrip(" ,")
         if name.isupper() and name.count(" ") > 2:
             continue  # a line in capitals, not a street
         name = name.lower()
