@@ -73,3 +73,12 @@ def test_suffix_matches_and_gaf(spark, tmp_path):
     write_gaf(mems.hit_paths(places, graph.path_positions(steps, nodes)), q, str(tmp_path / "gaf"))
     lines = [x.value.split("\t") for x in spark.read.text(str(tmp_path / "gaf")).collect()]
     assert {x[0] for x in lines} == {"1", "2"} and all(len(x) == 12 and int(x[3]) - int(x[2]) == int(x[9]) and int(x[8]) <= int(x[6]) for x in lines)
+
+
+def test_end_rows_need_no_index(spark, monkeypatch):
+    texts = ["GATTACA", "", "TTT", "GATTACA", "ACNGT"]
+    t = spark.createDataFrame([(5 - 2 * i, s) for i, s in enumerate(texts)], "seq_id bigint, seq string")
+    sa = text.suffix_array(t).join(t, "seq_id").filter(F.col("seq_off") == F.length("seq"))
+    want = rows(sa.select("bwt_pos", "seq_id", "seq_off"))
+    monkeypatch.setattr(text, "suffix_array", None)
+    assert rows(text.end_rows(t)) == want

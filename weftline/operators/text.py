@@ -146,6 +146,12 @@ def text_symbols(texts: DataFrame) -> DataFrame:
     return each.select("ch", F.col("n").cast("bigint").alias("n")).unionByName(texts.select(F.lit(MARK).alias("ch"), F.lit(1).cast("bigint").alias("n")))
 
 
+def end_rows(texts: DataFrame) -> DataFrame:
+    """(bwt_pos, seq_id, seq_off): the row of each text's end-marker. The markers sort below all letters and among themselves by seq_id, so the texts alone tell them."""
+    ends = texts.select("seq_id", F.length("seq").cast("bigint").alias("seq_off"), F.lit(1).alias("_one"))
+    return with_sum_before(ends, [], "seq_id", "_one", "bwt_pos", bucket_width(ends, "seq_id")).select(F.col("bwt_pos").cast("bigint").alias("bwt_pos"), "seq_id", "seq_off")
+
+
 def bwt_runs(b: DataFrame) -> DataFrame:
     """(bwt_start, ch, length); every end-marker is a run of its own."""
     return run_lengths(b.select(F.col("bwt_pos").alias("bwt_start"), "ch"), [], "bwt_start", ["ch"], apart=F.col("ch") == MARK)
