@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.functions.dna import reverse_complement
-from weftline.operators import graph, mems, text
+from weftline.operators import graph, mems, ordered, text
 from weftline.sources.hit_files import write_gaf
 
 
@@ -82,3 +82,70 @@ def test_end_rows_need_no_index(spark, monkeypatch):
     want = rows(sa.select("bwt_pos", "seq_id", "seq_off"))
     monkeypatch.setattr(text, "suffix_array", None)
     assert rows(text.end_rows(t)) == want
+
+
+def test_suffixes_are_sorted_in_buckets_and_passes(spark, monkeypatch):
+    from weftline.operators import suffix_sort
+
+    r = random.Random(4)
+    base = dna_text(r, 700)
+    texts = [base, base[100:], base[:400] + "N" * 60 + base[:400], "A" * 500, "A" * 300 + "C", "AC" * 150, "", "N", base]
+    t = spark.createDataFrame([(7 - i, s, i % 3 - 1) for i, s in enumerate(texts)], "seq_id bigint, seq string, part bigint")
+    monkeypatch.setattr(suffix_sort, "_SORTED", 300)
+    monkeypatch.setattr(suffix_sort, "_PASS", 1500)
+    monkeypatch.setattr(suffix_sort, "_BLOCK", 64)
+
+    def naive(own):
+        return [(i, o) for _, i, o in sorted((s[o:], 7 - i, o) for i, s in own for o in range(len(s) + 1))]
+
+    want = naive(enumerate(texts))
+    sa = text.suffix_array(t.drop("part"))
+    got = sa.orderBy("bwt_pos").collect()
+    assert [(x.seq_id, x.seq_off) for x in got] == want and [x.bwt_pos for x in got] == list(range(len(want)))
+    assert [x.ch for x in got] == [texts[7 - i][o - 1] if o else "$" for i, o in want]
+    alone = text.suffix_array(t, "part")
+    for part in (-1, 0, 1):
+        own = alone.filter(F.col("part") == part).orderBy("bwt_pos").collect()
+        assert [(x.bwt_pos, x.seq_id, x.seq_off) for x in own] == [(k, *x) for k, x in enumerate(naive((i, s) for i, s in enumerate(texts) if i % 3 - 1 == part))]
+    far = {x.bwt_pos: (x.next_seq, x.next_off) for x in text.next_text_position(sa, 7).collect()}
+    assert far == {k: want[k + 7] if k + 7 < len(want) else (None, None) for k in range(len(want))}
+    assert rows(text.next_text_position(sa.repartition(5), 7)) == rows(text.next_text_position(sa, 7))
+    runs, k = [], 0
+    while k < len(got):
+        n = 1
+        while got[k].ch != "$" and k + n < len(got) and got[k + n].ch == got[k].ch:
+            n += 1
+        runs.append((k, got[k].ch, n))
+        k += n
+    assert rows(text.bwt_runs(sa)) == rows(text.bwt_runs(sa.repartition(5))) == sorted(runs, key=repr)
+
+
+def test_order_is_met_as_it_is_read(spark):
+    df = spark.range(1000, 41000).repartition(3).sortWithinPartitions("id")
+    values = df.select("id", F.expr("if(id % 2000 < 500, null, id div 700)").alias("v"), F.col("id").alias("w"))
+    want, last = [], None
+    for i in range(1000, 41000):
+        v = None if i % 2000 < 500 else i // 700
+        if want and v == last:
+            want[-1] = (*want[-1][:2], want[-1][2] + 1)
+        else:
+            want.append((i, v, 1))
+        last = v
+    for shape in (values, values.coalesce(1).sortWithinPartitions("id"), values.repartition(7)):
+        assert rows(ordered.run_lengths(shape, [], "id", ["v"])) == sorted(want, key=repr)
+        assert rows(ordered.with_row_behind(shape, "id", {"x": "w"}, 9).select("id", "w", "x")) == rows(values.select("id", "w", F.expr("if(id + 9 < 41000, id + 9, null)").alias("x")))
+
+
+def test_patterns_are_found_by_numbers(spark):
+    r = random.Random(5)
+    base = dna_text(r, 120)
+    texts = [base, base[30:] + "acgR" + base[:40], "A" * 40, "", base[5:]]
+    words = [base[:9], base[3:40], "A" * 9, "A" * 12, "acgR" + base[:9], base[20:32] + "T", base[7:14], "é" * 12]
+    t = spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, seq string")
+    want = [(w, i, o) for w in words if len(w) >= 9 for i, s in enumerate(texts) for o in range(len(s)) if s.startswith(w, o)]
+    found = text.occurrences(spark.createDataFrame([(w,) for w in words], "pattern string"), t, 9)
+    assert rows(found) == sorted(want, key=repr)
+    seeds = spark.createDataFrame([(w[:9],) for w in words if len(w) >= 9], "pattern string").select("pattern", text.as_bytes(F.col("pattern")).alias("_b"))
+    own = {x.pattern: x.h for x in seeds.mapInArrow(text._hashes(9, False), "pattern string, h bigint").collect()}
+    every = spark.createDataFrame([(0, base)], "seq_id bigint, seq string").select("seq_id", text.as_bytes(F.col("seq")).alias("_b")).mapInArrow(text._hashes(9, True), "seq_id bigint, seq_off bigint, h bigint").collect()
+    assert len(every) == 112 and own[base[3:12]] == every[3].h and own[base[:9]] != every[3].h

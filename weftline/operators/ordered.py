@@ -6,9 +6,16 @@ for each bucket, of which there are a few for each shuffle partition.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.shared import settled
+
 SMALLEST = 1 << 16
 
 
@@ -45,6 +52,51 @@ def with_neighbour(df: DataFrame, by: list[str], order: str, cols: dict[str, str
     return out.withColumns({new: F.when(F.col("_here"), F.col(new)).otherwise(F.col(f"_x._v{k}")) for k, new in enumerate(cols)}).drop("_here", "_bucket", "_b", "_x", *(f"_by{k}" for k in range(len(by))))
 
 
+def in_order(df: DataFrame, order: str, width: int) -> DataFrame:
+    """The same rows, each bucket of `order` in one task and in order there, so that what is met as it is read needs no join."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, _bucket(order, width)).sortWithinPartitions(order)
+
+
+def _behind(n: int, width: int, edges: bool):
+    """Rows (order, columns, behind): each with the columns of the row n further on where the batch has it; edges: only the others, and the first n of each stretch of neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            there = np.zeros(len(at), bool)
+            there[: max(0, len(at) - n)] = at[n:] == at[:-n] + n
+            if edges:
+                head = np.flatnonzero(np.r_[True, np.diff(at) != 1][: len(at)])
+                first = np.arange(len(at)) - np.repeat(head, np.diff(np.r_[head, len(at)])) < n
+                keep = pa.array(np.flatnonzero(~there | first))
+                yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in batch.columns), pa.array(~there).take(keep)], names=[f"c{k}" for k in range(width + 2)])
+            else:
+                own = np.flatnonzero(there)
+                keep = pa.array(own)
+                yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in batch.columns), *(c.take(pa.array(own + n)) for c in batch.columns[1:])], names=[f"c{k}" for k in range(2 * width + 1)])
+
+    return run
+
+
+def with_row_behind(df: DataFrame, order: str, cols: dict[str, str], n: int) -> DataFrame:
+    """(order, columns, new names): add columns of the row whose `order` is n more, null where there is none; cols maps new names to columns.
+
+    Rows that come in order are met as they are read; only those at the ends of what is read at once are joined. Rows out of
+    order are joined all. df is read twice.
+    """
+    old = list(dict.fromkeys(cols.values()))
+    own = df.select(order, *old)
+    kind = lambda *names: [f"{own.schema[c].dataType.simpleString()}" for c in names]
+    schema = lambda kinds: ", ".join(f"c{k} {t}" for k, t in enumerate(kinds))
+    new = {c: [x for x, y in cols.items() if y == c] for c in old}
+    met = own.mapInArrow(_behind(n, len(old), False), schema(kind(order, *old, *old)))
+    met = met.select(F.col("c0").alias(order), *(F.col(f"c{k + 1}").alias(c) for k, c in enumerate(old)), *(F.col(f"c{len(old) + 1 + old.index(c)}").alias(x) for x, c in cols.items()))
+    ends = settled(own.mapInArrow(_behind(n, len(old), True), schema([*kind(order, *old), "boolean"])), "ends").withColumnsRenamed({"c0": order} | {f"c{k + 1}": c for k, c in enumerate(old)} | {f"c{len(old) + 1}": "_open"})
+    behind = ends.select((F.col(order) - n).alias(order), *(F.col(c).alias(x) for c in old for x in new[c]))
+    return met.unionByName(ends.filter("_open").select(order, *old).join(behind, order, "left"))
+
+
 def with_sums_before(df: DataFrame, by: list[str], order: str, sums: dict[str, str], width: int) -> DataFrame:
     """Add the sums of columns over the rows before each row of its group: sums maps new names to columns.
 
@@ -66,13 +118,46 @@ def with_sum_before(df: DataFrame, by: list[str], order: str, value: str, name:
     return with_sums_before(df, by, order, {name: value}, width)
 
 
+def _met_runs(values: int, edges: bool):
+    """Of rows (order, values, apart): runs (order, values, length, apart) inside each batch that others can't lengthen; edges: only those that others may."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            at, apart = batch.column(0).to_numpy(), batch.column(values + 1).to_numpy(zero_copy_only=False).astype(bool)
+            gap = np.r_[True, np.diff(at) != 1]
+            new = gap | apart
+            new[1:] |= apart[:-1]
+            for c in batch.columns[1 : values + 1]:
+                there = c.is_valid().to_numpy(zero_copy_only=False)
+                new[1:] |= (there[1:] != there[:-1]) | pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            head = np.flatnonzero(new)
+            length = np.diff(np.r_[head, n])
+            last = np.r_[gap[head[1:]], True]
+            own = (gap[head] | last) & ~apart[head]
+            own = own if edges else ~own
+            keep = pa.array(head[own])
+            yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in batch.columns[: values + 1]), pa.array(length[own].astype(np.int64)), pa.array(apart[head[own]])], names=[f"c{k}" for k in range(values + 3)])
+
+    return run
+
+
 def run_lengths(df: DataFrame, by: list[str], order: str, values: list[str], length: str | None = None, apart: Column | None = None, width: int | None = None) -> DataFrame:
     """Runs of equal neighbouring values: (by, order of the first row, values, length).
 
     Without `length` each row has length 1 and `order` counts rows without gaps; with it, rows are intervals
     [order, order + length) and only intervals that touch are joined. Rows for which `apart` holds are runs of their own.
-    Nulls equal nulls.
+    Nulls equal nulls. Rows that come in order are counted as they are read, and only runs at the ends of what is read at once
+    are met with others.
     """
+    if not by and not length:
+        own = df.select(order, *values, (apart if apart is not None else F.lit(False)).alias("_apart"))
+        schema = ", ".join(f"c{k} {t}" for k, t in enumerate([*(own.schema[c].dataType.simpleString() for c in (order, *values)), "bigint", "boolean"]))
+        names = {f"c{k}": c for k, c in enumerate([order, *values, "length", "_apart"])}
+        inner, ends = (own.mapInArrow(_met_runs(len(values), edges), schema).withColumnsRenamed(names) for edges in (False, True))
+        return inner.drop("_apart").unionByName(run_lengths(settled(ends.drop("_apart"), "ends"), by, order, values, "length", width=width))
     if width is None:
         width = bucket_width(df, order)
     df = df.select(*by, order, *values, (F.col(length) if length else F.lit(1).cast("bigint")).alias("_len"), (apart if apart is not None else F.lit(False)).alias("_apart"))

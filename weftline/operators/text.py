@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.dna import reverse_complement
-from weftline.operators.ordered import bucket_width, run_lengths, with_interval, with_neighbour, with_sum_before, with_sums_before
-from weftline.shared import forget, settled
+from weftline.operators.ordered import bucket_width, run_lengths, with_interval, with_neighbour, with_row_behind, with_sum_before, with_sums_before
+from weftline.operators.suffix_sort import sorted_suffixes
+from weftline.shared import settled
 
 MARK = "$"
-_KEY = 20
-#: Ranks further on that one round of sorting suffixes looks at.
-_LEAPS = 3
 
 
 def normal(sequences: DataFrame, seq_id: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -50,86 +48,18 @@ def strand_kmers(texts: DataFrame, k: int) -> DataFrame:
     return ahead.unionByName(back).select("seq_id", "kmer_offset", "is_reverse", "kmer")
 
 
-def _suffix_keys(chunk: int):
-    code = np.zeros(256, np.int64)
-    code[np.frombuffer(b"ACGNT", np.uint8)] = range(1, 6)
-
-    def keys(codes: np.ndarray, n: int) -> np.ndarray:
-        """At each of the first n places the next 20 letters as a number of base 6."""
-        two = codes[:-1] * 6 + codes[1:]
-        four = two[:-2] * 36 + two[2:]
-        eight = four[:-4] * 6**4 + four[4:]
-        sixteen = eight[:-8] * 6**8 + eight[8:]
-        return sixteen[:n] * 6**4 + four[16 : 16 + n]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for seq_id, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
-                letters = np.frombuffer(seq.as_buffer(), np.uint8)
-                for at in range(0, len(letters) + 1, chunk):
-                    n = min(chunk, len(letters) + 1 - at)
-                    part = np.zeros(n + 3 * _KEY, np.int64)
-                    here = code[letters[at : at + len(part)]]
-                    part[: len(here)] = here
-                    both = keys(part, n + _KEY)
-                    ahead = np.zeros(n, np.int8)
-                    ahead[0 if at else 1 :] = code[letters[at - 1 if at else 0 : at + n - 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq_id, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int64)), pa.array(both[:n]), pa.array(both[_KEY:]), pa.array(ahead)], names=["seq_id", "seq_off", "k1", "k2", "c"])
-
-    return run
-
-
-def suffixes(texts: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """(seq_id, seq_off BIGINT, k1, k2, c TINYINT): every suffix, that of the end-marker alone too, with its first 40 letters as two numbers and the letter before it, 0 for none."""
-    return texts.select("seq_id", as_bytes(F.col("seq")).alias("seq")).mapInArrow(_suffix_keys(chunk), "seq_id bigint, seq_off bigint, k1 bigint, k2 bigint, c tinyint")
-
-
 def suffix_array(texts: DataFrame, by: str | None = None) -> DataFrame:
     """(bwt_pos, seq_id, seq_off, ch) of texts over ACGNT with one row for each seq_id; other letters count as N. ch is the letter before the suffix, the end-marker before a whole text.
 
-    Suffixes get the rank of their first 40 letters, then those that share a rank are told apart by the ranks of the
-    suffixes 40, 80 and 120 letters further on, then 160, 320 and 480: each round compares four times the letters. Only
-    suffixes that still share a rank take part in a round. The first ranks come from the counts of the distinct prefixes,
-    range-partitioned and added up bucket by bucket.
-
-    by: a column of texts, not null; its values get an array each, with rows from 0, as if each were built alone.
+    by: a column of texts, a whole number and not null; its values get an array each, with rows from 0, as if each were built alone.
     """
-    g = [by] if by else []
-    own = texts.select("seq_id", *g)
-    texts = texts.withColumn("seq", F.regexp_replace("seq", "[^ACGT]", "N"))
-    suf = suffixes(texts)
-    suf = settled(suf.join(own, "seq_id") if by else suf, "suffixes")
-    counts = suf.groupBy(*g, "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    # k1 is cut into ranges by its own width, which spreads as its values do
-    small = counts.groupBy(*g, "k1").agg(F.sum("n").alias("m"))
-    first = with_sum_before(small, g, "k1", "m", "below", bucket_width(small, "k1"))
-    inside = Window.partitionBy(*g, "k1").orderBy("k2").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.join(first.select(*g, "k1", "below"), [*g, "k1"]).withColumn("r", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    cur = settled(suf.join(start.select(*g, "k1", "k2", "r", "n"), [*g, "k1", "k2"]).select("seq_id", "seq_off", "c", "r", "n", *g), "ranks")
-    forget(suf)
-    done, h = None, 2 * _KEY
-    further = [f"r{j}" for j in range(1, _LEAPS + 1)]
-    while True:
-        open_ = cur.filter("n > 1")
-        if open_.isEmpty():
-            break
-        known = cur.select("seq_id", "seq_off", "r") if done is None else cur.select("seq_id", "seq_off", "r").unionByName(done.drop("c", *g))
-        asked = open_.select("seq_id", "seq_off", "c", "r", *g, F.explode(F.array(*(F.lit(j) for j in range(1, _LEAPS + 1)))).alias("leap"))
-        asked = asked.withColumn("_at", F.col("seq_off") + F.col("leap") * F.lit(h).cast("bigint"))
-        met = asked.join(known.select("seq_id", F.col("seq_off").alias("_at"), F.col("r").alias("_r")), ["seq_id", "_at"], "left").withColumn("_r", F.coalesce("_r", F.lit(-1).cast("bigint")))
-        at = met.groupBy("seq_id", "seq_off").agg(F.min("r").alias("r"), F.min("c").alias("c"), *(F.min(x).alias(x) for x in g), *(F.max(F.when(F.col("leap") == j, F.col("_r"))).alias(f"r{j}") for j in range(1, _LEAPS + 1)))
-        # Behind the end of its text a suffix is told apart by its text: the end-markers are ordered by seq_id. What is behind one end is behind all that share the rank.
-        at = at.withColumn("tie", F.when(F.least(*further) < 0, F.col("seq_id")).otherwise(F.lit(0)))
-        pairs = at.groupBy(*g, "r", *further, "tie").agg(F.count(F.lit(1)).alias("n"))
-        below = Window.partitionBy(*g, "r").orderBy(*further, "tie").rowsBetween(Window.unboundedPreceding, -1)
-        pairs = pairs.withColumn("new", F.col("r") + F.coalesce(F.sum("n").over(below), F.lit(0)))
-        fresh = at.join(pairs, [*g, "r", *further, "tie"]).select("seq_id", "seq_off", "c", F.col("new").alias("r"), "n", *g)
-        over = cur.filter("n = 1").select("seq_id", "seq_off", "c", "r", *g)
-        done = over if done is None else done.unionByName(over)
-        cur = settled(fresh, "ranks")
-        h *= _LEAPS + 1
-    out = cur.drop("n") if done is None else cur.drop("n").unionByName(done)
-    return out.select(*g, F.col("r").alias("bwt_pos"), "seq_id", "seq_off", F.substring(F.lit(MARK + "ACGNT"), F.col("c").cast("int") + 1, F.lit(1)).alias("ch"))
+    own = settled(texts.select("seq_id", as_bytes(F.col("seq")).alias("seq"), *([F.col(by).cast("bigint").alias(by)] if by else [])), "texts")
+    out = sorted_suffixes(own, by)
+    if not by:
+        return out
+    sizes = own.groupBy(by).agg(F.sum(F.length("seq").cast("bigint") + 1).alias("_n"))
+    first = with_sum_before(sizes, [], by, "_n", "_first", bucket_width(sizes, by))
+    return out.join(first.select(by, "_first"), by).select(by, (F.col("bwt_pos") - F.col("_first")).cast("bigint").alias("bwt_pos"), "seq_id", "seq_off", "ch")
 
 
 def symbol_table(symbols: DataFrame, ch: str = "ch", n: str | None = None) -> DataFrame:
@@ -264,16 +194,48 @@ def next_text_position(sa: DataFrame, n: int = 1) -> DataFrame:
     """(bwt_pos, seq_id, seq_off, next_seq, next_off): the text position n rows behind each row; null behind the last one."""
     if n == 1:
         return with_neighbour(sa.select("bwt_pos", "seq_id", "seq_off"), [], "bwt_pos", {"next_seq": "seq_id", "next_off": "seq_off"}, bucket_width(sa, "bwt_pos"), ahead=True)
-    behind = sa.select((F.col("bwt_pos") - n).alias("bwt_pos"), F.col("seq_id").alias("next_seq"), F.col("seq_off").alias("next_off"))
-    return sa.select("bwt_pos", "seq_id", "seq_off").join(behind, "bwt_pos", "left")
+    return with_row_behind(sa.select("bwt_pos", "seq_id", "seq_off"), "bwt_pos", {"next_seq": "seq_id", "next_off": "seq_off"}, n)
+
+
+def _hashes(k: int, every: bool):
+    """Of rows (id, text): a number made of the k letters at each place, or at the first one alone."""
+    odd = 0x9E3779B97F4A7C15
+
+    def of(letters: np.ndarray) -> np.ndarray:
+        # parts of 1, 2, 4, .. letters, put one behind another for the ones that k is made of
+        part, size, out, done = letters.astype(np.uint64) + np.uint64(1), 1, None, 0
+        while True:
+            if k & size:
+                out = part if out is None else out[: len(part) - done] * np.uint64(pow(odd, size, 1 << 64)) + part[done:]
+                done += size
+            if size * 2 > k:
+                n = len(letters) - k + 1
+                return (out[:n] ^ out[:n] >> np.uint64(32)).view(np.int64)
+            part, size = part[:-size] * np.uint64(pow(odd, size, 1 << 64)) + part[size:], size * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not every:
+                whole = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint8)
+                h = of(whole)[::k] if len(whole) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h)], names=["pattern", "h"])
+                continue
+            for seq_id, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
+                letters = np.frombuffer(seq.as_buffer(), np.uint8)
+                for at in range(0, len(letters) - k + 1, 1 << 20):
+                    h = of(letters[at : at + (1 << 20) + k - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), seq_id, np.int64)), pa.array(np.arange(at, at + len(h), dtype=np.int64)), pa.array(h)], names=["seq_id", "seq_off", "h"])
+
+    return run
 
 
 def occurrences(patterns: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(pattern, seq_id, seq_off): where each pattern of at least k letters stands in the texts, overlapping ones too.
 
-    The first k letters are joined with the texts' windows, the rest is compared in place.
+    A number made of the first k letters is joined with those of the texts' windows, and the whole pattern is compared in place.
     """
-    seeds = patterns.select("pattern", F.substring("pattern", 1, k).alias("kmer")).filter(F.length("pattern") >= k)
-    hits = windows(texts, "seq_id", "seq", k, None).join(seeds, "kmer").select("pattern", "seq_id", F.col("kmer_offset").cast("bigint").alias("seq_off"))
-    hits = hits.join(texts.select("seq_id", as_bytes(F.col("seq")).alias("_b")), "seq_id")
+    seeds = patterns.filter(F.length("pattern") >= k).select("pattern", F.substring(as_bytes(F.col("pattern")), 1, k).alias("_b")).mapInArrow(_hashes(k, False), "pattern string, h bigint")
+    letters = texts.filter(F.length("seq") >= k).select(F.col("seq_id").cast("bigint").alias("seq_id"), as_bytes(F.col("seq")).alias("_b"))
+    hits = letters.mapInArrow(_hashes(k, True), "seq_id bigint, seq_off bigint, h bigint").join(seeds, "h").select("pattern", "seq_id", "seq_off")
+    hits = hits.join(letters, "seq_id")
     return hits.filter(F.expr("cast(substring(_b, cast(seq_off + 1 as int), length(pattern)) as string) = pattern")).select("pattern", "seq_id", "seq_off")
