@@ -145,7 +145,9 @@ def test_patterns_are_found_by_numbers(spark):
     want = [(w, i, o) for w in words if len(w) >= 9 for i, s in enumerate(texts) for o in range(len(s)) if s.startswith(w, o)]
     found = text.occurrences(spark.createDataFrame([(w,) for w in words], "pattern string"), t, 9)
     assert rows(found) == sorted(want, key=repr)
+    few = [w for w in words if len(w) in (9, 12)]
+    assert rows(text.occurrences(spark.createDataFrame([(w,) for w in few], "pattern string"), t, 9)) == sorted((x for x in want if x[0] in few), key=repr)
     seeds = spark.createDataFrame([(w[:9],) for w in words if len(w) >= 9], "pattern string").select("pattern", text.as_bytes(F.col("pattern")).alias("_b"))
-    own = {x.pattern: x.h for x in seeds.mapInArrow(text._hashes(9, False), "pattern string, h bigint").collect()}
-    every = spark.createDataFrame([(0, base)], "seq_id bigint, seq string").select("seq_id", text.as_bytes(F.col("seq")).alias("_b")).mapInArrow(text._hashes(9, True), "seq_id bigint, seq_off bigint, h bigint").collect()
+    own = {x.pattern: x.h for x in seeds.mapInArrow(text._hashes([9], False), "pattern string, h bigint").collect()}
+    every = spark.createDataFrame([(0, base)], "seq_id bigint, seq string").select("seq_id", text.as_bytes(F.col("seq")).alias("_b")).mapInArrow(text._hashes([9], True), "seq_id bigint, seq_off bigint, h bigint").collect()
     assert len(every) == 112 and own[base[3:12]] == every[3].h and own[base[:9]] != every[3].h

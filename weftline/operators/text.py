@@ -197,11 +197,11 @@ def next_text_position(sa: DataFrame, n: int = 1) -> DataFrame:
     return with_row_behind(sa.select("bwt_pos", "seq_id", "seq_off"), "bwt_pos", {"next_seq": "seq_id", "next_off": "seq_off"}, n)
 
 
-def _hashes(k: int, every: bool):
-    """Of rows (id, text): a number made of the k letters at each place, or at the first one alone."""
+def _hashes(sizes: list[int], every: bool):
+    """Of rows (id, text): a number made of so many letters, for each of the sizes, at each place, or of the whole text, which has one of the sizes."""
     odd = 0x9E3779B97F4A7C15
 
-    def of(letters: np.ndarray) -> np.ndarray:
+    def of(letters: np.ndarray, k: int) -> np.ndarray:
         # parts of 1, 2, 4, .. letters, put one behind another for the ones that k is made of
         part, size, out, done = letters.astype(np.uint64) + np.uint64(1), 1, None, 0
         while True:
@@ -209,22 +209,26 @@ def _hashes(k: int, every: bool):
                 out = part if out is None else out[: len(part) - done] * np.uint64(pow(odd, size, 1 << 64)) + part[done:]
                 done += size
             if size * 2 > k:
-                n = len(letters) - k + 1
-                return (out[:n] ^ out[:n] >> np.uint64(32)).view(np.int64)
+                out = out[: len(letters) - k + 1] + np.uint64(k)
+                return (out ^ out >> np.uint64(32)).view(np.int64)
             part, size = part[:-size] * np.uint64(pow(odd, size, 1 << 64)) + part[size:], size * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not every:
-                whole = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint8)
-                h = of(whole)[::k] if len(whole) else np.zeros(0, np.int64)
+                own = [x.as_py() for x in batch.column(1)]
+                n, h = np.array([len(x) for x in own]), np.zeros(len(own), np.int64)
+                for k in sizes:
+                    if (n == k).any():
+                        h[n == k] = of(np.frombuffer(b"".join(x for x in own if len(x) == k), np.uint8), k)[::k]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h)], names=["pattern", "h"])
                 continue
             for seq_id, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
                 letters = np.frombuffer(seq.as_buffer(), np.uint8)
-                for at in range(0, len(letters) - k + 1, 1 << 20):
-                    h = of(letters[at : at + (1 << 20) + k - 1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), seq_id, np.int64)), pa.array(np.arange(at, at + len(h), dtype=np.int64)), pa.array(h)], names=["seq_id", "seq_off", "h"])
+                for k in sizes:
+                    for at in range(0, len(letters) - k + 1, 1 << 20):
+                        h = of(letters[at : at + (1 << 20) + k - 1], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), seq_id, np.int64)), pa.array(np.arange(at, at + len(h), dtype=np.int64)), pa.array(h)], names=["seq_id", "seq_off", "h"])
 
     return run
 
@@ -232,10 +236,17 @@ def _hashes(k: int, every: bool):
 def occurrences(patterns: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(pattern, seq_id, seq_off): where each pattern of at least k letters stands in the texts, overlapping ones too.
 
-    A number made of the first k letters is joined with those of the texts' windows, and the whole pattern is compared in place.
+    A number made of a pattern's letters is joined with those of the texts' windows of this length, so repeats that many
+    patterns begin with give no pairs. Where patterns have more than four lengths, it is made of the first k, 2k, 4k, .. letters, as
+    many as the pattern has. The whole pattern is compared in place.
     """
-    seeds = patterns.filter(F.length("pattern") >= k).select("pattern", F.substring(as_bytes(F.col("pattern")), 1, k).alias("_b")).mapInArrow(_hashes(k, False), "pattern string, h bigint")
+    patterns = settled(patterns.select("pattern").filter(F.length("pattern") >= k), "patterns")
+    n = F.length("pattern")
+    if patterns.select(n).distinct().limit(5).count() > 4:
+        n = k * F.pow(F.lit(2), F.floor(F.log2(n.cast("double") / k + 1e-9))).cast("int")
+    sizes = sorted(r[0] for r in patterns.select(n.alias("n")).distinct().collect())  # four, or one for each power of two
+    seeds = patterns.select("pattern", F.substring(as_bytes(F.col("pattern")), F.lit(1), n).alias("_b")).mapInArrow(_hashes(sizes, False), "pattern string, h bigint")
     letters = texts.filter(F.length("seq") >= k).select(F.col("seq_id").cast("bigint").alias("seq_id"), as_bytes(F.col("seq")).alias("_b"))
-    hits = letters.mapInArrow(_hashes(k, True), "seq_id bigint, seq_off bigint, h bigint").join(seeds, "h").select("pattern", "seq_id", "seq_off")
+    hits = letters.mapInArrow(_hashes(sizes, True), "seq_id bigint, seq_off bigint, h bigint").join(seeds, "h").select("pattern", "seq_id", "seq_off")
     hits = hits.join(letters, "seq_id")
     return hits.filter(F.expr("cast(substring(_b, cast(seq_off + 1 as int), length(pattern)) as string) = pattern")).select("pattern", "seq_id", "seq_off")
