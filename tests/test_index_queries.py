@@ -61,6 +61,23 @@ def test_both_strands_mirror_each_other(spark):
         assert (x.forward_start, x.reverse_start, x.size) == (y.reverse_start, y.forward_start, y.size)
 
 
+def test_short_words_are_extended_without_sorting(spark, monkeypatch, tmp_path):
+    from weftline.plans import sequences
+
+    r = random.Random(6)
+    texts = [dna_text(r, 60), "GATTACAN", "", "A", "NNACG", dna_text(r, 60), "GATTACAN"]
+    spark.createDataFrame([(9 - i, s) for i, s in enumerate(texts)], "seq_id bigint, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
+    every = [s for t in texts for s in (t, t[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+    suf = sorted(s[o:] for s in every for o in range(len(s) + 1))
+    back = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    first = lambda w: next(k for k, x in enumerate(suf) if x.startswith(w))
+    many = lambda w: sum(x.startswith(w) for x in suf)
+    words = {x[:3] for x in suf if len(x) > 2}
+    want = [(first(o), first(back(o)), many(o), c, first(w), first(back(w)), many(w), side) for w in words for o, c, side in ((w[1:], w[0], "before"), (w[:2], w[2], "behind"))]
+    monkeypatch.setattr(text, "suffix_array", None)
+    assert rows(sequences.bi_extended(spark, str(tmp_path))) == sorted(want, key=repr)
+
+
 def test_suffix_matches_and_gaf(spark, tmp_path):
     r = random.Random(3)
     base = dna_text(r, 80)

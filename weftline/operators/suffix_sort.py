@@ -26,14 +26,15 @@ _BLOCK = 1 << 16
 #: Suffixes that are sorted at once, and that are shuffled before their files are given up.
 _SORTED, _PASS = 1 << 19, 1 << 26
 
-_CODE = np.full(256, 4, np.uint8)
-_CODE[np.frombuffer(b"ACGT", np.uint8)] = (1, 2, 3, 5)
+#: Codes of letters; the end-marker has 0.
+CODE = np.full(256, 4, np.uint8)
+CODE[np.frombuffer(b"ACGT", np.uint8)] = (1, 2, 3, 5)
 _HASH = np.random.default_rng(1).permutation(6**_HASHED).astype(np.int64)
 
 
 def _codes(seq: pa.Scalar) -> np.ndarray:
     """Codes of a text's letters, with end-markers behind it."""
-    letters = _CODE[np.frombuffer(seq.as_buffer(), np.uint8)]
+    letters = CODE[np.frombuffer(seq.as_buffer(), np.uint8)]
     return np.r_[letters, np.zeros(KEY * (_KEYS + 1), np.uint8)]
 
 

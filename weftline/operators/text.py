@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.dna import reverse_complement
 from weftline.operators.ordered import bucket_width, run_lengths, with_interval, with_neighbour, with_row_behind, with_sum_before, with_sums_before
-from weftline.operators.suffix_sort import sorted_suffixes
+from weftline.operators.suffix_sort import CODE, sorted_suffixes
 from weftline.shared import settled
 
 MARK = "$"
@@ -87,6 +87,39 @@ def bwt_runs(b: DataFrame) -> DataFrame:
     return run_lengths(b.select(F.col("bwt_pos").alias("bwt_start"), "ch"), [], "bwt_start", ["ch"], apart=F.col("ch") == MARK)
 
 
+def _word_counts(k: int, chunk: int = 1 << 20):
+    """Of texts as bytes: (w, n), how many suffixes begin with each word of k letters and have each letter before them, as one number of base 6."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.zeros(6 ** (k + 1), np.int64)
+            for seq in batch.column(0):
+                codes = np.r_[np.uint8(0), CODE[np.frombuffer(seq.as_buffer(), np.uint8)], np.zeros(k, np.uint8)]
+                for at in range(0, len(codes) - k, chunk):
+                    part = codes[at : at + chunk + k].astype(np.int64)
+                    many = len(part) - k
+                    word = np.zeros(many, np.int64)
+                    for j in range(1, k + 1):
+                        word = word * 6 + part[j : j + many]
+                    n += np.bincount(word * 6 + part[:many], minlength=len(n))
+            own = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], names=["w", "n"])
+
+    return run
+
+
+def word_runs(texts: DataFrame, k: int) -> DataFrame:
+    """(bwt_start, ch, length): letters before the suffixes of texts over ACGNT, counted without sorting these: in order of their first k letters alone and, for the same ones, of the letter before.
+
+    At the first row of each word of up to k letters, and behind its last one, ranks are those of the transform; inside a word they aren't.
+    """
+    if not 1 <= k <= 6:
+        raise ValueError("k must be 1 to 6")
+    counts = texts.select(as_bytes(F.col("seq"))).mapInArrow(_word_counts(k), "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("length"))
+    w = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, -1)  # a row for each word and letter of the alphabet
+    return counts.select(F.coalesce(F.sum("length").over(w), F.lit(0)).cast("bigint").alias("bwt_start"), F.substring(F.lit(MARK + "ACGNT"), (F.col("w") % 6 + 1).cast("int"), F.lit(1)).alias("ch"), "length")
+
+
 def rank_blocks(runs: DataFrame, each: int = 10, alphabet: str = MARK + "ACGNT") -> DataFrame:
     """(block_id, bwt_start, rank_$, rank_A, ...): every `each` runs, how often each symbol occurs before the block."""
     width = bucket_width(runs, "bwt_start")
@@ -153,7 +186,8 @@ def bi_extend(intervals: DataFrame, runs: DataFrame, ahead: bool = False) -> Dat
     An interval is the rows that begin with a pattern, from forward_start on, and those that begin with its reverse complement,
     from reverse_start on, `size` of each. Backwards the forward rows are extended as in a search; on the other strand the rows of
     the letters whose complement comes before this one's, and of patterns at a text's beginning, come first. Forwards the strands
-    change places and the letter is its complement. Letters that don't stand there give no row.
+    change places and the letter is its complement. Letters that don't stand there give no row. runs: those of the transform, or
+    word_runs of the patterns' length.
     """
     a, b = ("reverse_start", "forward_start") if ahead else ("forward_start", "reverse_start")
     own = intervals.select("forward_start", "reverse_start", "size").distinct()
