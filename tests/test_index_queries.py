@@ -135,6 +135,19 @@ def test_suffixes_are_sorted_in_buckets_and_passes(spark, monkeypatch):
         runs.append((k, got[k].ch, n))
         k += n
     assert rows(text.bwt_runs(sa)) == rows(text.bwt_runs(sa.repartition(5))) == sorted(runs, key=repr)
+    assert rows(text.text_runs(t.drop("part"))) == sorted(runs, key=repr)
+    assert text.text_runs(t.filter("part > 9").drop("part")).count() == 0
+
+
+def test_rank_blocks_need_no_suffix_array(spark, monkeypatch, tmp_path):
+    from weftline.plans import sequences
+
+    r = random.Random(7)
+    texts = [dna_text(r, 90), "GATTACAN" * 9, "", "A" * 40]
+    spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
+    want = rows(text.rank_blocks(text.bwt_runs(text.suffix_array(spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, seq string")))))
+    monkeypatch.setattr(text, "suffix_array", None)
+    assert rows(sequences.rank_blocks(spark, str(tmp_path))) == want
 
 
 def test_order_is_met_as_it_is_read(spark):

@@ -11,17 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.ordered import bucket_width, with_sum_before
 from weftline.shared import forget, fresh_path, settled
 
 #: Letters of a key, of a hash, and keys by which anchors are told apart at first.
 KEY, _HASHED, _KEYS = 24, 6, 5
 #: Anchors further on that one round of ranking looks at.
 _LEAPS = 7
-#: Ranks in one row of a shuffle.
+#: Anchors in one batch of rows.
 _BLOCK = 1 << 16
 #: Suffixes that are sorted at once, and that are shuffled before their files are given up.
 _SORTED, _PASS = 1 << 19, 1 << 26
@@ -94,18 +94,52 @@ def _first_keys(chunk: int):
     return run
 
 
+def _ranked(keys: int, inside: bool):
+    """Of rows (seq_id, i, keys) in order of the keys, equal ones in one task: (part, seq_id, i, v), v twice the rank, one more where others share it. Ranks count from 0 in each task or, inside, from the first key on in the rows that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, last, count, head, start = TaskContext.get().partitionId(), None, None, 0, 0, 0
+
+        def out(ends: bool):
+            seq_id, i, rank, new = held
+            shared = ~(new & np.r_[new[1:], ends])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(new), part, np.int64)), seq_id, i, pa.array(2 * rank + shared)], names=["part", "seq_id", "i", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols, at = [c.to_numpy() for c in batch.columns[2:]], np.arange(count, count + batch.num_rows)
+            new = np.zeros(len(at), bool)
+            for k, c in enumerate(cols):
+                new[1:] |= c[1:] != c[:-1]
+                new[0] |= last is None or c[0] != last[k]
+                if not k:
+                    group = new.copy()
+            first = np.maximum.accumulate(np.where(new, at, head))
+            rank = first
+            if inside:
+                begin = np.maximum.accumulate(np.where(group, at, start))
+                rank, start = cols[0] + first - begin, begin[-1]
+            if held:
+                yield out(new[0])
+            held, last, count, head = (batch.column(0), batch.column(1), rank, new), [c[-1] for c in cols], count + len(at), first[-1]
+        if held:
+            yield out(True)
+
+    return run
+
+
 def _texts_with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Scalar, np.ndarray]]:
-    """Of rows (seq_id, g, block, seq, ranks) in order of seq_id and block, the text first: each text with its anchors' ranks."""
+    """Of rows (seq_id, g, i, v, seq) in order of seq_id and i, the text first, with i -1: each text with its anchors' v."""
     own, parts = None, []
     for batch in batches:
-        ranks = batch.column(4)
-        for row, (seq_id, g, block) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
-            if block < 0:
-                if own is not None:
-                    yield *own, np.concatenate(parts)
-                own, parts = (seq_id, g, batch.column(3)[row]), []
-            else:
-                parts.append(ranks[row].values.to_numpy(zero_copy_only=False))
+        i, v, low = batch.column(2).to_numpy(), batch.column(3).to_numpy(), 0
+        for row in np.flatnonzero(i < 0):
+            parts.append(v[low:row])
+            if own is not None:
+                yield *own, np.concatenate(parts)
+            own, parts, low = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(4)[row]), [], row + 1
+        parts.append(v[low:])
     if own is not None:
         yield *own, np.concatenate(parts)
 
@@ -189,18 +223,18 @@ def _counted(chunk: int, cuts):
     return run
 
 
-_PACKED = (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint8)
+_PACKED = (np.int64, np.int64, np.int64, np.uint8, np.int64, np.int64)
 
 
-def _packed(chunk: int, cuts, first: int, last: int):
-    """(b, n, rows): suffixes of the buckets from first to before last, packed by column: g, key, rank, seq_id, place, letter before."""
+def _packed(chunk: int, cuts, first: int, last: int, places: bool):
+    """(b, n, rows): suffixes of the buckets from first to before last, packed by column: g, key, rank, letter before and, with places, seq_id and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
 
         def out():
             b = np.concatenate([h[0] for h in held])
-            cols = [np.concatenate([h[k] for h in held]) for k in range(1, 7)]
+            cols = [np.concatenate([h[k] for h in held]) for k in range(1, 7 if places else 5)]
             order = np.argsort(b, kind="stable")
             ends = np.r_[np.flatnonzero(np.diff(b[order])) + 1, len(b)]
             low = 0
@@ -214,7 +248,7 @@ def _packed(chunk: int, cuts, first: int, last: int):
             b = _bucket_of(g, key, rank, cuts)
             own = np.flatnonzero((b >= first) & (b < last))
             if len(own):
-                held.append((b[own], np.full(len(own), g, np.int64), key[own], rank[own], np.full(len(own), seq_id, np.int64), own + at, before[own]))
+                held.append((b[own], np.full(len(own), g, np.int64), key[own], rank[own], before[own], *((np.full(len(own), seq_id, np.int64), own + at) if places else ())))
                 many += len(own)
             if many >= 1 << 20:
                 yield from out()
@@ -230,25 +264,34 @@ def _shuffled(col: np.ndarray) -> bytes:
     return np.ascontiguousarray(col.view(np.uint8).reshape(len(col), -1).T).tobytes()
 
 
-def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
-    sizes = [np.dtype(t).itemsize for t in _PACKED]
+def _unpacked(data: bytes, n: int, places: bool) -> list[np.ndarray]:
+    kinds = _PACKED if places else _PACKED[:4]
+    sizes = [np.dtype(t).itemsize for t in kinds]
     raw, at, out = np.frombuffer(pa.decompress(data, n * sum(sizes), codec="zstd"), np.uint8), 0, []
-    for t, s in zip(_PACKED, sizes):
+    for t, s in zip(kinds, sizes):
         out.append(np.ascontiguousarray(raw[at : at + n * s].reshape(s, n).T).reshape(-1).view(t))
         at += n * s
     return out
 
 
-def _in_order(before: np.ndarray, by: str | None):
-    """Of rows (b, n, rows) in order of b: the suffixes of each bucket in order. before: rows in earlier buckets."""
+def _in_order(before: np.ndarray, by: str | None, places: bool):
+    """Of rows (b, n, rows) in order of b: the suffixes of each bucket in order or, without places, the runs of the letters before them; open: those at the bucket's ends, which others may lengthen. before: rows in earlier buckets."""
     letters = pa.array(list("$ACGNT"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = [], None
 
         def out():
-            g, key, rank, seq_id, place, ch = (np.concatenate(c) for c in zip(*held))
+            g, key, rank, ch, *at = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((rank, key, g)) if g[0] != g[-1] or (g != g[0]).any() else np.lexsort((rank, key))
+            if not places:
+                ch = ch[order]
+                head = np.flatnonzero(np.r_[True, (ch[1:] != ch[:-1]) | (ch[1:] == 0)])
+                open_ = np.zeros(len(head), bool)
+                open_[[0, -1]] = True
+                yield pa.RecordBatch.from_pydict({"bwt_start": pa.array(before[own] + head), "ch": letters.take(pa.array(ch[head])), "length": pa.array(np.diff(np.r_[head, len(ch)])), "open": pa.array(open_ & (ch[head] != 0))})
+                return
+            seq_id, place = at
             for low in range(0, len(order), 1 << 16):
                 o = order[low : low + (1 << 16)]
                 at = np.arange(before[own] + low, before[own] + low + len(o))
@@ -262,7 +305,7 @@ def _in_order(before: np.ndarray, by: str | None):
                     yield from out()
                     held.clear()
                 own = b
-                held.append(_unpacked(rows.as_buffer(), n))
+                held.append(_unpacked(rows.as_buffer(), n, places))
         if held:
             yield from out()
 
@@ -278,45 +321,37 @@ def anchor_ranks(texts: DataFrame, by: str | None, chunk: int) -> DataFrame:
     """(seq_id, g, seq, ranks): texts as bytes, g their column `by` or 0, with the ranks of the suffixes at their anchors among all of these, packed.
 
     Anchors get the rank of their first 120 letters, then those that share a rank are told apart by the ranks of the seven
-    anchors that these letters lead to one by one, then by every eighth of them and so on.
+    anchors that these letters lead to one by one, then by every eighth of them and so on. Each time they are shuffled once,
+    by ranges of the first 24 letters or by the rank, and ranked as they are read in order.
     """
-    keys = ["k0", *(f"k{j}" for j in range(1, _KEYS)), "tie"]
-    suf = settled(texts.select("seq_id", "seq").mapInArrow(_first_keys(chunk), ", ".join(["seq_id bigint, i bigint, tie bigint", *(f"k{j} bigint" for j in range(_KEYS))])), "anchors")
-    counts = settled(suf.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "anchor_counts")
-    _give_up_shuffles(counts)
-    # k0 is cut into ranges by its own width, which spreads as its values do
-    small = counts.groupBy("k0").agg(F.sum("n").alias("m"))
-    first = with_sum_before(small, [], "k0", "m", "below", bucket_width(small, "k0"))
-    inside = Window.partitionBy("k0").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.join(first.select("k0", "below"), "k0").withColumn("r", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    cur = settled(suf.join(start.select(*keys, "r", "n"), keys).select("seq_id", "i", "r", "n"), "anchor_ranks")
-    forget(suf, counts)
-    _give_up_shuffles(cur)
-    done, old, leap = None, [cur], 1
-    further = [f"r{j}" for j in range(1, _LEAPS + 1)]
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, further = [*(f"k{j}" for j in range(_KEYS)), "tie"], [f"r{j}" for j in range(1, _LEAPS + 1)]
+    schema = "part bigint, seq_id bigint, i bigint, v bigint"
+    suf = texts.select("seq_id", "seq").mapInArrow(_first_keys(chunk), ", ".join(["seq_id bigint, i bigint, tie bigint", *(f"k{j} bigint" for j in range(_KEYS))]))
+    own = settled(suf.select("seq_id", "i", *keys).repartitionByRange(parts, "k0").sortWithinPartitions(*keys).mapInArrow(_ranked(len(keys), False), schema), "anchor_ranks")
+    _give_up_shuffles(own)
+    below = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("m")).select("part", below.alias("below"))
+    cur = own.join(F.broadcast(sizes), "part").select("seq_id", "i", (F.col("v") + 2 * F.col("below")).alias("v"))
+    done, old, leap = None, [own], 1
 
     def met(ranked: DataFrame) -> DataFrame:
-        blocks = ranked.groupBy("seq_id", F.expr(f"i div {_BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", (2 * F.col("r") + (F.col("n") > 1).cast("bigint")).alias("v")))).alias("s"))
-        blocks = blocks.select("seq_id", F.lit(None).cast("bigint").alias("g"), "block", F.lit(None).cast("binary").alias("seq"), F.col("s.v").alias("ranks"))
-        rows = texts.select("seq_id", (F.col(by) if by else F.lit(0)).cast("bigint").alias("g"), F.lit(-1).cast("bigint").alias("block"), "seq", F.lit(None).cast("array<bigint>").alias("ranks")).unionByName(blocks)
-        parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(parts, "seq_id").sortWithinPartitions("seq_id", "block")
+        blank = lambda kind: F.lit(None).cast(kind)
+        rows = texts.select("seq_id", (F.col(by) if by else F.lit(0)).cast("bigint").alias("g"), F.lit(-1).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("v"), "seq")
+        rows = rows.unionByName(ranked.select("seq_id", blank("bigint").alias("g"), "i", "v", blank("binary").alias("seq")))
+        return rows.repartition(parts, "seq_id").sortWithinPartitions("seq_id", "i")
 
     while True:
-        known = cur if done is None else cur.unionByName(done.withColumn("n", F.lit(1).cast("bigint")))
-        if cur.filter("n > 1").isEmpty():
+        known = cur if done is None else cur.unionByName(done)
+        if cur.filter("v % 2 = 1").isEmpty():
             break
-        at = settled(met(known).mapInArrow(_asks(chunk, leap), "seq_id bigint, i bigint, r bigint, " + ", ".join(f"{c} bigint" for c in further)), "asked")
-        pairs = at.groupBy("r", *further).agg(F.count(F.lit(1)).alias("n"))
-        below = Window.partitionBy("r").orderBy(*further).rowsBetween(Window.unboundedPreceding, -1)
-        pairs = pairs.withColumn("new", F.col("r") + F.coalesce(F.sum("n").over(below), F.lit(0)))
-        fresh = at.join(pairs, ["r", *further]).select("seq_id", "i", F.col("new").alias("r"), "n")
-        over = cur.filter("n = 1").select("seq_id", "i", "r")
+        at = met(known).mapInArrow(_asks(chunk, leap), "seq_id bigint, i bigint, r bigint, " + ", ".join(f"{c} bigint" for c in further))
+        fresh = settled(at.repartition(parts, "r").sortWithinPartitions("r", *further).mapInArrow(_ranked(1 + _LEAPS, True), schema), "anchor_ranks")
+        over = cur.filter("v % 2 = 0")
         done = over if done is None else done.unionByName(over)
-        cur = settled(fresh, "anchor_ranks")
-        old.append(cur)
-        forget(at)
-        _give_up_shuffles(cur)
+        cur = fresh.select("seq_id", "i", "v")
+        old.append(fresh)
+        _give_up_shuffles(fresh)
         leap *= _LEAPS + 1
     out = settled(met(known).mapInArrow(_joined, "seq_id bigint, g bigint, seq binary, ranks binary"), "ranked_texts")
     forget(*old)
@@ -324,14 +359,17 @@ def anchor_ranks(texts: DataFrame, by: str | None, chunk: int) -> DataFrame:
     return out
 
 
-def sorted_suffixes(texts: DataFrame, by: str | None = None, chunk: int = 1 << 18) -> DataFrame:
+def sorted_suffixes(texts: DataFrame, by: str | None = None, chunk: int = 1 << 18, places: bool = True) -> DataFrame:
     """(by, bwt_pos, seq_id, seq_off, ch), written to the shared folder: all suffixes of texts (seq_id, seq as bytes, by BIGINT) in order of `by` and then of their letters; bwt_pos counts all of them.
 
     Suffixes are cut into buckets between some of them that were drawn, so that none has many more than others whatever the
     texts are, and each bucket is sorted in memory. Only so many are shuffled before the files are given up. Buckets are
     written in order, so neighbours mostly stand in one file.
+
+    Without places, for one order of all: (bwt_start, ch, length, open), the runs of the letters before the suffixes in each bucket,
+    every end-marker alone. Neither the suffixes' places nor the suffixes themselves are then shuffled or written.
     """
-    spark, schema = texts.sparkSession, f"{f'`{by}` bigint, ' if by else ''}bwt_pos bigint, seq_id bigint, seq_off bigint, ch string"
+    spark, schema = texts.sparkSession, f"{f'`{by}` bigint, ' if by else ''}bwt_pos bigint, seq_id bigint, seq_off bigint, ch string" if places else "bwt_start bigint, ch string, length bigint, open boolean"
     size = texts.agg(F.sum(F.length("seq").cast("bigint") + 1)).first()[0] or 0
     if not size:
         return settled(spark.createDataFrame([], schema), "suffixes")
@@ -350,9 +388,9 @@ def sorted_suffixes(texts: DataFrame, by: str | None = None, chunk: int = 1 << 1
     path, first = fresh_path(spark, "suffixes"), 0
     while first < len(n):
         last = max(first + 1, int(np.searchsorted(before, before[first] + _PASS, "right")) - 1)
-        rows = ranked.mapInArrow(_packed(chunk, cuts, first, last), "b bigint, n bigint, rows binary")
+        rows = ranked.mapInArrow(_packed(chunk, cuts, first, last, places), "b bigint, n bigint, rows binary")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), last - first)
-        rows.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_in_order(before, by), schema).write.mode("append").parquet(path)
+        rows.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_in_order(before, by, places), schema).write.mode("append").parquet(path)
         _give_up_shuffles(ranked)
         first = last
     forget(ranked)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftline.functions.dna import reverse_complement
 from weftline.operators.ordered import bucket_width, run_lengths, with_interval, with_neighbour, with_row_behind, with_sum_before, with_sums_before
 from weftline.operators.suffix_sort import CODE, sorted_suffixes
-from weftline.shared import settled
+from weftline.shared import forget, settled
 
 MARK = "$"
 
@@ -87,6 +87,14 @@ def bwt_runs(b: DataFrame) -> DataFrame:
     return run_lengths(b.select(F.col("bwt_pos").alias("bwt_start"), "ch"), [], "bwt_start", ["ch"], apart=F.col("ch") == MARK)
 
 
+def text_runs(texts: DataFrame) -> DataFrame:
+    """bwt_runs of the texts' suffix array, which isn't written for it, written to the shared folder: only runs that meet at the ends of sorted buckets are looked at again."""
+    runs = sorted_suffixes(settled(texts.select("seq_id", as_bytes(F.col("seq")).alias("seq")), "texts"), places=False)
+    out = settled(runs.filter("not open").drop("open").unionByName(run_lengths(runs.filter("open"), [], "bwt_start", ["ch"], "length")), "bwt_runs")
+    forget(runs)
+    return out
+
+
 def _word_counts(k: int, chunk: int = 1 << 20):
     """Of texts as bytes: (w, n), how many suffixes begin with each word of k letters and have each letter before them, as one number of base 6."""
 
