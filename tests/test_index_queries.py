@@ -78,6 +78,25 @@ def test_short_words_are_extended_without_sorting(spark, monkeypatch, tmp_path):
     assert rows(sequences.bi_extended(spark, str(tmp_path))) == sorted(want, key=repr)
 
 
+def test_longest_runs_need_no_other_tags(spark, monkeypatch, tmp_path):
+    from weftline.operators import tags
+    from weftline.plans import sequences
+
+    r = random.Random(8)
+    base = dna_text(r, 160)
+    texts = [base, base[:96] + dna_text(r, 40), base[7:], "", base, dna_text(r, 64) + base[64:128]]
+    spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
+    spark.createDataFrame([(1, base[20:90]), (2, base[60:130] + "T"), (3, texts[5][10:50])], "read_id bigint, seq string").write.parquet(str(tmp_path / "reads.parquet"))
+    ix = sequences.Index(spark, str(tmp_path))
+    places = sequences._places(ix, spark, str(tmp_path))
+    want = rows(mems.longest_run_hits(places, ix.sa, tags.tag_runs(tags.tag_array(ix.sa.drop("ch"), ix.positions))))
+    every = rows(tags.tag_runs(tags.tag_array(ix.sa.drop("ch"), ix.positions)))
+    some = rows(tags.sharing_runs(tags.sharing_rows(places, ix.sa, ix.positions)))
+    assert some == [x for x in every if x[1:4] in {y[1:4] for y in some}] and 0 < len(some) < len(every)
+    monkeypatch.setattr(tags, "tag_array", None)
+    assert want and rows(sequences.longest_run_hits(spark, str(tmp_path))) == want
+
+
 def test_suffix_matches_and_gaf(spark, tmp_path):
     r = random.Random(3)
     base = dna_text(r, 80)

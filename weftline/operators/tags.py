@@ -28,6 +28,24 @@ def tag_runs(tags: DataFrame) -> DataFrame:
     return run_lengths(tags.withColumnRenamed("bwt_pos", "bwt_start"), [], "bwt_start", POSITION)
 
 
+def sharing_rows(places: DataFrame, sa: DataFrame, positions: DataFrame, width: int = 64) -> DataFrame:
+    """(bwt_pos, seq_id, seq_off, node_id, is_reverse, node_offset): the rows of the index that have the graph position of one of some text places (seq_id, seq_off), written to the shared folder.
+
+    The places' positions are met with the steps to the same nodes, and these with the index: no other row gets its position. A
+    place that no step covers gives no row. width: as in tag_array.
+    """
+    steps = positions.filter("node_length > 0").withColumn("_from", F.col("path_start"))
+    at = with_interval(places.select("seq_id", "seq_off").distinct(), "seq_off", steps, "path_start", "node_length", ["node_id", "is_reverse", "_from"], ["seq_id"], width)
+    own = at.filter("node_id IS NOT NULL").select("node_id", "is_reverse", (F.col("seq_off") - F.col("_from")).cast("int").alias("node_offset")).distinct()
+    spots = own.join(steps.select("seq_id", "_from", "node_id", "is_reverse"), ["node_id", "is_reverse"]).select("seq_id", (F.col("_from") + F.col("node_offset")).alias("seq_off"), *POSITION)
+    return settled(settled(spots, "spots").join(sa.select("bwt_pos", "seq_id", "seq_off"), ["seq_id", "seq_off"]).select("bwt_pos", "seq_id", "seq_off", *POSITION), "sharing")
+
+
+def sharing_runs(rows: DataFrame) -> DataFrame:
+    """The tag runs, as those of tag_runs, whose positions the rows have: rows is from sharing_rows, so a row that is missing has another position and ends a run."""
+    return run_lengths(rows.select(F.col("bwt_pos").alias("bwt_start"), *POSITION, F.lit(1).cast("bigint").alias("_one")), [], "bwt_start", POSITION, "_one")
+
+
 def read_runs(table: DataFrame) -> DataFrame:
     """(file_id, start_position, graph_position, length) of a table of run starts.
 
