@@ -11,6 +11,10 @@ def dna_text(r, n):
     return "".join(r.choice("ACGT") for _ in range(n))
 
 
+def reverse_complement_of(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
@@ -97,6 +101,37 @@ def test_longest_runs_need_no_other_tags(spark, monkeypatch, tmp_path):
     assert want and rows(sequences.longest_run_hits(spark, str(tmp_path))) == want
 
 
+def test_component_arrays_are_merged_by_buckets(spark, monkeypatch, tmp_path):
+    from weftline.operators import suffix_sort, tags
+    from weftline.plans import sequences
+
+    r = random.Random(9)
+    a, b, c = dna_text(r, 320), dna_text(r, 192), dna_text(r, 96)
+    texts = [c, "", a, a[:64] + b[64:128] + dna_text(r, 7), reverse_complement_of(b), "A" * 300, "A" * 70 + "C", "N" * 40, "", c[:64], dna_text(r, 20), a]
+    spark.createDataFrame([(3 * i - 4, s) for i, s in enumerate(texts)], "seq_id bigint, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
+    ix = sequences.Index(spark, str(tmp_path))
+    nodes, steps = ix.graph
+    old = dict(rows(graph.path_components(steps, graph.components(nodes, graph.step_edges(steps)))))
+    new = dict(rows(graph.joint_paths(ix.texts, steps)))
+    groups = lambda comp: sorted(sorted(k for k in comp if comp[k] == v) for v in set(comp.values()))
+    assert new.keys() - old.keys() == {-1, 20} and groups(new) == sorted([*groups(old), [-1], [20]]) and [2, 5, 8, 29] in groups(new)
+    assert all(v == min(k for k in new if new[k] == v) for v in new.values())
+    want = rows(tags.tag_runs(tags.tag_array(text.suffix_array(ix.texts).drop("ch"), ix.positions)))
+    monkeypatch.setattr(suffix_sort, "_SORTED", 90)
+    monkeypatch.setattr(suffix_sort, "_PASS", 400)
+    monkeypatch.setattr(sequences.text, "suffix_array", None)
+    monkeypatch.setattr(tags, "tag_array", None)
+    assert len(want) > 900 and rows(sequences.tag_merge(spark, str(tmp_path))) == want
+
+
+def test_nothing_is_merged(spark, tmp_path):
+    from weftline.plans import sequences
+
+    for name, own in (("none", []), ("empty", [(4, ""), (7, "")])):
+        spark.createDataFrame(own, "seq_id bigint, seq string").write.parquet(str(tmp_path / name / "sequences.parquet"))
+        assert rows(sequences.tag_merge(spark, str(tmp_path / name))) == [(0, 0, 0, 0, 2)][: len(own)]
+
+
 def test_suffix_matches_and_gaf(spark, tmp_path):
     r = random.Random(3)
     base = dna_text(r, 80)

@@ -81,6 +81,17 @@ def path_components(steps: DataFrame, comps: DataFrame) -> DataFrame:
     return steps.filter("step = 0").join(comps, "node_id").select("seq_id", "comp_id")
 
 
+def joint_paths(paths: DataFrame, steps: DataFrame) -> DataFrame:
+    """(seq_id, comp_id) of all paths (seq_id), those without steps too: the smallest seq_id of the paths that share nodes, by others or directly.
+
+    A path's nodes are in one component, so only links between paths are followed: as many as there are paths, not steps.
+    """
+    pairs = steps.select("seq_id", "node_id").distinct()
+    least = pairs.groupBy("node_id").agg(F.min("seq_id").alias("to_id"))
+    links = pairs.join(least, "node_id").filter("seq_id <> to_id").select(F.col("seq_id").alias("from_id"), "to_id").distinct()
+    return components(paths.select(F.col("seq_id").alias("node_id")), links).select(F.col("node_id").alias("seq_id"), "comp_id")
+
+
 def path_name(sample: Column, haplotype: Column, contig: Column, phase: Column | None = None) -> Column:
     """Names of the form sample#haplotype#contig#phase; parts that are null are left out."""
     return F.concat_ws("#", *(c.cast("string") for c in (sample, haplotype, contig, F.lit(0) if phase is None else phase)))

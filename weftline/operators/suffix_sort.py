@@ -174,7 +174,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([seq_id], pa.int64()), pa.array([g], pa.int64()), pa.array([seq.as_py()], pa.binary()), pa.array([(ranks >> 1).tobytes()], pa.binary())], names=["seq_id", "g", "seq", "ranks"])
 
 
-def _each(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def each_suffix(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(seq_id, g, place, keys, ranks of the anchors, codes of the letters before) of all suffixes."""
     for batch in batches:
         for seq_id, g, seq, ranks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
@@ -187,10 +187,10 @@ def _each(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[int,
                 yield seq_id, g, at, key, ranks[number], before
 
 
-def _sampled(chunk: int, each: int):
+def sampled(chunk: int, each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = 0
-        for _, g, _, key, rank, _ in _each(batches, chunk):
+        for _, g, _, key, rank, _ in each_suffix(batches, chunk):
             own = slice(skip, None, each)
             skip = (skip - len(key)) % each
             if len(key[own]):
@@ -199,7 +199,15 @@ def _sampled(chunk: int, each: int):
     return run
 
 
-def _bucket_of(g: int, key: np.ndarray, rank: np.ndarray, cuts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def cuts_of(cols: list[np.ndarray], size: int) -> tuple[np.ndarray, ...]:
+    """Of drawn suffixes (g, key, rank), those that cut so many into buckets which are sorted at once."""
+    order = np.lexsort(cols[::-1])
+    many = -(-size // _SORTED)
+    cut = order[np.unique(np.arange(1, many) * len(order) // many)]
+    return tuple(c[cut] for c in cols)
+
+
+def bucket_of(g: int, key: np.ndarray, rank: np.ndarray, cuts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """How many of the cuts (g, key, rank), in order, are at or before each suffix of one text."""
     low, high = np.searchsorted(cuts[0], (g, g + 1))
     keys, ranks = cuts[1][low:high], cuts[2][low:high]
@@ -216,8 +224,8 @@ def _bucket_of(g: int, key: np.ndarray, rank: np.ndarray, cuts: tuple[np.ndarray
 def _counted(chunk: int, cuts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(cuts[0]) + 1, np.int64)
-        for _, g, _, key, rank, _ in _each(batches, chunk):
-            n += np.bincount(_bucket_of(g, key, rank, cuts), minlength=len(n))
+        for _, g, _, key, rank, _ in each_suffix(batches, chunk):
+            n += np.bincount(bucket_of(g, key, rank, cuts), minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["b", "n"])
 
     return run
@@ -230,42 +238,49 @@ def _packed(chunk: int, cuts, first: int, last: int, places: bool):
     """(b, n, rows): suffixes of the buckets from first to before last, packed by column: g, key, rank, letter before and, with places, seq_id and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
+        def rows():
+            for seq_id, g, at, key, rank, before in each_suffix(batches, chunk):
+                b = bucket_of(g, key, rank, cuts)
+                own = np.flatnonzero((b >= first) & (b < last))
+                if len(own):
+                    yield b[own], np.full(len(own), g, np.int64), key[own], rank[own], before[own], *((np.full(len(own), seq_id, np.int64), own + at) if places else ())
 
-        def out():
-            b = np.concatenate([h[0] for h in held])
-            cols = [np.concatenate([h[k] for h in held]) for k in range(1, 7 if places else 5)]
-            order = np.argsort(b, kind="stable")
-            ends = np.r_[np.flatnonzero(np.diff(b[order])) + 1, len(b)]
-            low = 0
-            for high in ends:
-                own = order[low:high]
-                data = pa.compress(b"".join(_shuffled(c[own]) for c in cols), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([b[own[0]]], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([data], pa.binary())], names=["b", "n", "rows"])
-                low = high
-
-        for seq_id, g, at, key, rank, before in _each(batches, chunk):
-            b = _bucket_of(g, key, rank, cuts)
-            own = np.flatnonzero((b >= first) & (b < last))
-            if len(own):
-                held.append((b[own], np.full(len(own), g, np.int64), key[own], rank[own], before[own], *((np.full(len(own), seq_id, np.int64), own + at) if places else ())))
-                many += len(own)
-            if many >= 1 << 20:
-                yield from out()
-                held, many = [], 0
-        if held:
-            yield from out()
+        yield from in_blocks(rows())
 
     return run
 
 
+def in_blocks(rows: Iterator[tuple[np.ndarray, ...]], many: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(b, n, rows): of columns, the first of which is the bucket, about so many rows at a time, those of each bucket in their order and packed by column."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[0])
+        if n >= many:
+            yield from _blocks(held)
+            held, n = [], 0
+    if held:
+        yield from _blocks(held)
+
+
+def _blocks(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    b, *cols = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(b, kind="stable")
+    ends = np.r_[np.flatnonzero(np.diff(b[order])) + 1, len(b)]
+    low = 0
+    for high in ends:
+        own = order[low:high]
+        data = pa.compress(b"".join(_shuffled(c[own]) for c in cols), codec="zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([b[own[0]]], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([data], pa.binary())], names=["b", "n", "rows"])
+        low = high
+
+
 def _shuffled(col: np.ndarray) -> bytes:
     """The first bytes of all numbers, then the second ones: they are packed better so."""
     return np.ascontiguousarray(col.view(np.uint8).reshape(len(col), -1).T).tobytes()
 
 
-def _unpacked(data: bytes, n: int, places: bool) -> list[np.ndarray]:
-    kinds = _PACKED if places else _PACKED[:4]
+def unpacked(data: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
     sizes = [np.dtype(t).itemsize for t in kinds]
     raw, at, out = np.frombuffer(pa.decompress(data, n * sum(sizes), codec="zstd"), np.uint8), 0, []
     for t, s in zip(kinds, sizes):
@@ -305,14 +320,14 @@ def _in_order(before: np.ndarray, by: str | None, places: bool):
                     yield from out()
                     held.clear()
                 own = b
-                held.append(_unpacked(rows.as_buffer(), n, places))
+                held.append(unpacked(rows.as_buffer(), n, _PACKED if places else _PACKED[:4]))
         if held:
             yield from out()
 
     return run
 
 
-def _give_up_shuffles(df: DataFrame) -> None:
+def give_up_shuffles(df: DataFrame) -> None:
     """Let Spark delete the shuffle files of what is over; it does so when the driver's garbage is collected."""
     df.sparkSession._jvm.System.gc()
 
@@ -329,7 +344,7 @@ def anchor_ranks(texts: DataFrame, by: str | None, chunk: int) -> DataFrame:
     schema = "part bigint, seq_id bigint, i bigint, v bigint"
     suf = texts.select("seq_id", "seq").mapInArrow(_first_keys(chunk), ", ".join(["seq_id bigint, i bigint, tie bigint", *(f"k{j} bigint" for j in range(_KEYS))]))
     own = settled(suf.select("seq_id", "i", *keys).repartitionByRange(parts, "k0").sortWithinPartitions(*keys).mapInArrow(_ranked(len(keys), False), schema), "anchor_ranks")
-    _give_up_shuffles(own)
+    give_up_shuffles(own)
     below = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("m")).select("part", below.alias("below"))
     cur = own.join(F.broadcast(sizes), "part").select("seq_id", "i", (F.col("v") + 2 * F.col("below")).alias("v"))
@@ -351,11 +366,11 @@ def anchor_ranks(texts: DataFrame, by: str | None, chunk: int) -> DataFrame:
         done = over if done is None else done.unionByName(over)
         cur = fresh.select("seq_id", "i", "v")
         old.append(fresh)
-        _give_up_shuffles(fresh)
+        give_up_shuffles(fresh)
         leap *= _LEAPS + 1
     out = settled(met(known).mapInArrow(_joined, "seq_id bigint, g bigint, seq binary, ranks binary"), "ranked_texts")
     forget(*old)
-    _give_up_shuffles(out)
+    give_up_shuffles(out)
     return out
 
 
@@ -374,14 +389,10 @@ def sorted_suffixes(texts: DataFrame, by: str | None = None, chunk: int = 1 << 1
     if not size:
         return settled(spark.createDataFrame([], schema), "suffixes")
     ranked = anchor_ranks(texts, by, chunk)
-    drawn = ranked.mapInArrow(_sampled(chunk, max(64, size >> 20)), "g bigint, k bigint, r bigint").toArrow()  # a million rows or so
-    cols = [drawn.column(c).to_numpy() for c in ("g", "k", "r")]
-    order = np.lexsort(cols[::-1])
-    many = -(-size // _SORTED)
-    cut = order[np.unique(np.arange(1, many) * len(order) // many)]
-    cuts = tuple(c[cut] for c in cols)
+    drawn = ranked.mapInArrow(sampled(chunk, max(64, size >> 20)), "g bigint, k bigint, r bigint").toArrow()  # a million rows or so
+    cuts = cuts_of([drawn.column(c).to_numpy() for c in ("g", "k", "r")], size)
     counts = ranked.mapInArrow(_counted(chunk, cuts), "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
-    n = np.zeros(len(cut) + 1, np.int64)
+    n = np.zeros(len(cuts[0]) + 1, np.int64)
     for b, k in counts.collect():  # a row for each bucket
         n[b] = k
     before = np.r_[0, np.cumsum(n)]
@@ -391,7 +402,7 @@ def sorted_suffixes(texts: DataFrame, by: str | None = None, chunk: int = 1 << 1
         rows = ranked.mapInArrow(_packed(chunk, cuts, first, last, places), "b bigint, n bigint, rows binary")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), last - first)
         rows.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_in_order(before, by, places), schema).write.mode("append").parquet(path)
-        _give_up_shuffles(ranked)
+        give_up_shuffles(ranked)
         first = last
     forget(ranked)
     out = spark.read.schema(schema).parquet(path)
